@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordia.llm import chat, mixing, token_out, url_filter
+from accordia.llm import chat, mixing, near_dup, token_out, url_filter
 from accordia.llm.url_filter import Rule
 
 URL_RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("allow", "example.net", "/de/8"), Rule("block", "org", "/es/")]
@@ -28,6 +28,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
@@ -42,6 +46,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mixing": op2_source_mixing,
+    "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_chat_format": op5_chat_format,
     "op10_token_output": op10_token_output,
 }
