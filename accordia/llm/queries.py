@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordia.llm import chat, mixing, near_dup, token_out, url_filter
+from accordia.llm import chat, embed_dup, mixing, near_dup, token_out, url_filter
 from accordia.llm.url_filter import Rule
 
 URL_RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("allow", "example.net", "/de/8"), Rule("block", "org", "/es/")]
@@ -39,6 +39,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(added)))
 
 
+def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_out.token_digests(token_out.tokenize_documents(table(spark, sf_dir, "documents"), TOKENIZER))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_chat_format": op5_chat_format,
+    "op9_embedding_near_dup": op9_embedding_near_dup,
     "op10_token_output": op10_token_output,
 }
 
