@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: All ASCII but letters and digits, for words without punctuation.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -95,12 +97,13 @@ class Words(NamedTuple):
     end: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> Words:
+    """apart: for each byte, whether it parts words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none.astype(np.uint64), none, none)
-    solid = ~_SPACE[data]
+    solid = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = solid.copy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordia.llm import chat, embed_dup, mixing, near_dup, token_out, url_filter
+from accordia.llm import chat, decontaminate, embed_dup, mixing, near_dup, substring, token_out, url_filter
 from accordia.llm.url_filter import Rule
 
 URL_RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("allow", "example.net", "/de/8"), Rule("block", "org", "/es/")]
@@ -28,6 +28,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -39,6 +43,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(added)))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -50,8 +58,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mixing": op2_source_mixing,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_chat_format": op5_chat_format,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dup": op9_embedding_near_dup,
     "op10_token_output": op10_token_output,
 }
