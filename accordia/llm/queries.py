@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordia.llm import chat, decontaminate, embed_dup, mixing, near_dup, substring, token_out, url_filter
+from accordia.llm import chat, decontaminate, embed_dup, langid, mixing, near_dup, quality, substring, token_out, url_filter
 from accordia.llm.url_filter import Rule
 
 URL_RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("allow", "example.net", "/de/8"), Rule("block", "org", "/es/")]
@@ -43,6 +43,19 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(added)))
 
 
+GOOD = "quality = 1 and toxic = 0"
+
+
+def op6_importance_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.importance_sample(docs, labels.where(GOOD), quality.good_share(labels, GOOD))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs), declared="lang", host="source")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.find_repeats(table(spark, sf_dir, "documents"))
 
@@ -61,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_chat_format": op5_chat_format,
+    "op6_importance_quality": op6_importance_quality,
+    "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dup": op9_embedding_near_dup,
     "op10_token_output": op10_token_output,
