@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,23 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Text bytes that one output file takes, about.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 #: Distinct words of which a worker keeps the ids.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 600_000
 #: Byte-level BPE splits a text first where these segments part, so that each segment's ids stand alone.
 SEGMENT = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: White space to Python alone; a text that holds one is encoded in one piece.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them without special tokens; their strings are plain text.
 
@@ -43,23 +52,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_word = by_word
-        self.kept: dict[str, list[int]] = {}
-
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if by_word:  # a byte-level token has a character for each byte
+            vocabulary = self.tokenizer.get_vocab()
+            self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.token_bytes[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.ids = Numbers(), np.zeros(1 << 16, np.int32)  # segments' ids, one after another
+        self.begin = self.size = np.zeros(0, np.int64)  # where, and how many, by a segment's number
+        self.filled = 0
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, segments: list[str]) -> None:
+        """Encodes the segments that were numbered last.
+
+        Words go as one text, in which they are segments again: those with a space before them as they are, the others
+        on lines of their own. Its ids are dealt out by their bytes. Runs of white space are encoded one by one.
+        """
+        texts, alone, places, lines, line_places, space_places = [], [], [], [], [], []
+        for i, s in enumerate(segments):
+            if s[-1].isspace():
+                alone.append(s)
+                space_places.append(i)
+            elif s[0] == " ":
+                texts.append(s)
+                places.append(i)
+            else:
+                lines += ("\n", s)
+                line_places += (-1, i)
+        ids = self.plain(["".join(texts + lines), *alone])
+        ends = np.searchsorted(np.cumsum(self.token_bytes[ids[0]]), np.cumsum([len(s.encode()) for s in texts + lines])) + 1
+        sizes = np.concatenate([np.diff(ends, prepend=0), [len(x) for x in ids[1:]]]).astype(np.int64)
+        new = np.concatenate(ids)
+        if self.filled + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.filled], new, np.zeros(self.filled + len(new), np.int32)])
+        else:
+            self.ids[self.filled : self.filled + len(new)] = new
+        at = np.array(places + line_places + space_places, np.int64)
+        begin, size = np.zeros((2, len(segments)), np.int64)
+        begin[at[at >= 0]], size[at[at >= 0]] = (self.filled + np.cumsum(sizes) - sizes)[at >= 0], sizes[at >= 0]
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+        self.filled += len(new)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array(x, np.int32) for x in self.plain(texts)]
-        odd = {i for i, t in enumerate(texts) if ODD_SPACE.search(t)}
-        cut = [[] if i in odd else SEGMENT.findall(t) for i, t in enumerate(texts)]
-        kept = self.kept
-        if new := list({s for x in cut for s in x if s not in kept}):
-            if len(kept) + len(new) > KEPT_WORDS:  # start anew with what this batch needs
-                kept = {s: kept[s] for x in cut for s in x if s in kept}
-            kept.update(zip(new, self.plain(new), strict=True))
-        self.kept = kept
-        return [np.array(self.plain([texts[i]])[0] if i in odd else [y for s in x for y in kept[s]], np.int32) for i, x in enumerate(cut)]
+            return self.plain(texts)
+        if len(self.number) > KEPT_WORDS:
+            self.forget()
+        number, known = self.number.__getitem__, len(self.number)
+        which = [None if ODD_SPACE.search(t) else np.array([*map(number, SEGMENT.findall(t))], np.int64) for t in texts]
+        if len(self.number) > known:
+            self.learn([*islice(self.number, known, None)])
+        out = []
+        for t, x in zip(texts, which, strict=True):
+            if x is None:
+                out.append(self.plain([t])[0])
+                continue
+            n = self.size[x]
+            ends = np.cumsum(n)
+            out.append(self.ids[np.arange(ends[-1] if len(x) else 0) + np.repeat(self.begin[x] - ends + n, n)])
+        return out
 
 
 def _encode(path: str, by_word: bool, end_id: int):
@@ -89,7 +145,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
     """
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     n = text_bytes if text_bytes is not None else kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = kept.repartitionByRange(max(1, -(-n // FILE_BYTES), min(6, n >> 20)), "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ordered = kept.repartitionByRange(max(1, -(-n // FILE_BYTES)), "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     ids = ordered.mapInArrow(_encode(tokenizer, by_word, end_id), "doc_id long, part int, part_start long, n_tokens long, ids array<int>")
     options = {"compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2"}
     ids.write.options(**{k: str(v) for k, v in options.items()}).parquet(out)
@@ -98,12 +154,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids, from the files.
 
-    A file's start is the sum over the files before it: a row a file is summed, and sent to all.
+    A file's start is the sum over the files before it: a row a file (of about FILE_BYTES of text) is summed and sent to
+    all, 16 bytes each.
     """
     files = spark.read.schema("doc_id long, part int, part_start long, n_tokens long, ids array<int>").parquet(out)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     starts = totals.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return files.join(starts, "part").select("doc_id", (F.col("_start") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return files.join(F.broadcast(starts), "part").select("doc_id", (F.col("_start") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
