@@ -24,6 +24,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes that one numpy pass works on (a longer text makes a pass of its own).
 PASS_BYTES = 2 << 20
+#: Bytes that Spark puts into one Arrow batch (and one row more).
+BATCH_BYTES = 8 << 20
 #: Edges up to which one task finishes the components: 2^20 pairs of longs are 16 MB.
 LOCAL_EDGES = 1 << 20
 
@@ -44,6 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds the Arrow batches of this session to BATCH_BYTES, however long its texts are, unless a smaller bound is set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name, "-1")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/accordia/{uuid.uuid4().hex}/{name}"
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import PUNCTUATION, passes, spans, words
+from accordia.llm.common import PUNCTUATION, bound_batches, passes, spans, words
 from accordia.llm.near_dup import shingles
 
 #: With 0.8 of the shingles in a passage, few words miss; even the weightiest of them leave more of the score than this.
@@ -181,6 +181,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     numbers. Items are sent to the executors in shards of at most `shard_bytes` of text and one item more, each of which
     has its own index and takes a pass over the texts.
     """
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     wanted = items.select(F.col(item_id).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("text"))
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import components, materialize, union_find
+from accordia.llm.common import bound_batches, components, materialize, union_find
 
 THRESHOLD = 0.98
 #: Pivots: about the square root of the number of vectors, within these bounds; of at most PIVOT_DIMS numbers in all.
@@ -162,6 +162,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     numbers in all; every vector is indexed. Copies are one class before the index.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     plain = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
     made = materialize(plain.mapInArrow(_prepared, "id long, label long, dim int, v binary, digest binary"), "vectors")
     good = made.where("digest is not null")

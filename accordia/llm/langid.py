@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordia.llm.common import _LOWER as LOWER
-from accordia.llm.common import materialize, passes
+from accordia.llm.common import bound_batches, materialize, passes
 
 #: Labelled documents a language that its model is fitted on: the first so many by a hash.
 SAMPLE = 400
@@ -58,6 +58,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, languages: list[str] | None = None) -> dict[str, np.ndarray]:
     """Log likelihood by trigram bucket of each language, from `sample` whole labelled texts of each."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(doc_id, text).alias("_h")).where("lang is not null")
     if languages is not None:
         rows = rows.where(F.col("lang").isin(languages))
@@ -138,6 +139,7 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], doc_id: str = "doc_
     languages = sorted(models)
     if not languages:
         return docs.select(doc_id, F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("kept"))
+    bound_batches(docs.sparkSession)
     given = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
     plain = docs.select(F.col(doc_id).alias("id"), F.lower(F.substring_index(given(declared), "-", 1)).alias("declared"), F.lower(given(host)).alias("host"), F.lower(given(suffix)).alias("suffix"), F.col(text).cast("binary").alias("text"))
     kind = plain.schema["id"].dataType.simpleString()

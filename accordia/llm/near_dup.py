@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import components, materialize, mix64, passes, spans, words
+from accordia.llm.common import bound_batches, components, materialize, mix64, passes, spans, words
 
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 26
@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     its component. Other columns are ignored; an empty table gives an empty result. Texts that link at exactly the
     threshold are found unless all bands miss them (3e-5 by default, less above it).
     """
+    bound_batches(docs.sparkSession)
     k = rows * bands
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     feats = materialize(plain.mapInArrow(_features(shingle, k), "id long, n long, digest binary, sig binary"), "features")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import materialize, mix64, passes, words
+from accordia.llm.common import bound_batches, materialize, mix64, passes, words
 
 #: Each n-gram falls into one of 2^20 buckets by each of two hashes; the ratio nearer to 1 counts, so that one that only
 #: shares a bucket with a telling n-gram tells nothing.
@@ -148,6 +148,7 @@ def importance_sample(docs: DataFrame, target: DataFrame, share: float, doc_id:
     has weight 0. Gumbel noise comes from doc_id and seed: reruns agree, and rows that share a doc_id and weight are drawn
     together with the last of them. Without target documents all weights are 0. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     chosen = target.select(F.col(doc_id).cast("long").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     everything = count_ngrams(plain, bits)

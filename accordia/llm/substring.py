@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordia.llm.common import _LOWER as LOWER
-from accordia.llm.common import materialize, mix64, passes, powers, words
+from accordia.llm.common import bound_batches, materialize, mix64, passes, powers, words
 
 #: The hash covers 16 bytes: each byte's gear is shifted out of its low RATE_BITS + 11 bits by then.
 WINDOW = 16
@@ -73,6 +73,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, chunk (its number in the text), begin, end (bytes), n_words (that begin in it), digest; letters' case is ignored."""
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     return plain.mapInArrow(_chunks, "id long, chunk int, begin int, end int, n_words int, digest long")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accordia.llm.common import table_path
+from accordia.llm.common import bound_batches, passes, table_path
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -25,13 +26,22 @@ PAGE_BYTES = 256 << 10
 #: Text bytes that one output file takes, about.
 FILE_BYTES = 32 << 20
 #: Distinct words of which a worker keeps the ids.
-KEPT_WORDS = 600_000
-#: Byte-level BPE splits a text first where these segments part, so that each segment's ids stand alone.
+KEPT_WORDS = 300_000
+#: Byte-level BPE first splits a text where these segments part (and further), so that each segment's ids stand alone.
 SEGMENT = re.compile(r" ?\S+|\s+(?!\S)|\s")
+#: A text of these characters alone parts also between its words and punctuation, but for endings like 's.
+PLAIN_TEXT = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ]*")
+FINE_SEGMENT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[0-9A-Za-zÀ-ÖØ-öø-ɏ]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s")
 #: White space to Python alone; a text that holds one is encoded in one piece.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+def segments(text: str) -> list[str] | None:
+    if PLAIN_TEXT.fullmatch(text):
+        return FINE_SEGMENT.findall(text)
+    return None if ODD_SPACE.search(text) else SEGMENT.findall(text)
+
+
 class Numbers(dict):
     """Numbers keys in the order in which they are first asked for."""
 
@@ -71,11 +81,12 @@ class Encoder:
         """Encodes the segments that were numbered last.
 
         Words go as one text, in which they are segments again: those with a space before them as they are, the others
-        on lines of their own. Its ids are dealt out by their bytes. Runs of white space are encoded one by one.
+        on lines of their own. Its ids are dealt out by their bytes. Runs of white space are encoded one by one, and so are
+        segments of punctuation, which might run together.
         """
         texts, alone, places, lines, line_places, space_places = [], [], [], [], [], []
         for i, s in enumerate(segments):
-            if s[-1].isspace():
+            if not s[-1].isalnum():
                 alone.append(s)
                 space_places.append(i)
             elif s[0] == " ":
@@ -104,7 +115,8 @@ class Encoder:
         if len(self.number) > KEPT_WORDS:
             self.forget()
         number, known = self.number.__getitem__, len(self.number)
-        which = [None if ODD_SPACE.search(t) else np.array([*map(number, SEGMENT.findall(t))], np.int64) for t in texts]
+        cut = map(segments, texts)
+        which = [None if x is None else np.array([*map(number, x)], np.int64) for x in cut]
         if len(self.number) > known:
             self.learn([*islice(self.number, known, None)])
         out = []
@@ -118,13 +130,18 @@ class Encoder:
         return out
 
 
+@cache
+def encoder_of(path: str, by_word: bool) -> Encoder:
+    """A worker's encoder, with what it keeps, serves all its tasks."""
+    return Encoder(path, by_word)
+
+
 def _encode(path: str, by_word: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = None, 0
+        place = 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                encoder = encoder or Encoder(path, by_word)
+            for part, *_ in passes(batch, "text"):
+                encoder = encoder_of(path, by_word)
                 ids = [np.append(x, np.int32(end_id)) for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
                 n = np.array([len(x) for x in ids], np.int64)
                 places = np.concatenate([[0], np.cumsum(n)])
@@ -143,6 +160,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
     tokenizer: a file of the tokenizers library, at the same path on all executors. The end id follows every document.
     Repeated rows are documents of their own; an empty table writes no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     n = text_bytes if text_bytes is not None else kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = kept.repartitionByRange(max(1, -(-n // FILE_BYTES)), "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
