@@ -47,10 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Holds the Arrow batches of this session to BATCH_BYTES, however long its texts are, unless a smaller bound is set."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name, "-1")) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    """Holds the Arrow batches of this session to BATCH_BYTES, however long its texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table_path(spark: SparkSession, name: str) -> str:
