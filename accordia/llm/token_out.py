@@ -23,8 +23,8 @@ from accordia.llm.common import bound_batches, passes, table_path
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-#: Text bytes that one output file takes, about.
-FILE_BYTES = 32 << 20
+#: Bytes of input that one output file takes, about, and the most files.
+FILE_BYTES, MOST_FILES = 16 << 20, 1 << 20
 #: Distinct words of which a worker keeps the ids.
 KEPT_WORDS = 300_000
 #: Byte-level BPE first splits a text where these segments part (and further), so that each segment's ids stand alone.
@@ -154,7 +154,7 @@ def _encode(path: str, by_word: bool, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, by_word: bool = True, text_bytes: int | None = None) -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, by_word: bool = True, files: int | None = None) -> None:
     """Writes docs in ascending order of doc_id, null first; equal ids sort by text. A null text is empty: its end id alone.
 
     tokenizer: a file of the tokenizers library, at the same path on all executors. The end id follows every document.
@@ -162,8 +162,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
     """
     bound_batches(docs.sparkSession)
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    n = text_bytes if text_bytes is not None else kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = kept.repartitionByRange(max(1, -(-n // FILE_BYTES)), "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    if files is None:  # by the size that the plan's statistics give, without a pass over the texts
+        files = max(1, -(-int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES))
+    # Ranges of doc_id alone: their sample, which comes to the driver, holds no texts, and equal ids share a file.
+    ordered = kept.repartitionByRange(min(files, MOST_FILES), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     ids = ordered.mapInArrow(_encode(tokenizer, by_word, end_id), "doc_id long, part int, part_start long, n_tokens long, ids array<int>")
     options = {"compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2"}
     ids.write.options(**{k: str(v) for k, v in options.items()}).parquet(out)
@@ -172,8 +174,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids, from the files.
 
-    A file's start is the sum over the files before it: a row a file (of about FILE_BYTES of text) is summed and sent to
-    all, 16 bytes each.
+    A file's start is the sum over the files before it: a row a file, of 16 bytes, is summed and sent to all, for at most
+    MOST_FILES files.
     """
     files = spark.read.schema("doc_id long, part int, part_start long, n_tokens long, ids array<int>").parquet(out)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
