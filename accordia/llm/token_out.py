@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from accordia.llm.common import bound_batches, passes, table_path
 
 END_ID = 0
-ROW_GROUP_BYTES = 32 << 20
+ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Bytes of input that one output file takes, about, and the most files.
-FILE_BYTES, MOST_FILES = 16 << 20, 1 << 20
-#: Distinct words of which a worker keeps the ids.
-KEPT_WORDS = 300_000
+FILE_BYTES, MOST_FILES = 8 << 20, 1 << 20
+#: Segments, and characters of them, beyond which a worker forgets the ids of all but the most frequent that came twice.
+MOST_SEGMENTS, MOST_CHARS, FREQUENT = 400_000, 16 << 20, 120_000
+#: Pieces of a text that new segments are encoded in: short texts take less time than one long one.
+RUN = 256
 #: Byte-level BPE first splits a text where these segments part (and further), so that each segment's ids stand alone.
 SEGMENT = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: A text of these characters alone parts also between its words and punctuation, but for endings like 's.
@@ -36,10 +38,10 @@ FINE_SEGMENT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[0-9A-Za-zÀ-ÖØ-öø-ɏ]+|
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
-def segments(text: str) -> list[str] | None:
+def segments(text: str) -> list[str]:
     if PLAIN_TEXT.fullmatch(text):
         return FINE_SEGMENT.findall(text)
-    return None if ODD_SPACE.search(text) else SEGMENT.findall(text)
+    return [text] if ODD_SPACE.search(text) else SEGMENT.findall(text)
 
 
 class Numbers(dict):
@@ -56,84 +58,100 @@ class Encoder:
     With by_word, for byte-level vocabularies, equal segments of texts are encoded once while they are kept.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str, by_word: bool, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_word = by_word
+        self.end = np.array([end_id], np.int32)
         if by_word:  # a byte-level token has a character for each byte
             vocabulary = self.tokenizer.get_vocab()
             self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             for token, i in vocabulary.items():
                 self.token_bytes[i] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.number, self.ids = Numbers(), np.zeros(1 << 16, np.int32)  # segments' ids, one after another
-        self.begin = self.size = np.zeros(0, np.int64)  # where, and how many, by a segment's number
-        self.filled = 0
+        # Segments' numbers, how often each came, where its ids are and how many. Number 0 is the end of a text.
+        self.number, self.count, self.chars = Numbers({None: 0}), np.ones(1, np.int64), 0
+        self.ids, self.filled = np.append(self.end, np.zeros(1 << 16, np.int32)), 1
+        self.begin, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, segments: list[str]) -> None:
+    def gather(self, which: np.ndarray) -> np.ndarray:
+        n = self.size[which]
+        ends = np.cumsum(n)
+        return self.ids[np.arange(n.sum()) + np.repeat(self.begin[which] - ends + n, n)]
+
+    def forget(self) -> None:
+        often = np.argsort(-self.count, kind="stable")[:FREQUENT]
+        often = np.append(0, np.sort(often[(self.count[often] > 1) & (often > 0)]))
+        names = [*self.number]
+        self.ids, self.size, self.count = self.gather(often), self.size[often], self.count[often]
+        self.begin, self.filled = np.cumsum(self.size) - self.size, len(self.ids)
+        self.number = Numbers((names[i], at) for at, i in enumerate(often.tolist()))
+        self.chars = sum(len(names[i]) for i in often.tolist() if i)
+
+    def learn(self, new: list[str], odd: set[str]) -> None:
         """Encodes the segments that were numbered last.
 
-        Words go as one text, in which they are segments again: those with a space before them as they are, the others
-        on lines of their own. Its ids are dealt out by their bytes. Runs of white space are encoded one by one, and so are
-        segments of punctuation, which might run together.
+        Words go as texts of RUN pieces, in which they are segments again: those with a space before them as they are,
+        the others on lines of their own. The ids are dealt out by their bytes. What might run together, white space and
+        punctuation, is encoded one by one, and so are odd texts.
         """
-        texts, alone, places, lines, line_places, space_places = [], [], [], [], [], []
-        for i, s in enumerate(segments):
-            if not s[-1].isalnum():
+        words, lines, alone, at_words, at_lines, at_alone = [], [], [], [], [], []
+        for i, s in enumerate(new):
+            if not s[-1].isalnum() or s in odd:
                 alone.append(s)
-                space_places.append(i)
+                at_alone.append(i)
             elif s[0] == " ":
-                texts.append(s)
-                places.append(i)
+                words.append(s)
+                at_words.append(i)
             else:
                 lines += ("\n", s)
-                line_places += (-1, i)
-        ids = self.plain(["".join(texts + lines), *alone])
-        ends = np.searchsorted(np.cumsum(self.token_bytes[ids[0]]), np.cumsum([len(s.encode()) for s in texts + lines])) + 1
-        sizes = np.concatenate([np.diff(ends, prepend=0), [len(x) for x in ids[1:]]]).astype(np.int64)
-        new = np.concatenate(ids)
-        if self.filled + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.filled], new, np.zeros(self.filled + len(new), np.int32)])
-        else:
-            self.ids[self.filled : self.filled + len(new)] = new
-        at = np.array(places + line_places + space_places, np.int64)
-        begin, size = np.zeros((2, len(segments)), np.int64)
+                at_lines += (-1, i)
+        pieces = words + lines
+        texts = ["".join(pieces[i : i + RUN]) for i in range(0, len(pieces), RUN)]
+        found = self.plain(texts + alone)
+        ids = np.concatenate(found)
+        own = ids[: sum(map(len, found[: len(texts)]))]
+        ends = np.searchsorted(np.cumsum(self.token_bytes[own]), np.cumsum([len(s.encode()) for s in pieces])) + 1
+        sizes = np.concatenate([np.diff(ends, prepend=0), [len(x) for x in found[len(texts) :]]]).astype(np.int64)
+        if self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.filled], np.zeros(self.filled + 2 * len(ids), np.int32)])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        at = np.array(at_words + at_lines + at_alone, np.int64)
+        begin, size = np.zeros((2, len(new)), np.int64)
         begin[at[at >= 0]], size[at[at >= 0]] = (self.filled + np.cumsum(sizes) - sizes)[at >= 0], sizes[at >= 0]
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
-        self.filled += len(new)
+        self.count = np.concatenate([self.count, np.zeros(len(new), np.int64)])
+        self.filled += len(ids)
+        self.chars += sum(map(len, new))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another, each with the end id; each text's number of ids)."""
         if not self.by_word:
-            return self.plain(texts)
-        if len(self.number) > KEPT_WORDS:
+            found = [np.append(x, self.end) for x in self.plain(texts)]
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        if len(self.number) > MOST_SEGMENTS or self.chars > MOST_CHARS:
             self.forget()
         number, known = self.number.__getitem__, len(self.number)
-        cut = map(segments, texts)
-        which = [None if x is None else np.array([*map(number, x)], np.int64) for x in cut]
+        flat, ends = [], []
+        for t in texts:
+            flat += map(number, segments(t))
+            flat.append(0)
+            ends.append(len(flat))
         if len(self.number) > known:
-            self.learn([*islice(self.number, known, None)])
-        out = []
-        for t, x in zip(texts, which, strict=True):
-            if x is None:
-                out.append(self.plain([t])[0])
-                continue
-            n = self.size[x]
-            ends = np.cumsum(n)
-            out.append(self.ids[np.arange(ends[-1] if len(x) else 0) + np.repeat(self.begin[x] - ends + n, n)])
-        return out
+            self.learn([*islice(self.number, known, None)], {t for t in texts if ODD_SPACE.search(t)})
+        which = np.array(flat, np.int64)
+        self.count += np.bincount(which, minlength=len(self.count))
+        return self.gather(which), np.add.reduceat(self.size[which], [0, *ends[:-1]])
 
 
 @cache
-def encoder_of(path: str, by_word: bool) -> Encoder:
+def encoder_of(path: str, by_word: bool, end_id: int) -> Encoder:
     """A worker's encoder, with what it keeps, serves all its tasks."""
-    return Encoder(path, by_word)
+    return Encoder(path, by_word, end_id)
 
 
 def _encode(path: str, by_word: bool, end_id: int):
@@ -141,12 +159,10 @@ def _encode(path: str, by_word: bool, end_id: int):
         place = 0
         for batch in batches:
             for part, *_ in passes(batch, "text"):
-                encoder = encoder_of(path, by_word)
-                ids = [np.append(x, np.int32(end_id)) for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
-                n = np.array([len(x) for x in ids], np.int64)
+                ids, n = encoder_of(path, by_word, end_id).encode([t or "" for t in part.column("text").to_pylist()])
                 places = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("part"), pa.array(place + places[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(ids)))],
+                    [part.column("doc_id"), part.column("part"), pa.array(place + places[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids))],
                     ["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
                 place += int(places[-1])
@@ -167,7 +183,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
     # Ranges of doc_id alone: their sample, which comes to the driver, holds no texts, and equal ids share a file.
     ordered = kept.repartitionByRange(min(files, MOST_FILES), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     ids = ordered.mapInArrow(_encode(tokenizer, by_word, end_id), "doc_id long, part int, part_start long, n_tokens long, ids array<int>")
-    options = {"compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2"}
+    options = {"compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "parquet.compression.codec.zstd.level": 1}
     ids.write.options(**{k: str(v) for k, v in options.items()}).parquet(out)
 
 
