@@ -7,11 +7,11 @@ take the pages of a range of documents, and a reader of metadata leaves the ids
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +45,15 @@ def segments(text: str) -> list[str]:
 
 
 class Numbers(dict):
-    """Numbers keys in the order in which they are first asked for."""
+    """Numbers keys in the order in which they are first asked for; new has them since it was emptied."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.new: list[str] = []
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
@@ -59,6 +64,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, by_word: bool, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; the library's threads would wait busily
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -135,14 +141,15 @@ class Encoder:
             return np.concatenate(found), np.array([len(x) for x in found], np.int64)
         if len(self.number) > MOST_SEGMENTS or self.chars > MOST_CHARS:
             self.forget()
-        number, known = self.number.__getitem__, len(self.number)
+        number = self.number.__getitem__
         flat, ends = [], []
         for t in texts:
             flat += map(number, segments(t))
             flat.append(0)
             ends.append(len(flat))
-        if len(self.number) > known:
-            self.learn([*islice(self.number, known, None)], {t for t in texts if ODD_SPACE.search(t)})
+        if self.number.new:
+            self.learn(self.number.new, {t for t in texts if ODD_SPACE.search(t)})
+            self.number.new = []
         which = np.array(flat, np.int64)
         self.count += np.bincount(which, minlength=len(self.count))
         return self.gather(which), np.add.reduceat(self.size[which], [0, *ends[:-1]])
