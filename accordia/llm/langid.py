@@ -21,6 +21,8 @@ from accordia.llm.common import bound_batches, materialize, passes
 
 #: Labelled documents a language that its model is fitted on: the first so many by a hash.
 SAMPLE = 400
+#: Languages that get a model: the most frequent labels.
+MOST_LANGUAGES = 200
 TRIGRAM_BITS = 16
 #: A trigram counts as this share of a draw of its own, as neighbours overlap.
 TEMPER = 0.34
@@ -57,15 +59,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, languages: list[str] | None = None) -> dict[str, np.ndarray]:
-    """Log likelihood by trigram bucket of each language, from `sample` whole labelled texts of each."""
+    """Log likelihood by trigram bucket of each language, from `sample` whole labelled texts of each.
+
+    Of more than MOST_LANGUAGES labels the most frequent have models; a model is 2^16 numbers on the driver.
+    """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(doc_id, text).alias("_h")).where("lang is not null")
     if languages is not None:
         rows = rows.where(F.col("lang").isin(languages))
-    # The first by hash of each language, without its texts in one task: a bound on the hash from counts leaves a few times as many.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    limit = (F.lit(4.0 * sample) / F.col("_n")) * float(1 << 63) + float(-(1 << 63)) + float(1 << 62)
-    near = rows.select("id", "lang", "_h").join(sizes, "lang").where((F.col("_n") <= 8 * sample) | (F.col("_h") <= limit - float(1 << 62)))
+    # A bound on the hash, from a language's count, leaves about four times its sample for the window to rank.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    near = F.lit(False)
+    for one, n in sizes:
+        near = near | ((F.col("lang") == one) & (F.col("_h") < min((1 << 63) - 1, int((8 * sample / n - 1) * (1 << 63)))))
+    near = rows.select("id", "lang", "_h").where(near)
     chosen = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "id"))).where(F.col("_r") <= sample).select("id", "lang", "_h")
     texts = rows.join(F.broadcast(chosen), ["id", "lang", "_h"], "left_semi")  # at most `sample` ids a language
     found: dict[str, np.ndarray] = {}
