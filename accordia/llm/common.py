@@ -62,6 +62,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores before it as make it no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone's first column; rows without a doc_id stay."""
+    (name,) = fresh(docs, "gone")
+    return docs.join(gone.toDF(name).distinct(), F.col(doc_id) == F.col(name), "left_anti")
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 bits (a bijection)."""
     h = h ^ (h >> np.uint64(33))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import PUNCTUATION, bound_batches, passes, spans, words
+from accordia.llm.common import PUNCTUATION, bound_batches, passes, spans, without, words
 from accordia.llm.near_dup import shingles
 
 #: With 0.8 of the shingles in a passage, few words miss; even the weightiest of them leave more of the score than this.
@@ -198,5 +198,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose doc_id leaks no item, in the columns of docs; rows with a null doc_id stay."""
-    leaks = find_leaks(docs, items, doc_id, text, **options).select(F.col(doc_id).alias("_leaks")).distinct()
-    return docs.join(leaks, F.col(doc_id) == F.col("_leaks"), "left_anti")
+    return without(docs, doc_id, find_leaks(docs, items, doc_id, text, **options).select(doc_id))

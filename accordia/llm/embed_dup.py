@@ -155,8 +155,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     Vectors of one label and one number of components are linked if found with a cosine of at least the threshold; none
     is linked below it. n_links counts the other rows linked directly, copies included; component_id is the smallest
     vec_id reachable; kept marks the vector that is it. A vector that is null, zero, empty or holds null or non-finite
-    components, or has no label, links with nothing. Labels must be whole numbers; vec_id must not be null; rows that
-    share a vec_id are vectors of their own. Other columns are ignored; an empty table gives an empty result.
+    components, or has no label, links with nothing. Labels must be whole numbers; rows that share a
+    vec_id are vectors of their own; one without a vec_id counts among the copies of its vector only. Other columns are ignored; an empty table gives an empty result.
 
     Pivots are a hash sample of distinct vectors, 64 to 1,024 by the square root of their number and at most 2^22
     numbers in all; every vector is indexed. Copies are one class before the index.
@@ -196,4 +196,4 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     per = per.select(F.col("label").alias("_l"), F.col("digest").alias("_d"), (F.coalesce("_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "cls").alias("component"))
     out = made.select("id", "label", "digest").join(per, (F.col("digest") == F.col("_d")) & (F.col("label") == F.col("_l")), "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordia.llm.common import _LOWER as LOWER
-from accordia.llm.common import bound_batches, materialize, passes
+from accordia.llm.common import bound_batches, materialize, passes, without
 
 #: Labelled documents a language that its model is fitted on: the first so many by a hash.
 SAMPLE = 400
@@ -173,6 +173,5 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], doc_id: str = "doc_
 
 
 def keep_identified(docs: DataFrame, models: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text", **evidence) -> DataFrame:
-    """The rows of docs whose language identify finds, in the columns of docs; of rows that share a doc_id, all or none stay."""
-    gone = identify(docs, models, doc_id, text, **evidence).where("not kept").select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs whose language identify finds, in the columns of docs; of rows that share a doc_id, all or none stay; rows without one stay."""
+    return without(docs, doc_id, identify(docs, models, doc_id, text, **evidence).where("not kept").select(doc_id))

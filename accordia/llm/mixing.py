@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accordia.llm.common import WORD_PATTERN, materialize
+from accordia.llm.common import WORD_PATTERN, fresh, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -129,12 +129,15 @@ def _schedule(spark, sources: DataFrame, slots: int, block: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, rounded to whole documents, in the columns of docs."""
     taken = mix(docs, doc_id, text, source, weights, seed=seed).documents
-    times = taken.select("id", F.col("source").alias("_s"), "_order", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("_times"))
-    # Repeated rows are alike: their times are summed and the first of them carries the sum.
-    times = times.groupBy("id", "_s", "_order").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows"))
-    keyed = docs.withColumn("_o", F.xxhash64(F.col(doc_id), F.lit(seed), F.col(text)))
-    met = keyed.join(times, F.col(doc_id).eqNullSafe(F.col("id")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_o") == F.col("_order")))
-    share = F.floor(F.col("_times") / F.col("_rows")).cast("int")
-    rank = F.row_number().over(Window.partitionBy(doc_id, source, "_o").orderBy("_o"))
-    met = met.withColumn("_n", share + F.when(rank <= F.col("_times") % F.col("_rows"), 1).otherwise(0))
-    return met.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    id_, source_, order_, times_, rows_, own_, n_, copy_ = fresh(docs, "id", "s", "order", "times", "rows", "own", "n", "copy")
+    times = taken.select(F.col("id").alias(id_), F.col("source").alias(source_), F.col("_order").alias(order_), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias(times_))
+    # Repeated rows are alike: their times are summed and dealt out among them.
+    times = times.groupBy(id_, source_, order_).agg(F.sum(times_).alias(times_), F.count("*").alias(rows_))
+    keyed = docs.withColumn(own_, F.xxhash64(F.col(doc_id), F.lit(seed), F.col(text)))
+    met = keyed.join(times, F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(source_)) & (F.col(own_) == F.col(order_)))
+    share = F.floor(F.col(times_) / F.col(rows_)).cast("int")
+    # Single rows, nearly all, need no rank; a window ranks the others.
+    alone, several = met.where(F.col(rows_) == 1), met.where(F.col(rows_) > 1)
+    rank = F.row_number().over(Window.partitionBy(doc_id, source, own_).orderBy(own_))
+    dealt = alone.withColumn(n_, share).unionByName(several.withColumn(n_, share + F.when(rank <= F.col(times_) % F.col(rows_), 1).otherwise(0)))
+    return dealt.where(F.col(n_) > 0).withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(n_)))).select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import bound_batches, components, materialize, mix64, passes, spans, words
+from accordia.llm.common import bound_batches, components, fresh, materialize, mix64, passes, spans, words
 
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 26
@@ -256,8 +256,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of shingles. component_id is the
     smallest doc_id reachable by links; kept marks the document that is it. A text without words, and a null text, has an
-    empty set, links with nothing and is kept. doc_id must be a whole number, not null; rows that share a doc_id share
-    its component. Other columns are ignored; an empty table gives an empty result. Texts that link at exactly the
+    empty set, links with nothing and is kept. doc_id must be a whole number; rows that share a doc_id are judged each by
+    its text; a row without one joins the component of equal sets only, and is kept if there is none. Other columns are
+    ignored; an empty table gives an empty result. Texts that link at exactly the
     threshold are found unless all bands miss them (3e-5 by default, less above it).
     """
     bound_batches(docs.sparkSession)
@@ -294,7 +295,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = reps.select("digest", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("digest", F.coalesce("root", "cls").alias("component"))
     out = feats.select("id", "n", "digest").join(found.withColumnRenamed("digest", "_d"), F.col("digest") == F.col("_d"), "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    kept = F.coalesce(component == F.col("id"), component.isNull())
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,6 +317,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs of which near_duplicates keeps the document, in the columns of docs; of rows that share a kept doc_id, all stay."""
-    kept = near_duplicates(docs, doc_id, text, **options).where("kept").select(F.col(doc_id).alias("_kept")).distinct()
-    return docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi")
+    """The rows of docs of which near_duplicates keeps the document, in the columns of docs; of rows that share a kept doc_id, all stay, and so do rows without one."""
+    (name,) = fresh(docs, "kept_id")
+    kept = near_duplicates(docs, doc_id, text, **options).where("kept").select(F.col(doc_id).alias(name)).distinct()
+    return docs.join(kept, F.col(doc_id) == F.col(name), "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))

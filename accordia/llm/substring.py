@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordia.llm.common import _LOWER as LOWER
-from accordia.llm.common import bound_batches, materialize, mix64, passes, powers, words
+from accordia.llm.common import bound_batches, fresh, materialize, mix64, passes, powers, words
 
 #: The hash covers 16 bytes: each byte's gear is shifted out of its low RATE_BITS + 11 bits by then.
 WINDOW = 16
@@ -44,7 +44,7 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(gear_hashes(data) >> np.uint16(16 - RATE_BITS) == 0) + 1 if len(data) > WINDOW else np.zeros(0, np.int64)
     start = offsets[np.searchsorted(offsets, ends, side="left") - 1]
     ends = ends[ends - start >= WINDOW]  # before that, the hash holds bytes of another text
-    near = np.append(False, np.diff(ends) <= GAP)
+    near = np.append(False, np.diff(ends) <= GAP)[: len(ends)]
     ends = np.unique(np.concatenate([ends[~near], offsets[1:]]))
     ends = ends[ends > 0]
     lengths = np.diff(np.append(0, ends))
@@ -95,22 +95,25 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     return runs.where(F.col("n_words") >= least_words).select(F.col("id").alias(doc_id), "begin", "end", "n_words", "first_doc_id")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, cuts in zip(batch.column("_text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
-            for x in sorted(cuts or [], key=lambda x: -x["begin"]) if text is not None else []:
-                text = text[: x["begin"]] + text[x["end"] :]
-            out.append(None if text is None else text.decode("utf-8", "ignore"))
-        at = batch.schema.get_field_index("_text")
-        yield batch.set_column(at, "_text", pa.array(out, pa.string())).drop_columns(["_cuts"])
+def _cut(text_column: str, cuts_column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, cuts in zip(batch.column(text_column).to_pylist(), batch.column(cuts_column).to_pylist(), strict=True):
+                data = (text or "").encode()
+                for x in sorted(cuts, key=lambda x: -x["begin"]):
+                    data = data[: x["begin"]] + data[x["end"] :]
+                out.append(data.decode("utf-8", "ignore") if text is not None else None)
+            at = batch.schema.get_field_index(text_column)
+            yield batch.set_column(at, text_column, pa.array(out, pa.string())).drop_columns([cuts_column])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the repeats cut out of its texts, in the columns of docs; code points cut in two at an edge go too."""
-    cuts = find_repeats(docs, doc_id, text, least_words).groupBy(F.col(doc_id).alias("_id")).agg(F.collect_list(F.struct("begin", "end")).alias("_cuts"))
-    rows = docs.withColumn("_text", F.col(text).cast("binary")).join(cuts, F.col(doc_id) == F.col("_id"), "left").drop("_id")
-    touched = rows.where("_cuts is not null")
-    kind = ", ".join(f"`{f.name}` {'string' if f.name == '_text' else f.dataType.simpleString()}" for f in touched.drop("_cuts").schema)
-    changed = touched.mapInArrow(_cut, kind).withColumn(text, F.col("_text")).select(*docs.columns)
-    return changed.unionByName(rows.where("_cuts is null").select(*docs.columns))
+    id_, cuts_ = fresh(docs, "cut_id", "cuts")
+    cuts = find_repeats(docs, doc_id, text, least_words).groupBy(F.col(doc_id).alias(id_)).agg(F.collect_list(F.struct("begin", "end")).alias(cuts_))
+    rows = docs.join(cuts, F.col(doc_id) == F.col(id_), "left").drop(id_)
+    touched = rows.where(F.col(cuts_).isNotNull()).mapInArrow(_cut(text, cuts_), docs.schema)
+    return touched.unionByName(rows.where(F.col(cuts_).isNull()).drop(cuts_))

@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordia.llm.common import fresh
+
 #: The largest filter that is sent to the executors; a longer list is matched by a shuffled join on the key.
 MAX_FILTER_BITS = 1 << 28
 LATER_FPP = 0.5
@@ -146,7 +148,8 @@ def judge_urls(urls: DataFrame, rules: list[Rule], url: str = "url", default: st
 
 def _joined(out: DataFrame, keys: Column, listed: DataFrame, default: str) -> DataFrame:
     """For lists whose filter is over the bound: candidates meet the list in a shuffled join, each row keeps its longest."""
-    rows = out.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    hits = rows.select("_row", F.posexplode(keys).alias("_at", "key")).join(listed, "key")
-    best = hits.groupBy("_row").agg(F.min_by(F.struct("key", "verdict"), "_at").alias("_best"))
-    return rows.join(best, "_row", "left").select(*out.columns, F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    row_, at_, best_ = fresh(out, "row", "at", "best")
+    rows = out.withColumn(row_, F.monotonically_increasing_id()).checkpoint()
+    hits = rows.select(row_, F.posexplode(keys).alias(at_, "key")).join(listed, "key")
+    best = hits.groupBy(row_).agg(F.min_by(F.struct("key", "verdict"), at_).alias(best_))
+    return rows.join(best, row_, "left").select(*out.columns, F.col(best_)["key"].alias("rule"), F.coalesce(F.col(best_)["verdict"], F.lit(default)).alias("verdict"))
