@@ -65,32 +65,38 @@ def monotone_logistic(design: np.ndarray, y: np.ndarray, l2: float = 0.25, rate:
     return bias, w
 
 
-def isotonic_maps(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Per group with both classes: knots x, y in order, from x and correct."""
+def _with_both_classes(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Usable rows (x, correct as doubles) of the groups that have right and wrong ones."""
+    usable = rows.select(*group, F.col("x").cast("double").alias("x"), F.col("correct").cast("double").alias("correct")).where("x is not null and not isnan(x) and correct is not null")
+    both = usable.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min("correct").alias("_lo"), F.max("correct").alias("_hi")).where("_lo < _hi")
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return usable.join(both, same, "left_semi")
+
+
+def _per_group(rows: DataFrame, group: list[str], fit: Callable[[np.ndarray, np.ndarray], dict], kinds: str) -> DataFrame:
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = fit(part["x"].to_numpy(float), part["correct"].to_numpy(float))
+        return pd.DataFrame({**{g: part[g].iloc[0] for g in group}, **found})
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna(subset=["x", "correct"])
-        if part["correct"].nunique() < 2:
-            return pd.DataFrame({**{g: [] for g in group}, "x": [], "y": []})
-        kx, ky = pool_adjacent(part["x"].to_numpy(float), part["correct"].to_numpy(float))
-        return pd.DataFrame({**{g: part[g].iloc[0] for g in group}, "x": kx, "y": ky})
+    named = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
+    return _with_both_classes(rows, group).groupBy(*group).applyInPandas(run, f"{named}, {kinds}")
 
-    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
-    return rows.select(*group, "x", F.col("correct").cast("double").alias("correct")).groupBy(*group).applyInPandas(fit, f"{kinds}, x double, y double")
+
+def isotonic_maps(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Per group with both classes: knots x, y in order, from x and correct."""
+    return _per_group(rows, group, lambda x, y: dict(zip("xy", pool_adjacent(x, y), strict=True)), "x double, y double")
 
 
 def platt_maps(rows: DataFrame, group: list[str]) -> DataFrame:
     """Per group with both classes: slope, intercept, n."""
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna(subset=["x", "correct"])
-        if part["correct"].nunique() < 2:
-            return pd.DataFrame({**{g: [] for g in group}, "slope": [], "intercept": [], "n": []})
-        a, b = platt(part["x"].to_numpy(float), part["correct"].to_numpy(float))
-        return pd.DataFrame({**{g: [part[g].iloc[0]] for g in group}, "slope": [a], "intercept": [b], "n": [len(part)]})
+    def fit(x: np.ndarray, y: np.ndarray) -> dict:
+        slope, intercept = platt(x, y)
+        return {"slope": [slope], "intercept": [intercept], "n": [len(y)]}
 
-    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
-    return rows.select(*group, "x", F.col("correct").cast("double").alias("correct")).groupBy(*group).applyInPandas(fit, f"{kinds}, slope double, intercept double, n long")
+    return _per_group(rows, group, fit, "slope double, intercept double, n long")
 
 
 def cross_fit(rows: DataFrame, stratum: str, fold: str, k: int, least: int = 10) -> DataFrame:
