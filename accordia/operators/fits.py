@@ -119,21 +119,37 @@ def fit_risk(rows: DataFrame, design: list, label: str) -> tuple[float, np.ndarr
     return monotone_logistic(found.to_numpy(), y)
 
 
+def _by_item(rows: DataFrame, label: Callable[[pd.Series], list[int]]) -> DataFrame:
+    """item_id, pos, label from a row an item, whose samples (pos, ...) are sorted: many items make one call."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            labels = [label(item) for _, item in batch.iterrows()]
+            ids = np.repeat(batch["item_id"].to_numpy(), [len(x) for x in labels])
+            yield pd.DataFrame({"item_id": ids, "pos": [x["pos"] for s in batch["samples"] for x in s], "label": [y for x in labels for y in x]})
+
+    return rows.mapInPandas(run, "item_id long, pos int, label int")
+
+
+def _sorted_samples(samples: DataFrame, *columns: str) -> DataFrame:
+    return samples.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("samples"))
+
+
 def greedy_clusters(samples: DataFrame, similar: Callable[[str, str], float], threshold: float) -> DataFrame:
     """item_id, pos, label: each sample joins the first cluster whose first member is similar both ways, else founds one."""
 
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
+    def label(item: pd.Series) -> list[int]:
         leaders: list[str] = []
         labels = []
-        for text in part["text"]:
+        for x in item["samples"]:
+            text = x["text"]
             found = next((i for i, lead in enumerate(leaders) if similar(lead, text) >= threshold and similar(text, lead) >= threshold), len(leaders))
             if found == len(leaders):
                 leaders.append(text)
             labels.append(found)
-        return part[["item_id", "pos"]].assign(label=labels)
+        return labels
 
-    return samples.select("item_id", "pos", "text").groupBy("item_id").applyInPandas(cluster, "item_id long, pos int, label int")
+    return _by_item(_sorted_samples(samples, "text"), label)
 
 
 def merge_typed(keys: list[str], label: dict[tuple[int, int], str], score: dict[tuple[int, int], float], tau: float) -> list[int]:
@@ -163,14 +179,14 @@ def merge_typed(keys: list[str], label: dict[tuple[int, int], str], score: dict[
 def typed_clusters(samples: DataFrame, pairs: DataFrame, tau: float) -> DataFrame:
     """item_id, pos, label of merge_typed over samples (item_id, pos, key) and pairs (item_id, i < j, label, score)."""
 
-    def cluster(key: tuple, part: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        at = {p: i for i, p in enumerate(part["pos"])}
-        where = [(at[i], at[j]) for i, j in zip(links["i"], links["j"], strict=True)]
-        found = merge_typed(list(part["key"]), dict(zip(where, links["label"], strict=True)), dict(zip(where, links["score"], strict=True)), tau)
-        return part[["item_id", "pos"]].assign(label=found)
+    def label(item: pd.Series) -> list[int]:
+        at = {x["pos"]: i for i, x in enumerate(item["samples"])}
+        links = [] if item["pairs"] is None else item["pairs"]
+        where = [(at[p["i"]], at[p["j"]]) for p in links]
+        return merge_typed([x["key"] for x in item["samples"]], dict(zip(where, (p["label"] for p in links), strict=True)), dict(zip(where, (p["score"] for p in links), strict=True)), tau)
 
-    return samples.select("item_id", "pos", "key").groupBy("item_id").cogroup(pairs.select("item_id", "i", "j", "label", "score").groupBy("item_id")).applyInPandas(cluster, "item_id long, pos int, label int")
+    linked = pairs.groupBy("item_id").agg(F.collect_list(F.struct("i", "j", "label", "score")).alias("pairs"))
+    return _by_item(_sorted_samples(samples, "key").join(linked, "item_id", "left"), label)
 
 
 def resample(rows: DataFrame, statistic: Callable[[pd.DataFrame], float], replicates: int, unit: str | None = None, parts: int = 8) -> DataFrame:
