@@ -23,9 +23,9 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes that one numpy pass works on (a longer text makes a pass of its own).
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 #: Bytes that Spark puts into one Arrow batch (and one row more).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Edges up to which one task finishes the components: 2^20 pairs of longs are 16 MB.
 LOCAL_EDGES = 1 << 20
 

@@ -39,9 +39,9 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     mixed = (shown[:-2] << np.uint32(16) | shown[1:-1] << np.uint32(8) | shown[2:]) * np.uint32(2654435761)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     whole = (text[:-2] == text[2:]) & ~((shown[:-2] == 32) & (shown[1:-1] == 32))
-    return text[:-2][whole], (mixed[whole] >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int64)
+    return text[:-2][whole], (mixed[whole] >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int32)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ PAGE_BYTES = 256 << 10
 #: Bytes of input that one output file takes, about, and the most files.
 FILE_BYTES, MOST_FILES = 8 << 20, 1 << 20
 #: Segments, and characters of them, beyond which a worker forgets the ids of all but the most frequent that came twice.
-MOST_SEGMENTS, MOST_CHARS, FREQUENT = 400_000, 16 << 20, 120_000
+MOST_SEGMENTS, MOST_CHARS, FREQUENT = 300_000, 16 << 20, 120_000
 #: Pieces of a text that new segments are encoded in: short texts take less time than one long one.
 RUN = 256
 #: Byte-level BPE first splits a text where these segments part (and further), so that each segment's ids stand alone.
