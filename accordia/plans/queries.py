@@ -465,22 +465,18 @@ def slice_contrast(spark, d):
 
 
 # Pairwise
-def _few(spark, d) -> DataFrame:
-    return I.samples(spark, d).where("pos < 6")
-
-
 TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 PAIRS = f", few AS (SELECT *, {TOKENS} AS t FROM samples WHERE pos < 6), lex AS (SELECT a.item_id, a.pos AS i, b.pos AS j, a.key AS ki, b.key AS kj, len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS score FROM few a JOIN few b ON a.item_id = b.item_id AND a.pos < b.pos)"
 
 
 @query(sql("samples", PAIRS + f" SELECT item_id, i, j, {R('score')} AS score FROM lex"))
 def lexical_pairs(spark, d):
-    return A.pair_scores(_few(spark, d))
+    return A.pair_scores(I.samples(spark, d))
 
 
 @query(sql("samples", PAIRS + f""", e AS (SELECT item_id, i AS pos, score FROM lex UNION ALL SELECT item_id, j, score FROM lex), b AS (SELECT item_id, pos, max(score) AS m FROM e GROUP BY 1, 2) SELECT few.item_id, {R('avg(1 - coalesce(m, 0))')} AS selfcheck FROM few LEFT JOIN b ON b.item_id = few.item_id AND b.pos = few.pos GROUP BY 1"""))
 def selfcheck(spark, d):
-    s = _few(spark, d)
+    s = I.samples(spark, d)
     return A.selfcheck(s, A.pair_scores(s))
 
 
@@ -488,7 +484,7 @@ RULE = "CASE WHEN ki = 'NONE' OR kj = 'NONE' THEN 'AMBIGUOUS' WHEN ki = kj THEN
 
 
 def _ruled(spark, d) -> DataFrame:
-    p = relations.pairs(_few(spark, d))
+    p = relations.pairs(I.samples(spark, d))
     part = lambda c, i: F.split(c, " ")[i]
     known = (F.col("key_i") != "NONE") & (F.col("key_j") != "NONE") & (F.col("key_i") != F.col("key_j"))
     link = F.when(known, F.when(part("key_i", 1) == part("key_j", 1), "successor_of").when(part("key_i", 0) != part("key_j", 0), "different_offence"))
@@ -505,7 +501,7 @@ def rule_relations(spark, d):
     x AS (SELECT l.item_id, CASE WHEN a.label = m.modal THEN b.label ELSE a.label END AS label, count(*) AS h FROM lex l JOIN s a ON a.item_id = l.item_id AND a.pos = l.i JOIN s b ON b.item_id = l.item_id AND b.pos = l.j JOIN m ON m.item_id = l.item_id WHERE ({RULE}) = 'CONTRADICTORY' AND (a.label = m.modal) <> (b.label = m.modal) GROUP BY 1, 2)
     SELECT z.item_id, {R('sum(CASE WHEN z.label <> m.modal AND coalesce(h, 0) * 2 >= z.c * m.mc THEN z.c ELSE 0 END) / max(m.m)')} AS mass FROM z JOIN m ON m.item_id = z.item_id LEFT JOIN x ON x.item_id = z.item_id AND x.label = z.label GROUP BY 1"""))
 def contradiction_mass(spark, d):
-    s = _few(spark, d)
+    s = I.samples(spark, d)
     firsts = s.withColumn("first", F.min("pos").over(Window.partitionBy("item_id", "key")))
     clusters = firsts.select("item_id", "pos", (F.dense_rank().over(Window.partitionBy("item_id").orderBy("first")) - 1).alias("label"))
     return relations.contradiction_mass(clusters, _ruled(spark, d).where("label = 'CONTRADICTORY'"))
@@ -546,13 +542,13 @@ def _alike(a: str, b: str) -> float:
 
 @query()
 def greedy_clusters(spark, d):
-    return fits.greedy_clusters(_few(spark, d), _alike, 0.8)
+    return fits.greedy_clusters(I.samples(spark, d), _alike, 0.8)
 
 
 @query()
 def typed_clusters(spark, d):
-    p = _ruled(spark, d).join(A.pair_scores(_few(spark, d)), ["item_id", "i", "j"])
-    return fits.typed_clusters(_few(spark, d), p, 0.5)
+    p = _ruled(spark, d).join(A.pair_scores(I.samples(spark, d)), ["item_id", "i", "j"])
+    return fits.typed_clusters(I.samples(spark, d), p, 0.5)
 
 
 @query()
