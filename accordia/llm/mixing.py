@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame functions only.
 
-Each source's documents, shuffled by a hash, are laid end to end and cut into blocks of equal numbers of words. Slot k
-of the mix falls on the point frac(k * golden ratio), mapped through the cumulative target weights to a source; the
-slots of a source are ranked, and the slot of rank j takes that source's block j, starting anew when all are taken.
+Each source's documents, shuffled by a hash, are laid end to end and cut into blocks whose numbers of words differ by one
+at most; small sources have smaller blocks, so that each has many. Slot k of the mix falls on the point frac(k * golden
+ratio), mapped to a source through the cumulative numbers of its blocks that make up the targets; the slots of a source
+are ranked, and the slot of rank j takes that source's block j, starting anew when all are taken.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ RANGE_BITS = 31
 GOLDEN = 1327217885
 LEAST_SLOTS = 1 << 17
 MOST_BLOCK = 1 << 20
+#: Blocks that each source has at least, or one a word; fewer where so many sources would make over LEAST_OF_ALL of them.
+LEAST_BLOCKS = 1 << 10
+LEAST_OF_ALL = 1 << 27
 #: Documents or slots whose running sums one task makes.
 BUCKET_ROWS = 1 << 12
 
 
 class Mix(NamedTuple):
-    sources: DataFrame  # source, source_size, weight, target, low, high
+    sources: DataFrame  # source, source_size, weight, target, blocks, slots, low, high
     pieces: DataFrame  # id, source, block, words: the parts of documents that make up each block
     schedule: DataFrame  # slot, source, rank, pass, block
     documents: DataFrame  # id, size, source_size, target, taken
@@ -84,19 +88,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     totals = sized.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
     n, total = totals["n"], totals["words"] or 0
     block = max(1, min(MOST_BLOCK, total // LEAST_SLOTS), -(-total // (1 << (RANGE_BITS - 1))))
-    slots = -(-total // block)
-    sources = materialize(_ranged(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)), "sources")
+    sources = materialize(_ranged(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), block), "sources")
+    slots = round(sources.agg(F.sum("slots")).first()[0] or 0)
 
     parts = max(1, n // BUCKET_ROWS)
     placed = sized.withColumn("_bucket", F.floor((F.shiftrightunsigned("_order", 33).cast("double") / (1 << RANGE_BITS)) * parts).cast("int"))
     # Equal rows share id, text and thus the hash: which of them comes first makes no difference that can be seen.
     placed = running(placed, ["source"], "_bucket", [F.shiftrightunsigned("_order", 33), F.col("_order"), F.col("id")], F.col("size"), "_at")
-    first, last = F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block)
-    pieces = placed.where("size > 0").select("id", "source", "_order", "_at", "size", F.explode(F.sequence(first, last)).alias("block"))
-    words = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("_at"), F.col("block") * block)
+    # A source's first blocks have a word more than its others.
+    cut = sources.where("blocks > 0").select(F.col("source").alias("_s"), F.expr("source_size div blocks").alias("_least"), (F.col("source_size") % F.col("blocks")).alias("_longer"))
+    begin = lambda b: b * F.col("_least") + F.least(b, F.col("_longer"))
+    holder = "if({0} < _longer * (_least + 1), {0} div (_least + 1), ({0} - _longer) div _least)"
+    held = placed.where("size > 0").join(cut, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    pieces = held.withColumn("block", F.explode(F.sequence(F.expr(holder.format("_at")), F.expr(holder.format("(_at + size - 1)")))))
+    words = F.least(F.col("_at") + F.col("size"), begin(F.col("block") + 1)) - F.greatest(F.col("_at"), begin(F.col("block")))
     pieces = pieces.select("id", "source", "_order", "_at", "block", words.cast("long").alias("words"))
 
-    schedule = _schedule(docs.sparkSession, sources, slots, block).where(F.col("pass") < most)
+    schedule = _schedule(docs.sparkSession, sources, slots).where(F.col("pass") < most)
     taken = schedule.groupBy("source", "block").agg(F.count("*").alias("_times"))
     hits = pieces.alias("p").join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")))
     # One document's pieces meet by its place in its source, which tells repeated rows apart.
@@ -107,19 +115,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return Mix(sources, pieces, schedule, out)
 
 
-def _ranged(sources: DataFrame) -> DataFrame:
-    """With low and high: the source's part of [0, 2^31), by cumulative target."""
+def _ranged(sources: DataFrame, block: int) -> DataFrame:
+    """With blocks, of at most `block` words; slots, the blocks that make up the target; low and high: the source's part of [0, 2^31), by cumulative slots."""
+    everything = Window.partitionBy()
+    least = F.greatest(F.lit(1), F.least(F.lit(LEAST_BLOCKS), F.floor(F.lit(LEAST_OF_ALL) / F.count("*").over(everything))))
+    sources = sources.withColumn("blocks", F.least(F.col("source_size"), F.greatest(least, F.ceil(F.col("source_size") / block))).cast("long"))
+    sources = sources.withColumn("slots", F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0)))
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    top = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(Window.partitionBy())
-    cut = sources.withColumn("high", F.coalesce(F.round(F.when(F.sum("target").over(Window.partitionBy()) > 0, top) * (1 << RANGE_BITS)), F.lit(0)).cast("long"))
+    top = F.sum("slots").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("slots").over(everything)
+    cut = sources.withColumn("high", F.coalesce(F.round(F.when(F.sum("slots").over(everything) > 0, top) * (1 << RANGE_BITS)), F.lit(0)).cast("long"))
     return cut.withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0)).cast("long"))
 
 
-def _schedule(spark, sources: DataFrame, slots: int, block: int) -> DataFrame:
+def _schedule(spark, sources: DataFrame, slots: int) -> DataFrame:
     """slot, source, rank, pass, block. Points meet sources on the cells of a grid that each source's range covers."""
     cells = 1 << 10
     width = (1 << RANGE_BITS) // cells
-    spread = sources.where("high > low").select("source", "low", "high", F.ceil(F.col("source_size") / block).alias("_blocks"), F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("_cell"))
+    spread = sources.where("high > low").select("source", "low", "high", F.col("blocks").alias("_blocks"), F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("_cell"))
     points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % (1 << RANGE_BITS)).alias("_x")).withColumn("_cell", F.floor(F.col("_x") / width))
     dealt = points.join(spread, "_cell").where("_x >= low and _x < high").select("slot", "source", "_blocks", F.floor(F.col("slot") / BUCKET_ROWS).alias("_bucket"))
     ranked = running(dealt, ["source"], "_bucket", [F.col("slot")], F.lit(1).cast("long"), "rank")

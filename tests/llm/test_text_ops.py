@@ -170,6 +170,18 @@ def test_mix_comes_near_its_targets_and_repeats_itself(spark):
     assert mixing.mixed_documents(d).columns == d.columns
 
 
+def test_small_sources_beside_a_large_one_come_near_their_targets(spark):
+    # As with billions of words, the large source makes a block longer than the small sources' documents together.
+    texts = [("tiny", 5), ("tiny", 2), ("small", 900), ("small", 1100), ("little", 4_000), ("little", 5_000)] + [("huge", 1_500_000)] * 20
+    rows = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(texts)], "doc_id long, source string, n int").repartition(8)
+    d = rows.withColumn("text", F.expr("repeat('w ', n)"))
+    documents = mixing.mix(d).documents.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+    assert len(documents) == 4
+    for r in documents:
+        assert abs(r["taken"] - r["target"]) <= max(4, 0.01 * r["target"]), r
+    assert {r["source"] for r in mixing.mixed_documents(d).select("source").distinct().collect()} == {"tiny", "small", "little", "huge"}
+
+
 def test_mix_of_odd_rows(spark, odd):
     m = mixing.mix(odd).documents
     assert m.count() == odd.count() and m.where("size = 0 and taken <> 0").count() == 0
