@@ -23,9 +23,11 @@ RATE_BITS = 4
 GAP = 12
 #: Text without an end of its own is cut after so many bytes; a prime, so that chunks of one repeated word take all phases.
 LONGEST = 127
-#: A repeat's chunks hold so many words at least. What a passage loses at its ends, about ten words on average and rarely
-#: twenty, comes on top, so that passages of 50 words are found.
+#: A repeat's chunks hold so many words at least, or so many with all words that its passage can have lost at its ends.
 LEAST_WORDS = 30
+LEAST_PASSAGE = 51
+#: Ends in a passage's first so many bytes may hang on what stands before it.
+LEAD = WINDOW + GAP
 GEAR = np.random.default_rng(77).integers(0, 1 << 16, 256, dtype=np.uint64).astype(np.uint16)
 
 
@@ -54,6 +56,23 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ends
 
 
+def edges(data: np.ndarray, offsets: np.ndarray, begins: np.ndarray, ends: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chunk, the most words that a passage whose first (last) whole chunk it is can have before (after) it.
+
+    A passage's ends of chunks are those of its other places from LEAD bytes on, but for cuts at LONGEST, which count from
+    the end before: thus it begins at most LEAD bytes before the last end of the hash's own. It ends within the next chunk.
+    """
+    own = ends - begins != LONGEST  # ends of the hash at just that length count as cuts, which finds more
+    last = np.maximum.accumulate(np.where(np.append(True, own[:-1]) | np.append(True, owner[1:] != owner[:-1]), np.arange(len(begins)), 0))[: len(begins)] if len(begins) else begins
+    back = np.append(0, last[:-1])[: len(begins)]
+    inner = np.append(False, owner[1:] == owner[:-1])[: len(begins)]
+    floor = np.maximum(begins[back] - LEAD, offsets[owner]) if len(begins) else begins
+    before = np.where(inner, np.searchsorted(starts, begins) - np.searchsorted(starts, floor), 0)
+    following = np.append(ends[1:], 0)[: len(ends)]
+    after = np.where(np.append(inner[1:], False)[: len(ends)], np.searchsorted(starts, following) - np.searchsorted(starts, ends), 0)
+    return before, after
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in passes(batch, "text"):
@@ -66,16 +85,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
             starts = words(data, offsets).begin
             n = np.searchsorted(starts, ends) - np.searchsorted(starts, begins)
+            before, after = edges(data, offsets, begins, ends, owner, starts)
             first = np.searchsorted(owner, np.arange(part.num_rows))
             ids = part.column("id").take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([ids, pa.array((np.arange(len(ends)) - first[owner]).astype(np.int32)), pa.array((begins - offsets[owner]).astype(np.int32)), pa.array((ends - offsets[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64))], ["id", "chunk", "begin", "end", "n_words", "digest"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array((np.arange(len(ends)) - first[owner]).astype(np.int32)), pa.array((begins - offsets[owner]).astype(np.int32)), pa.array((ends - offsets[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(digest.view(np.int64))], ["id", "chunk", "begin", "end", "n_words", "before", "after", "digest"])
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, chunk (its number in the text), begin, end (bytes), n_words (that begin in it), digest; letters' case is ignored."""
+    """id, chunk (its number in the text), begin, end (bytes), n_words (that begin in it), before, after (see edges), digest; letters' case is ignored."""
     bound_batches(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    return plain.mapInArrow(_chunks, "id long, chunk int, begin int, end int, n_words int, digest long")
+    return plain.mapInArrow(_chunks, "id long, chunk int, begin int, end int, n_words int, before int, after int, digest long")
 
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -88,11 +108,12 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """
     found = materialize(chunks(docs, doc_id, text).where("id is not null"), "chunks")
     firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first < _last").select("digest", "first")
-    repeats = found.join(firsts, "digest").where("id > first").select("id", "chunk", "begin", "end", "n_words", "first").distinct()
+    repeats = found.join(firsts, "digest").where("id > first").select("id", "chunk", "begin", "end", "n_words", "before", "after", "first").distinct()
     # Runs of neighbours: a chunk's number less its rank among the document's repeats stays the same along a run.
     ranked = repeats.withColumn("_run", F.col("chunk") - F.dense_rank().over(Window.partitionBy("id").orderBy("chunk")))
-    runs = ranked.groupBy("id", "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min("first").alias("first_doc_id"))
-    return runs.where(F.col("n_words") >= least_words).select(F.col("id").alias(doc_id), "begin", "end", "n_words", "first_doc_id")
+    runs = ranked.groupBy("id", "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min("first").alias("first_doc_id"), F.min_by("before", "chunk").alias("_before"), F.max_by("after", "chunk").alias("_after"))
+    enough = (F.col("n_words") >= least_words) | (F.col("n_words") + F.col("_before") + F.col("_after") >= LEAST_PASSAGE)
+    return runs.where(enough).select(F.col("id").alias(doc_id), "begin", "end", "n_words", "first_doc_id")
 
 
 def _cut(text_column: str, cuts_column: str):

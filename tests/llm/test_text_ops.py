@@ -402,6 +402,15 @@ def test_passages_that_repeat_are_found(spark):
     assert all(left[i] == texts[i] for i in range(100) if i not in want) and all(len(left[i]) < len(texts[i]) - 150 for i in want)
 
 
+def test_all_of_many_passages_of_51_words_are_found(spark):
+    texts = [prose(3 * i + 20_000, 20 + i % 31) + " " + prose(90_000 + i // 2, 51) + " " + prose(3 * i + 40_000, 30) for i in range(1200)]
+    got = substring.find_repeats(spark.createDataFrame(rows(texts), DOCS)).collect()
+    assert {r["doc_id"] for r in got} == set(range(1, 1200, 2)) and all(r["first_doc_id"] == r["doc_id"] - 1 for r in got)
+    # Far shorter ones are left alone.
+    texts = [prose(3 * i + 20_000, 20 + i % 31) + " " + prose(90_000 + i // 2, 20) + " " + prose(3 * i + 40_000, 30) for i in range(400)]
+    assert substring.find_repeats(spark.createDataFrame(rows(texts), DOCS)).count() <= 8
+
+
 def test_repeats_of_odd_rows(spark, odd):
     got = {r["doc_id"] for r in substring.find_repeats(odd).collect()}
     assert got == {5}
