@@ -4,8 +4,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from accordia.llm import chat, common, decontaminate, langid, mixing, near_dup, quality, substring, token_out, url_filter
 from accordia.llm.queries import ORACLE, QUERIES, TOKENIZER, URL_RULES
@@ -420,30 +422,79 @@ def test_repeats_of_odd_rows(spark, odd):
 
 
 # Tokens
+def library(name="byte_bpe_50k.json"):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def utf8(texts):
+    coded = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(coded), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in coded])]).astype(np.int64)
+
+
+def same_as_library(encoder, tokenizer, texts):
+    flat, n = encoder.encode(*utf8(texts))
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+ODD_PARTS = ["a", "b", "é", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "1", "23", ".", "!!", "\x1c", "\x85", "\u200b", "😀", "<|endoftext|>", "日本", "\x00", "don't", " '", "²", "—", "\u0301", "Ω", "\xa0", "\u3000", "\u2009", "ß", "×", "ŵ", "ɏ", "à", "x" * 17, "<|"]
+
+
 def test_segments_encode_as_whole_texts():
     draw = random.Random(5)
-    parts = ["a", "b", "é", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "1", "23", ".", "!!", "\x1c", "\x85", "\u200b", "😀", "<|endoftext|>", "日本", "\x00", "don't", " '", "²", "—", "\u0301", "Ω"]
-    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(4000)] + [prose(1, 3000)]
-    encoder = token_out.Encoder(TOKENIZER, True, 0)
-    for size in (1, 37, 4001):
-        flat, n = encoder.encode(texts[:size])
-        got = np.split(flat, np.cumsum(n)[:-1])
-        assert all(np.array_equal(g, np.append(w, 0)) for g, w in zip(got, encoder.plain(texts[:size]), strict=True))
+    texts = ["".join(draw.choice(ODD_PARTS) for _ in range(draw.randint(0, 30))) for _ in range(6000)] + [prose(1, 3000), "a <|endoftext|> b", "y" * 5000]
+    encoder, tokenizer = token_out.Encoder(TOKENIZER, 0), library()
+    assert encoder.by_segment and encoder.encode(*utf8(["a <|endoftext|> b"]))[0].tolist() == [64, 220, 50256, 275, 0]
+    for size in (1, 37, 6003):
+        same_as_library(encoder, tokenizer, texts[:size])
+    same_as_library(encoder, tokenizer, [])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_pair_of_odd_parts_is_parted_as_by_the_library(seed):
+    draw = random.Random(seed)
+    texts = [x + y + draw.choice(ODD_PARTS) for x in ODD_PARTS for y in ODD_PARTS if "<|e" not in x + y]
+    same_as_library(token_out.Encoder(TOKENIZER, 0), library(), texts)
+
+
+def test_letters_that_segments_end_after_are_letters_to_the_library():
+    tokenizer = library()
+    for code in range(0x80, 0x250):
+        text = f"a{chr(code)}."
+        begins = token_out.segment_begins(*utf8([text]))
+        if len(begins) > 1:
+            assert len(tokenizer.pre_tokenizer.pre_tokenize_str(text)) == 2, hex(code)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    encoder = token_out.Encoder(public_tokenizers.path("word_bpe_49k.json"), 0)
+    assert not encoder.by_segment
+    same_as_library(encoder, library("word_bpe_49k.json"), ["A  b\n c", "", prose(3, 50), "x<|endoftext|>"])
 
 
 def test_forgotten_segments_are_learned_again(monkeypatch):
     monkeypatch.setattr(token_out, "MOST_SEGMENTS", 50)
-    monkeypatch.setattr(token_out, "FREQUENT", 10)
-    encoder = token_out.Encoder(TOKENIZER, True, 0)
+    monkeypatch.setattr(token_out, "BLOCK", 16)
+    encoder, tokenizer = token_out.Encoder(TOKENIZER, 0), library()
     for i in range(60):
-        texts = [prose(i % 7, 40), prose(i, 40)]
-        flat, n = encoder.encode(texts)
-        assert np.array_equal(flat, np.concatenate([np.append(w, 0) for w in encoder.plain(texts)])) and n.sum() == len(flat)
+        same_as_library(encoder, tokenizer, [prose(i % 7, 40), prose(i, 40)])
+
+
+def test_token_query_gives_the_librarys_ids(spark):
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op10_token_output"](spark, SMALL).collect()}
+    tokenizer, start = library(), 0
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    for r in docs:
+        ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert got[r["doc_id"]] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(got) == len(docs)
 
 
 def test_token_files_read_back(spark, odd):
+    odd = odd.unionByName(odd.limit(1).select(F.lit(77).cast("long").alias("doc_id"), F.lit("two <|endoftext|><|endoftext|> ends").alias("text"), *[c for c in odd.columns if c not in ("doc_id", "text")]))
     out = token_out.token_digests(token_out.tokenize_documents(odd, TOKENIZER, files=3)).collect()
-    tokenizer = token_out.Encoder(TOKENIZER, False, 0).tokenizer
+    tokenizer = library()
     order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in odd.collect()))
     want, start = [], 0
     for known, i, t in order:
