@@ -34,7 +34,7 @@ _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _BYTES = np.arange(256)
 _ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 _PUNCTUATION = np.array([32 < i < 127 and not chr(i).isalnum() for i in range(256)])
-#: Control characters that some count as white space, and second bytes of Latin letters after C3 to C9.
+#: Control characters that some count as white space.
 _ODD_CONTROL = (_BYTES >= 0x1C) & (_BYTES <= 0x1F)
 #: (lead bytes, last bytes) of white space beyond ASCII, or more than that: U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000.
 _WIDE_SPACE = ((b"\xc2", bytes([0x85, 0xA0])), (b"\xe1\x9a", b"\x80"), (b"\xe2\x80", bytes(range(0x80, 0xB0))), (b"\xe2\x81", b"\x9f"), (b"\xe3\x80", b"\x80"))
@@ -88,9 +88,9 @@ class Encoder:
 
     def forget(self) -> None:
         """Of each segment: its bytes as two numbers, its length (0 if it is in `longer`), where its ids begin, how many."""
-        self.slots = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
         self.low, self.high = np.zeros((2, 1 << 16), np.uint64)
-        self.length, self.begin, self.size = np.zeros((3, 1 << 16), np.int64)
+        self.length, self.size, self.begin = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
         self.known, self.longer = 0, {}
         self.ids, self.filled = np.zeros(1 << 18, np.int32), 0
 
