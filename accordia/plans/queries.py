@@ -466,7 +466,9 @@ def slice_contrast(spark, d):
 
 # Pairwise
 TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
-PAIRS = f", few AS (SELECT *, {TOKENS} AS t FROM samples WHERE pos < 6), lex AS (SELECT a.item_id, a.pos AS i, b.pos AS j, a.key AS ki, b.key AS kj, len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS score FROM few a JOIN few b ON a.item_id = b.item_id AND a.pos < b.pos)"
+# Texts are split once each; every pair of an item's samples then looks its texts' overlap up.
+PAIRS = f""", words AS (SELECT text, {TOKENS} AS t FROM (SELECT DISTINCT text FROM samples)), alike AS (SELECT x.text AS a, y.text AS b, len(list_intersect(x.t, y.t)) / greatest(len(x.t), len(y.t)) AS score FROM words x, words y),
+    lex AS (SELECT a.item_id, a.pos AS i, b.pos AS j, a.key AS ki, b.key AS kj, score FROM samples a JOIN samples b ON a.item_id = b.item_id AND a.pos < b.pos JOIN alike ON alike.a = a.text AND alike.b = b.text)"""
 
 
 @query(sql("samples", PAIRS + f" SELECT item_id, i, j, {R('score')} AS score FROM lex"))
@@ -474,7 +476,7 @@ def lexical_pairs(spark, d):
     return A.pair_scores(I.samples(spark, d))
 
 
-@query(sql("samples", PAIRS + f""", e AS (SELECT item_id, i AS pos, score FROM lex UNION ALL SELECT item_id, j, score FROM lex), b AS (SELECT item_id, pos, max(score) AS m FROM e GROUP BY 1, 2) SELECT few.item_id, {R('avg(1 - coalesce(m, 0))')} AS selfcheck FROM few LEFT JOIN b ON b.item_id = few.item_id AND b.pos = few.pos GROUP BY 1"""))
+@query(sql("samples", PAIRS + f""", e AS (SELECT item_id, i AS pos, score FROM lex UNION ALL SELECT item_id, j, score FROM lex), b AS (SELECT item_id, pos, max(score) AS m FROM e GROUP BY 1, 2) SELECT samples.item_id, {R('avg(1 - coalesce(m, 0))')} AS selfcheck FROM samples LEFT JOIN b ON b.item_id = samples.item_id AND b.pos = samples.pos GROUP BY 1"""))
 def selfcheck(spark, d):
     s = I.samples(spark, d)
     return A.selfcheck(s, A.pair_scores(s))
@@ -496,7 +498,7 @@ def rule_relations(spark, d):
     return _ruled(spark, d).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(sql("samples", PAIRS + f""", s AS (SELECT item_id, key, dense_rank() OVER (PARTITION BY item_id ORDER BY first) - 1 AS label, pos FROM (SELECT *, min(pos) OVER (PARTITION BY item_id, key) AS first FROM few)), z AS (SELECT item_id, label, count(*) AS c FROM s GROUP BY 1, 2),
+@query(sql("samples", PAIRS + f""", s AS (SELECT item_id, key, dense_rank() OVER (PARTITION BY item_id ORDER BY first) - 1 AS label, pos FROM (SELECT *, min(pos) OVER (PARTITION BY item_id, key) AS first FROM samples)), z AS (SELECT item_id, label, count(*) AS c FROM s GROUP BY 1, 2),
     m AS (SELECT item_id, sum(c) AS m, arg_min(label, (-c, label)) AS modal, max(c) AS mc FROM z GROUP BY 1),
     x AS (SELECT l.item_id, CASE WHEN a.label = m.modal THEN b.label ELSE a.label END AS label, count(*) AS h FROM lex l JOIN s a ON a.item_id = l.item_id AND a.pos = l.i JOIN s b ON b.item_id = l.item_id AND b.pos = l.j JOIN m ON m.item_id = l.item_id WHERE ({RULE}) = 'CONTRADICTORY' AND (a.label = m.modal) <> (b.label = m.modal) GROUP BY 1, 2)
     SELECT z.item_id, {R('sum(CASE WHEN z.label <> m.modal AND coalesce(h, 0) * 2 >= z.c * m.mc THEN z.c ELSE 0 END) / max(m.m)')} AS mass FROM z JOIN m ON m.item_id = z.item_id LEFT JOIN x ON x.item_id = z.item_id AND x.label = z.label GROUP BY 1"""))
