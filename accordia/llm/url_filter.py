@@ -13,10 +13,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import fresh
+from accordia.llm.common import fresh, materialize
 
-#: The largest filter that is sent to the executors; a longer list is matched by a shuffled join on the key.
-MAX_FILTER_BITS = 1 << 28
+#: The largest filter that one pass sends to the executors; a longer list is dealt out by a hash into more cascades.
+MAX_FILTER_BITS = 1 << 25
 LATER_FPP = 0.5
 
 
@@ -37,12 +37,10 @@ class Level(NamedTuple):
     seed: int
 
     def passes(self, key: Column) -> Column:
-        """Whether all bits of the key are set."""
+        """Whether all bits of the key are set; the words are in the plan once, as one folded constant."""
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        out = F.lit(True)
-        for at in positions(key, self.bits, self.probes, self.seed):
-            out = out & (F.getbit(F.element_at(words, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
-        return out
+        at = F.array(*positions(key, self.bits, self.probes, self.seed))
+        return F.forall(at, lambda x: F.getbit(F.element_at(words, (F.floor(x / 64) + 1).cast("int")), (x % 64).cast("int")) == 1)
 
 
 def positions(key: Column, bits: int, probes: int, seed: int) -> list[Column]:
@@ -57,10 +55,10 @@ def filter_bits(n: int, fpp: float) -> int:
 
 
 def make_level(keys: DataFrame, n: int, fpp: float, seed: int) -> Level:
-    """A Bloom filter of n keys (column key). Its words, at most MAX_FILTER_BITS / 64, come to the driver."""
+    """A Bloom filter of n keys (column key). Its words, at most MAX_FILTER_BITS / 16, come to the driver."""
     bits, probes = filter_bits(n, fpp), max(1, round(-math.log2(fpp)))
-    if bits > MAX_FILTER_BITS:
-        raise ValueError(f"a level of {bits} bits is over the bound of {MAX_FILTER_BITS}")
+    if bits > 4 * MAX_FILTER_BITS:
+        raise ValueError(f"a level of {bits} bits is over the bound of {4 * MAX_FILTER_BITS}")
     at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, probes, seed))).alias("at"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     found = at.groupBy(F.floor(F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(one).alias("value")).collect()
@@ -83,21 +81,21 @@ class Cascade(NamedTuple):
 
 def make_cascade(listed: DataFrame, universe: DataFrame, first_fpp: float, later_fpp: float = LATER_FPP, most_levels: int = 40) -> Cascade:
     """listed, universe: DataFrames with a string column key; universe may repeat keys and may hold listed ones."""
-    inside = listed.select("key").where("key is not null").distinct().cache()
+    inside = materialize(listed.select("key").where("key is not null").distinct(), "listed")
     n, levels = inside.count(), []
     if not n:
         return Cascade([])
     levels.append(make_level(inside, n, first_fpp, 0))
     passing = universe.select("key").where(levels[0].passes(F.col("key"))).distinct().withColumn("listed", F.lit(0))
     # One grouped union tells the listed keys from the false positives; only the latter, about as many as are listed, stay.
-    outside = passing.unionByName(inside.withColumn("listed", F.lit(1))).groupBy("key").agg(F.max("listed").alias("listed")).where("listed = 0").select("key").checkpoint()
+    outside = passing.unionByName(inside.withColumn("listed", F.lit(1))).groupBy("key").agg(F.max("listed").alias("listed")).where("listed = 0").select("key")
+    outside = materialize(outside, "outside")
     encode, other = outside, inside
     while (n := encode.count()) and len(levels) < most_levels:
         levels.append(level := make_level(encode, n, later_fpp, len(levels)))
-        encode, other = other.where(level.passes(F.col("key"))).checkpoint(), encode
+        encode, other = materialize(other.where(level.passes(F.col("key"))), "passing"), encode
     if n:
         raise ValueError("the cascade did not end")
-    inside.unpersist()
     return Cascade(levels)
 
 
@@ -118,12 +116,13 @@ def candidates(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.transform(F.sort_array(keys, asc=False), lambda x: x["key"])
 
 
-def judge_urls(urls: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", first_fpp: float | None = None) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", first_fpp: float | None = None, max_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """urls with host, path, rule and verdict added (replacing columns of those names).
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins, then the longest host.
     A null url, or one without ://, has an empty host and path, no rule and the default verdict. Repeated rows are
-    judged alike; an empty table gives an empty result. A key listed as block and as allow is an error.
+    judged alike; an empty table gives an empty result. A key listed as block and as allow is an error. Lists whose first
+    level is over max_bits are dealt out by a hash of the key into cascades of their own, with a pass over the urls each.
     """
     if any(not r.host or r.verdict not in ("allow", "block") for r in rules) or len({r.key for r in rules}) < len(set(rules)):
         raise ValueError("each rule needs a host, a verdict of allow or block, and a key of its own")
@@ -132,24 +131,26 @@ def judge_urls(urls: DataFrame, rules: list[Rule], url: str = "url", default: st
     out = urls.select(*kept, host.alias("host"), path.alias("path"))
     if not rules:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    spark = urls.sparkSession
-    listed = spark.createDataFrame([(r.key, r.verdict) for r in dict.fromkeys(rules)], "key string, verdict string")
-    keys = candidates(F.col("host"), F.col("path"), rules)
+    listed = urls.sparkSession.createDataFrame([(r.key, r.verdict) for r in dict.fromkeys(rules)], "key string, verdict string")
     shapes = len({r.host.count(".") for r in rules}) * len({len(r.path) for r in rules})
     fpp = first_fpp or min(0.25, max(1e-9, len(rules) / max(1, urls.count() * shapes)))
-    if filter_bits(len(rules), fpp) > MAX_FILTER_BITS:
-        return _joined(out, keys, listed, default)
-    universe = out.select(F.explode(keys).alias("key"))
-    listing = make_cascade(listed, universe, fpp)
-    blocking = make_cascade(listed.where("verdict = 'block'"), listed, LATER_FPP)
-    out = out.withColumn("rule", F.try_element_at(F.filter(keys, listing.contains), F.lit(1)))
-    return out.withColumn("verdict", F.when(F.col("rule").isNull(), default).when(blocking.contains(F.col("rule")), "block").otherwise("allow"))
-
-
-def _joined(out: DataFrame, keys: Column, listed: DataFrame, default: str) -> DataFrame:
-    """For lists whose filter is over the bound: candidates meet the list in a shuffled join, each row keeps its longest."""
-    row_, at_, best_ = fresh(out, "row", "at", "best")
-    rows = out.withColumn(row_, F.monotonically_increasing_id()).checkpoint()
-    hits = rows.select(row_, F.posexplode(keys).alias(at_, "key")).join(listed, "key")
-    best = hits.groupBy(row_).agg(F.min_by(F.struct("key", "verdict"), at_).alias(best_))
-    return rows.join(best, row_, "left").select(*out.columns, F.col(best_)["key"].alias("rule"), F.coalesce(F.col(best_)["verdict"], F.lit(default)).alias("verdict"))
+    shards = -(-filter_bits(len(rules), fpp) // max_bits)
+    hit_, first_ = fresh(out, "hit", "first")
+    out = out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    every = candidates(F.col("host"), F.col("path"), rules)
+    for shard in range(shards):
+        deal = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards))
+        own = listed.where(deal(F.col("key")) == shard)
+        at = F.lit(shard)
+        keys = F.filter(every, lambda key: deal(key) == at) if shards > 1 else every  # noqa: B023
+        listing = make_cascade(own, out.select(F.explode(keys).alias("key")), fpp)
+        blocking = make_cascade(own.where("verdict = 'block'"), own, LATER_FPP)
+        met = out.withColumn(hit_, F.try_element_at(F.filter(keys, listing.contains), F.lit(1)))
+        # Of two rules that fit, the one whose key comes first among all candidates is the longer.
+        longer = F.col("rule").isNull() | (F.array_position(every, F.col(hit_)) < F.array_position(every, F.col("rule"))) if shard else F.lit(True)
+        met = met.withColumn(first_, F.col(hit_).isNotNull() & longer)
+        met = met.withColumn("verdict", F.when(~F.col(first_), F.col("verdict")).when(blocking.contains(F.col(hit_)), "block").otherwise("allow"))
+        out = met.withColumn("rule", F.when(F.col(first_), F.col(hit_)).otherwise(F.col("rule"))).drop(hit_, first_)
+        if shards > 1:  # each pass has its own filters alone in its plan
+            out = materialize(out, "judged")
+    return out

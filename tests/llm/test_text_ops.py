@@ -1,5 +1,9 @@
+import os
 import random
 import re
+import subprocess
+import sys
+import tempfile
 import zlib
 
 import duckdb
@@ -93,16 +97,13 @@ def test_union_find_without_edges():
 
 
 # URL filters
-@pytest.mark.parametrize("fpp", [None, 0.5])
-@pytest.mark.parametrize("most_bits", [url_filter.MAX_FILTER_BITS, 0])
-def test_urls_by_cascade_and_by_join(spark, monkeypatch, fpp, most_bits):
+@pytest.mark.parametrize("fpp, most_bits", [(None, url_filter.MAX_FILTER_BITS), (0.5, url_filter.MAX_FILTER_BITS), (1e-9, 64)])
+def test_urls_by_one_cascade_and_by_several(spark, fpp, most_bits):
     urls = [f"http://{h}{p}" for h in ("a.example.com", "example.com", "x.com", "EXAMPLE.net", "b.c.example.net", "org", "xorg", ".com", "") for p in ("", "/", "/en/", "/en/7a?x", "/de/8#y", "/es/", "/en")]
     urls += [None, "", "no scheme", "http://", "a://b://c/en/", "http://é.com/en/ü", "http://example.com/en/7", "http://example.com/en/7"]
     df = spark.createDataFrame([(i, u, "mine", "other", 5) for i, u in enumerate(urls)], "page_id long, url string, host string, key string, row long")
-    # With filters of no use at all, level follows level; without any room for them, the list is joined.
-    if not most_bits:
-        monkeypatch.setattr(url_filter, "MAX_FILTER_BITS", 0)
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["key"]) for r in url_filter.judge_urls(df, URL_RULES, first_fpp=fpp).collect()}
+    # With filters of no use at all, level follows level; with little room for them, the list is dealt out.
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["key"]) for r in url_filter.judge_urls(df, URL_RULES, first_fpp=fpp, max_bits=most_bits).collect()}
     for i, u in enumerate(urls):
         host = path = ""
         if u and "://" in u:
@@ -116,6 +117,27 @@ def test_urls_by_cascade_and_by_join(spark, monkeypatch, fpp, most_bits):
     assert len(got) == len(urls)
 
 
+def test_the_words_of_a_level_are_in_a_plan_once(spark):
+    level = url_filter.Level(128, 9, [123456789012345, 5], 0)
+    plan = spark.range(3).select(level.passes(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("123456789012345") == 1, plan
+
+
+def test_urls_without_a_checkpoint_folder():
+    code = """
+from pyspark.sql import SparkSession
+from accordia.llm import url_filter
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+s.sparkContext.getConf()
+assert not s.conf.get("spark.checkpoint.dir", "")
+d = s.createDataFrame([("http://a.com/en/1",)], "url string")
+assert url_filter.judge_urls(d, [url_filter.Rule("block", "com", "/en/")]).first()["verdict"] == "block"
+"""
+    with tempfile.TemporaryDirectory() as empty_conf:
+        run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": empty_conf, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}, capture_output=True, timeout=240, text=True)
+    assert run.returncode == 0, run.stderr[-2000:]
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"k{i}" for i in range(3000)]
     df = spark.createDataFrame([(k,) for k in keys], "key string")
