@@ -73,13 +73,17 @@ def _features(n: int, k: int):
                 at = spans(found.text, part.num_rows)
                 sets = [shingles(found.hash[a:b], n) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([signature(s, k).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["id", "n", "digest", "sig"],
+                    [part.column("id"), part.column("place"), pa.array([len(s) for s in sets], pa.int64()), pa.array([*map(digest_of, sets)], pa.binary()), pa.array([signature(s, k).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    ["id", "place", "n", "digest", "sig"],
                 )
 
     return run
 
 
+def digest_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sets(n: int, proof: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +91,12 @@ def _sets(n: int, proof: int):
                 found = words(data, offsets)
                 at = spans(found.text, part.num_rows)
                 sets = [shingles(found.hash[a:b], n) for a, b in zip(at[:-1], at[1:], strict=True)]
+                mine = [i for i, (s, wanted) in enumerate(zip(sets, part.column("digest").to_pylist(), strict=True)) if digest_of(s) == wanted]
+                sets = [sets[i] for i in mine]
                 places = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 proofs = pa.array([signature(s, proof).astype(np.uint8).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat)), proofs], ["cls", "items", "proof"])
+                yield pa.RecordBatch.from_arrays([part.column("cls").take(pa.array(mine, pa.int64())), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat)), proofs], ["cls", "items", "proof"])
 
     return run
 
@@ -257,25 +263,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of shingles. component_id is the
     smallest doc_id reachable by links; kept marks the document that is it. A text without words, and a null text, has an
     empty set, links with nothing and is kept. doc_id must be a whole number; rows that share a doc_id are judged each by
-    its text; a row without one joins the component of equal sets only, and is kept if there is none. Other columns are
+    its text, and one that links with nothing is its own component; a row without one joins the component of equal sets only, and is kept if there is none. Other columns are
     ignored; an empty table gives an empty result. Texts that link at exactly the
     threshold are found unless all bands miss them (3e-5 by default, less above it).
     """
     bound_batches(docs.sparkSession)
     k = rows * bands
-    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    feats = materialize(plain.mapInArrow(_features(shingle, k), "id long, n long, digest binary, sig binary"), "features")
-    classes = feats.where("n > 0").groupBy("digest").agg(F.min("id").alias("cls"))
-    reps = feats.where("n > 0").select("digest", "id", "n", "sig").join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("cls"))).select("cls", "digest", "n", "sig")
-    reps = materialize(reps.dropDuplicates(["cls", "digest"]), "classes")
+    # A row is found again by its id and a hash of its text, which tells apart rows that share an id.
+    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("place"), F.col(text).cast("binary").alias("text"))
+    feats = materialize(plain.mapInArrow(_features(shingle, k), "id long, place long, n long, digest binary, sig binary"), "features")
+    firsts = feats.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "place")).alias("_f")).select(F.col("digest").alias("_d"), F.col("_f.id").alias("_i"), F.col("_f.place").alias("_p"))
+    reps = feats.where("n > 0 and id is not null").join(firsts, (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("_i")) & (F.col("place") == F.col("_p")))
+    # A class has a number of its own: ids may be shared by several.
+    reps = reps.select("digest", "id", "place", "n", "sig").dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id())
+    reps = materialize(reps, "classes")
 
     band = lambda i: F.xxhash64(i, F.call_function("substring", F.col("sig"), i * (4 * rows) + 1, F.lit(4 * rows)))
     keyed = reps.select("cls", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
     members = materialize(keyed.join(shared, "key").select("key", "cls"), "buckets")
     # Each member's keys of all bands tell, for a pair, which bucket is the first that both share.
-    involved = members.groupBy("cls").agg(F.lit(1).alias("_one")).select("cls")
-    texts = plain.join(involved, F.col("id") == F.col("cls")).select("id", "text")
+    involved = reps.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "digest", F.col("id").alias("_i"), F.col("place").alias("_p"))
+    texts = plain.join(involved, (F.col("id") == F.col("_i")) & (F.col("place") == F.col("_p"))).select("cls", "digest", "text")
     sets = materialize(texts.mapInArrow(_sets(shingle, proof), "cls long, items array<long>, proof binary").dropDuplicates(["cls"]), "sets")
     keys = reps.select("cls", "n", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band).alias("bands")).mapInArrow(_packed, "cls long, n long, bands binary")
     sigs = materialize(sets.select("cls", "proof").join(keys, "cls"), "signatures")
@@ -287,12 +296,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():  # nor can a later round verify what was never proposed
+            continue
         new = _verified(pairs, sets, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         links = materialize(links, "links")
         labels = components(links)
-    found = reps.select("digest", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("digest", F.coalesce("root", "cls").alias("component"))
+    numbered = reps.select("digest", "id", "cls")
+    if labels is not None:
+        numbered = numbered.join(labels, F.col("cls") == F.col("node"), "left").withColumn("cls", F.coalesce("root", "cls"))
+        smallest = numbered.where("node is not null").groupBy(F.col("cls").alias("_c")).agg(F.min("id").alias("_least"))
+        numbered = numbered.join(smallest, F.col("cls") == F.col("_c"), "left").withColumn("id", F.coalesce("_least", "id"))
+    found = numbered.select("digest", F.col("id").alias("component"))
     out = feats.select("id", "n", "digest").join(found.withColumnRenamed("digest", "_d"), F.col("digest") == F.col("_d"), "left")
     component = F.coalesce("component", "id")
     kept = F.coalesce(component == F.col("id"), component.isNull())

@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 import re
@@ -5,6 +6,7 @@ import subprocess
 import sys
 import tempfile
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -283,6 +285,66 @@ def test_near_duplicates_against_brute_force(spark, n, cut):
     assert [got[i]["n_shingles"] for i in ids] == [len(s) for s in found] and all(got[i]["kept"] == (want[i] == i) for i in ids)
 
 
+@pytest.mark.parametrize("cut", [1024, 3])
+def test_rows_that_share_an_id_are_judged_each_by_its_text(spark, cut):
+    texts = near_copies()
+    draw = random.Random(8)
+    ids = [draw.randrange(len(texts) // 3) for _ in texts]
+    found = sets(texts, 2)
+    up = [*range(len(texts))]
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in enumerate(found):
+        for j, y in enumerate(found[:i]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                up[top(i)] = top(j)
+    least = {}
+    for i in range(len(texts)):
+        least[top(i)] = min(least.get(top(i), ids[i]), ids[i])
+    want = sorted((ids[i], len(found[i]), least[top(i)]) for i in range(len(texts)))
+    df = spark.createDataFrame([*zip(ids, texts)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, shingle=2, cut=cut).collect()) == want
+
+
+def test_two_texts_of_an_id_have_each_their_near_copies(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    df = spark.createDataFrame([(5, a), (5, b), (9, a + " x"), (11, b + " x"), (4, b + " y")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(4, 4, True), (5, 4, False), (5, 5, True), (9, 5, False), (11, 4, False)]
+
+
+def test_pairs_at_the_threshold_are_found_in_the_larger_table(spark):
+    """Recall of linked pairs of different texts against brute force over all documents of sf0.01, by an inverted index."""
+    rows_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    found = sets([r["text"] for r in rows_], 5)
+    ids = [r["doc_id"] for r in rows_]
+    by = {}
+    for k, s in enumerate(found):
+        for x in s:
+            by.setdefault(x, []).append(k)
+    near = Counter((i, j) for who in by.values() for i, j in itertools.combinations(who, 2))
+    up = {k: k for k in range(len(ids))}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (i, j), n in near.items():
+        if 100 * n >= 80 * (len(found[i]) + len(found[j]) - n):
+            up[top(i)] = top(j)
+    least = {}
+    for k, i in enumerate(ids):
+        least[top(k)] = min(least.get(top(k), i), i)
+    want = {i: least[top(k)] for k, i in enumerate(ids)}
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows_)).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_small_documents_near_duplicates(spark):
     rows_ = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     ids, texts = [r[0] for r in rows_], [r[1] for r in rows_]
