@@ -20,27 +20,34 @@ from pyspark.sql import functions as F
 from accordia.llm.common import bound_batches, components, materialize, union_find
 
 THRESHOLD = 0.98
-#: Pivots: about the square root of the number of vectors, within these bounds; of at most PIVOT_DIMS numbers in all.
-PIVOTS = (64, 1024)
+#: Pivots: about four times the square root of the number of vectors, within these bounds; of at most PIVOT_NUMBERS numbers.
+PIVOTS = (64, 1 << 14)
 PIVOT_NUMBERS = 1 << 22
 NEAREST, SHARED = 7, 3
+#: Numbers of components that get pivots of their own.
+SIZES = 1024
 #: Pivots are less alike than this: else those inside one dense group would be ordered by chance by the group's members.
 PIVOT_COSINE = 0.7
 #: Members of a list that one call compares at once; longer lists are dealt out as pairs of cuts.
 CUT = 1024
 
 
+def scaled(v: np.ndarray) -> bytes | None:
+    """A vector over its largest component, as bytes of doubles; none if it cannot link."""
+    peak = np.abs(v).max(initial=0.0)
+    if not np.isfinite(v).all() or not peak:
+        return None
+    with np.errstate(over="ignore", under="ignore"):  # cosines don't depend on the scale, norms might overflow
+        return (v / peak + 0.0).tobytes()
+
+
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors that can link: id, label, dim, the vector as bytes of doubles, its digest; the others have no digest."""
     for batch in batches:
-        made = []
-        for x in batch.column("v"):
-            v = np.array(x.as_py(), np.float64) if x.is_valid else np.zeros(0)  # a null component becomes NaN
-            with np.errstate(over="ignore", invalid="ignore"):
-                peak = np.abs(v).max(initial=0.0)
-                v = v / peak if np.isfinite(peak) and peak > 0 else v * np.nan  # cosines don't depend on the scale, norms might overflow
-            made.append((v + 0.0).tobytes() if len(v) and np.isfinite(v).all() else None)
-        good = [m if m is not None and label is not None else None for m, label in zip(made, batch.column("label").to_pylist(), strict=True)]
+        lists = batch.column("v")
+        places, numbers = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)  # a null component becomes NaN
+        usable = np.array(lists.is_valid()) & np.array(batch.column("label").is_valid())
+        good = [scaled(numbers[a:b]) if x else None for x, a, b in zip(usable.tolist(), places[:-1].tolist(), places[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("label"), pa.array([len(m) // 8 if m else None for m in good], pa.int32()), pa.array(good, pa.binary()), pa.array([hashlib.blake2b(m, digest_size=16).digest() if m else None for m in good], pa.binary())],
             ["id", "label", "dim", "v", "digest"],
@@ -54,12 +61,19 @@ def _unit(rows: list[bytes]) -> np.ndarray:
 
 def spread_out(drawn: np.ndarray, want: int) -> np.ndarray:
     """Up to `want` of the drawn unit vectors, in order, without any that is too much like one before."""
-    alike = drawn @ drawn.T > PIVOT_COSINE
-    kept: list[int] = []
-    for i in range(len(drawn)):
-        if len(kept) < want and not alike[i, kept].any():
-            kept.append(i)
-    return drawn[kept]
+    kept = drawn[:0]
+    for at in range(0, len(drawn), 256):
+        block = drawn[at : at + 256]
+        block = block[~(block @ kept.T > PIVOT_COSINE).any(axis=1)]
+        alike = block @ block.T > PIVOT_COSINE
+        own: list[int] = []
+        for i in range(len(block)):
+            if not alike[i, own].any():
+                own.append(i)
+        kept = np.concatenate([kept, block[own]])
+        if len(kept) >= want:
+            break
+    return kept[:want]
 
 
 def subset_keys(near: np.ndarray, shared: int) -> np.ndarray:
@@ -74,6 +88,15 @@ def _key(pivots: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """Ascending numbers of each row's k nearest pivots."""
+    out = np.empty((len(x), k), np.int64)
+    for s in range(0, len(x), CUT):
+        cosines = x[s : s + CUT] @ pivots.T
+        out[s : s + CUT] = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < len(pivots) else np.arange(len(pivots))
+    return np.sort(out, axis=1)
+
+
 def _described(pivots: dict[int, np.ndarray], nearest: int, shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +105,7 @@ def _described(pivots: dict[int, np.ndarray], nearest: int, shared: int):
                 part = batch.filter(pa.array(dims == dim))
                 p = pivots.get(int(dim), np.ones((1, dim)))  # too rare a size for pivots of its own: one list
                 k = min(nearest, len(p))
-                near = np.sort(np.argsort(-(_unit(part.column("v").to_pylist()) @ p.T), axis=1, kind="stable")[:, :k], axis=1)
+                near = nearest_pivots(_unit(part.column("v").to_pylist()), p, k)
                 keys = subset_keys(near, min(shared, k))
                 fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("label"), part.column("dim"), fixed(near), fixed(keys)], ["cls", "label", "dim", "near", "keys"])
@@ -149,7 +172,7 @@ def _verified(threshold: float, shared: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, nearest: int = NEAREST, shared: int = SHARED, cut: int = CUT) -> DataFrame:
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, nearest: int = NEAREST, shared: int = SHARED, cut: int = CUT, most_sizes: int = SIZES) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vectors.
 
     Vectors of one label and one number of components are linked if found with a cosine of at least the threshold; none
@@ -158,21 +181,22 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     components, or has no label, links with nothing. Labels must be whole numbers; rows that share a
     vec_id are vectors of their own; one without a vec_id counts among the copies of its vector only. Other columns are ignored; an empty table gives an empty result.
 
-    Pivots are a hash sample of distinct vectors, 64 to 1,024 by the square root of their number and at most 2^22
-    numbers in all; every vector is indexed. Copies are one class before the index.
+    Pivots are a hash sample of distinct vectors, 64 to 16,384 by the square root of their number and at most 2^22
+    numbers in all; every vector is indexed. Copies are one class before the index. The 1,024 most frequent numbers of
+    components have pivots; vectors of a rarer one, at most a 1,024th of all, are one list, in cuts: all its pairs are
+    compared.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
     plain = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
     made = materialize(plain.mapInArrow(_prepared, "id long, label long, dim int, v binary, digest binary"), "vectors")
     good = made.where("digest is not null")
-    grouped = good.groupBy("label", "digest").agg(F.min("id").alias("cls"), F.count("*").alias("m"))
-    keyed = good.select(F.col("id").alias("_id"), F.col("digest").alias("_d"), F.col("label").alias("_l"), "dim", "v")
-    classes = grouped.join(keyed, (F.col("cls") == F.col("_id")) & (F.col("digest") == F.col("_d")) & (F.col("label") == F.col("_l")))
-    classes = materialize(classes.select("cls", "label", "digest", "dim", "m", "v").dropDuplicates(["cls", "label", "digest"]), "classes")
+    # A class, of equal vectors of a label, has a number of its own: ids may be shared by several.
+    classes = good.groupBy("label", "digest").agg(F.min("id").alias("first"), F.count("*").alias("m"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     pivots: dict[int, np.ndarray] = {}
-    sizes = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1024).collect()
+    sizes = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(most_sizes).collect()
     left = PIVOT_NUMBERS
     for dim, n in sizes:
         want = max(2, min(left // dim, max(PIVOTS[0], min(PIVOTS[1], int(4 * n**0.5)))))
@@ -186,14 +210,16 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     own = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("_c")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda o: F.struct((F.least(own, o) * F.col("_c") + F.greatest(own, o)).alias("part"), F.when(o == own, -1).otherwise(own).alias("side")))
     rows = posted.join(lists, ["label", "dim", "key"]).withColumn("_x", F.explode(others)).select("cls", "label", "dim", "key", F.col("_x.part").alias("part"), F.col("_x.side").alias("side"))
-    rows = rows.join(index.select("cls", "label", "near"), ["cls", "label"]).join(classes.select("cls", "label", "m", "v"), ["cls", "label"])
+    rows = rows.join(index.select("cls", "near"), "cls").join(classes.select("cls", "m", "v"), "cls")
     rows = rows.repartition("label", "dim", "key", "part").sortWithinPartitions("label", "dim", "key", "part", "cls")
     found = materialize(rows.mapInArrow(_verified(threshold, shared), "node long, links long, root long"), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("_links"))
     labels = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "_node")
-    per = classes.select("label", "digest", "cls", "m").join(links, F.col("cls") == F.col("node"), "left").join(labels, F.col("cls") == F.col("_node"), "left")
-    per = per.select(F.col("label").alias("_l"), F.col("digest").alias("_d"), (F.coalesce("_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "cls").alias("component"))
+    per = classes.select("label", "digest", "cls", "m", "first").join(links, F.col("cls") == F.col("node"), "left").join(labels, F.col("cls") == F.col("_node"), "left")
+    smallest = per.where("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("_least"))
+    per = per.join(smallest, F.col("root") == F.col("_root"), "left")
+    per = per.select(F.col("label").alias("_l"), F.col("digest").alias("_d"), (F.coalesce("_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("_least", "first").alias("component"))
     out = made.select("id", "label", "digest").join(per, (F.col("digest") == F.col("_d")) & (F.col("label") == F.col("_l")), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))
