@@ -45,6 +45,10 @@ def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """Distinct n-word shingles of one text's word hashes, sorted; a shorter text is one shingle, an empty one has none."""
+    return np.unique(shingles_in_order(h, n))
+
+
+def shingles_in_order(h: np.ndarray, n: int) -> np.ndarray:
     if not len(h):
         return h
     n = min(n, len(h))
@@ -52,8 +56,7 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i in range(1, n):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-        out = mix64(out + np.uint64(n))
-    return np.unique(out)
+        return mix64(out + np.uint64(n))
 
 
 def signature(s: np.ndarray, k: int) -> np.ndarray:

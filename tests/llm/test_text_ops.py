@@ -217,35 +217,115 @@ def test_mix_of_odd_rows(spark, odd):
 
 
 # Decontamination
-def test_leaks_against_brute_force(spark):
-    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op3_benchmark_decontamination"](spark, SMALL).collect()}
-    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    items = {r["item_id"]: grams(cut(r["text"])) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
-    docs = {r["doc_id"]: grams(cut(r["text"])) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    want = {(d, i) for d, x in docs.items() for i, y in items.items() if len(x & y) >= 0.8 * len(y)}
-    assert got == want
+PART = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+
+
+def parted(t):
+    return PART.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+
+
+def grams(w, n=5):
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_leaks(docs, items):
+    """Every passage of every text against every item by the share of question's and answer's shingles."""
+    out = set()
+    for item, t in items:
+        whole = parted(t)
+        if not whole:
+            continue
+        q, a = (parted(x.decode()) or whole for x in decontaminate.split_item(t.encode()))
+        stride = max(16, 1 << (len(whole) - 1).bit_length())
+        for doc, text in docs:
+            w = parted(text)
+            if not set(w) & set(whole):
+                continue
+            for first in range(0, len(w), stride):
+                passage = w[first : first + 2 * stride]
+                if all(len(grams(x) & grams(passage, min(5, len(x)))) >= 0.8 * len(grams(x)) for x in (q, a)):
+                    out.add((doc, item))
+                    break
+    return out
 
 
-def test_retrieval_equals_plain_scores():
+def test_leaks_against_brute_force(spark):
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op3_benchmark_decontamination"](spark, SMALL).collect()}
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = brute_leaks([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
+    assert got == want and want
+
+
+def test_items_of_one_template_are_found_without_their_rare_words(spark):
+    """300 items share 33 words; each has a rare word at both ends, which is half of its score. Leaks lose words of all kinds."""
+    template, draw = prose(77, 33).split(), random.Random(4)
+    items = [(i, " ".join([f"first{i}", *template, f"last{i}"]) + (f". {prose(900 + i, 4)} answer{i}" if i % 2 else "")) for i in range(300)]
+    docs = []
+    for d in range(120):
+        w = items[d][1].split()
+        if d % 4 == 0:
+            w = w[:-1]
+        elif d % 4 == 1:
+            w[draw.randrange(len(w))] = "other"
+        elif d % 4 == 2:
+            w = w[1:-1]
+        docs.append((d, prose(5000 + d, d % 40) + " " + " ".join(w) + " " + prose(7000 + d, 30)))
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    want = brute_leaks(docs, items)
+    assert got == want and {(d, d) for d in range(0, 120, 4)} <= want and len(want) > 2000
+
+
+def test_question_and_answer_apart(spark):
+    question, answer = prose(1, 20), prose(2, 10)
+    docs = [(gap, f"{prose(100 + gap, 7)} {question}. {prose(200 + gap, gap)} {answer}") for gap in range(0, 80, 2)]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, f"{question}. {answer}")], "item_id long, text string"))
+    got = {r["doc_id"] for r in found.collect()}
+    assert {d for d, _ in brute_leaks(docs, [(1, f"{question}. {answer}")])} == got
+    assert {0, 2} <= got and not any(gap >= 64 - 22 for gap in got)  # 30 words: windows of 64, and shares of 0.8
+
+
+def test_most_lost_against_all_choices():
+    draw = random.Random(3)
+    parts = [np.array([draw.randrange(1, 9) if k % 3 else draw.randrange(1, 3) for _ in range(draw.randint(1, 13))], np.uint64) for k in range(120)]
+    weights = [np.array([draw.random() for _ in p]) for p in parts]
+    for overlap in (0.8, 0.5):
+        got = decontaminate.most_lost(parts, weights, 3, overlap)
+        for p, w, g in zip(parts, weights, got):
+            order = decontaminate.shingles_in_order(p, 3).tolist()
+            n, distinct = min(3, len(p)), sorted(set(order))
+            want = 0.0
+            for k in range(len(distinct) + 1):
+                if len(distinct) - k >= overlap * len(distinct) - 1e-9:
+                    for gone in itertools.combinations(distinct, k):
+                        over = [{order[j] for j in range(max(0, i - n + 1), min(i, len(order) - 1) + 1)} for i in range(len(p))]
+                        want = max(want, sum(x for x, o in zip(w, over) if o <= set(gone)))
+            assert g >= want - 1e-9 and (g == pytest.approx(want) or len(distinct) < len(order))
+
+
+def test_retrieval_equals_plain_scores(monkeypatch):
     items = [(i, prose(i, 20 + i % 30).encode()) for i in range(60)]
-    indexes = decontaminate.make_indexes(items)
     texts = [(prose(100 + i, 200) + " " + items[i][1].decode() + " " + prose(300 + i, 90)).encode() for i in range(12)] + [b"", b"a"]
-    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    w = common.words(data, offsets, common.PUNCTUATION)
-    for index in indexes:
-        got = {(t, s, e, i): v for t, s, e, i, v in decontaminate.search(index, w.text, w.hash, 0.3)}
-        want = {}
-        for t in range(len(texts)):
-            at = np.flatnonzero(w.text == t)
-            for first in range(0, len(at), index.stride):
-                passage = at[first : first + 2 * index.stride]
-                for i in range(len(index.items)):
+    w = common.words(*utf8([t.decode() for t in texts]), common.PUNCTUATION)
+    seen = 0
+    for retrieve, held in ((0.3, 1 << 22), (0.3, 50), (None, 1 << 22)):
+        monkeypatch.setattr(decontaminate, "HELD", held)
+        for index in decontaminate.make_indexes(items, retrieve=retrieve):
+            got = {(t, s, e, i): v for t, s, e, i, v in decontaminate.search(index, w.text, w.hash)}
+            want = {}
+            posting_word = np.repeat(np.arange(len(index.vocabulary)), index.posting_at[index.block_at[1:]] - index.posting_at[index.block_at[:-1]])
+            for t in range(len(texts)):
+                at = np.flatnonzero(w.text == t)
+                for first in range(0, len(at), index.stride):
+                    passage = at[first : first + 2 * index.stride]
                     terms = np.flatnonzero(np.isin(index.vocabulary, w.hash[passage]))
-                    v = sum(index.weight[k] for x in terms for k in range(index.at[x], index.at[x + 1]) if index.item[k] == i)
-                    if v >= 0.3 + 1e-9:
-                        want[t, int(passage[0]), int(passage[-1]) + 1, i] = v
-        assert want.keys() <= got.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+                    for i in range(len(index.items)):
+                        v = index.weight[(index.item == i) & np.isin(posting_word, terms)].sum()
+                        if v >= 1 - 1e-10:
+                            want[t, int(passage[0]), int(passage[-1]) + 1, i] = v * index.threshold[i]
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+            seen += len(want)
+    assert seen > 20
 
 
 def test_leaks_of_odd_rows_and_shards(spark, odd):
