@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordia.llm.common import _LOWER as LOWER
@@ -28,6 +28,8 @@ LEAST_WORDS = 30
 LEAST_PASSAGE = 51
 #: Ends in a passage's first so many bytes may hang on what stands before it.
 LEAD = WINDOW + GAP
+#: Digests of more than LEAST_HOT chunks are dealt out over SALTS keys, the HOT most frequent of them.
+LEAST_HOT, HOT, SALTS = 1 << 14, 1 << 14, 64
 GEAR = np.random.default_rng(77).integers(0, 1 << 16, 256, dtype=np.uint64).astype(np.uint16)
 
 
@@ -76,12 +78,13 @@ def edges(data: np.ndarray, offsets: np.ndarray, begins: np.ndarray, ends: np.nd
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in passes(batch, "text"):
-            ends = chunk_ends(data, offsets)
+            lower = LOWER[data]
+            ends = chunk_ends(lower, offsets)
             begins = np.append(0, ends[:-1]) if len(ends) else ends
             owner = np.searchsorted(offsets[1:], begins, side="right")
             up, down = powers(len(data) + 1)
             sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+            np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
             digest = mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
             starts = words(data, offsets).begin
             n = np.searchsorted(starts, ends) - np.searchsorted(starts, begins)
@@ -98,17 +101,45 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return plain.mapInArrow(_chunks, "id long, chunk int, begin int, end int, n_words int, before int, after int, digest long")
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+#: Bits of a chunk's length, words, words before and words after; its begin takes the bits above. No chunk is over LONGEST
+#: bytes, hence of half as many words; words before count up to what is enough.
+LENGTH_BITS, WORD_BITS = 8, 7
+
+
+def _packed() -> Column:
+    """begin, length, n_words, before and after as one number, as rows in a shuffle take eight bytes a column."""
+    out = F.col("begin").cast("long")
+    for c, bits in ((F.col("end") - F.col("begin"), LENGTH_BITS), *((F.least(F.col(c), F.lit((1 << WORD_BITS) - 1)), WORD_BITS) for c in ("n_words", "before", "after"))):
+        out = F.shiftleft(out, bits).bitwiseOR(c.cast("long"))
+    return out
+
+
+def _unpacked() -> list[Column]:
+    place, words_ = F.col("_place"), (1 << WORD_BITS) - 1
+    begin = F.shiftright(place, 3 * WORD_BITS + LENGTH_BITS).cast("int")
+    length = F.shiftright(place, 3 * WORD_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
+    counts = [F.shiftright(place, (2 - i) * WORD_BITS).bitwiseAND(F.lit(words_)).cast("int").alias(c) for i, c in enumerate(("n_words", "before", "after"))]
+    return [begin.alias("begin"), (begin + length).alias("end"), *counts]
+
+
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_hot: int = LEAST_HOT) -> DataFrame:
     """doc_id, begin, end (bytes of the text), n_words, first_doc_id: a row for each repeat of a passage of another document.
 
     The document with the smallest doc_id holds a passage's original, which is not a repeat; first_doc_id is the smallest
     one that a repeat's chunks come from. Passages that repeat within one document only are left alone, and so are, among
-    rows that share a doc_id, what they share. Null and empty texts have no chunks; rows without a doc_id are ignored;
+    rows that share a doc_id, what they share. A-Z count as a-z. Null and empty texts have no chunks; rows without a doc_id are ignored;
     other columns are ignored; an empty table gives an empty result.
     """
     found = materialize(chunks(docs, doc_id, text).where("id is not null"), "chunks")
-    firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first < _last").select("digest", "first")
-    repeats = found.join(firsts, "digest").where("id > first").select("id", "chunk", "begin", "end", "n_words", "before", "after", "first").distinct()
+    firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count("*").alias("_n")).where("first < _last").select("digest", "first", "_n")
+    # The HOT most frequent digests, a bounded list, are dealt out over SALTS keys each; none of the others holds more
+    # than a share of 1 / HOT of all chunks.
+    hot = firsts.where(F.col("_n") > least_hot).orderBy(F.desc("_n"), "digest").limit(HOT).select(F.col("digest").alias("_h"))
+    salted = firsts.join(F.broadcast(hot), F.col("digest") == F.col("_h"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_h").isNull(), 0).otherwise(SALTS - 1))))
+    dealt = found.join(F.broadcast(hot), F.col("digest") == F.col("_h"), "left")
+    dealt = dealt.select("id", "chunk", "digest", _packed().alias("_place"), F.when(F.col("_h").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "chunk"), F.lit(SALTS))).cast("int").alias("_salt"))
+    met = dealt.join(salted.select("digest", "_salt", "first"), ["digest", "_salt"]).where("id > first")
+    repeats = met.select("id", "chunk", "_place", "first").distinct().select("id", "chunk", *_unpacked(), "first")
     # Runs of neighbours: a chunk's number less its rank among the document's repeats stays the same along a run.
     ranked = repeats.withColumn("_run", F.col("chunk") - F.dense_rank().over(Window.partitionBy("id").orderBy("chunk")))
     runs = ranked.groupBy("id", "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min("first").alias("first_doc_id"), F.min_by("before", "chunk").alias("_before"), F.max_by("after", "chunk").alias("_after"))
