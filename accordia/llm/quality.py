@@ -16,35 +16,32 @@ from pyspark.sql import functions as F
 
 from accordia.llm.common import bound_batches, materialize, mix64, passes, words
 
-#: Each n-gram falls into one of 2^20 buckets by each of two hashes; the ratio nearer to 1 counts, so that one that only
-#: shares a bucket with a telling n-gram tells nothing.
-BUCKET_BITS, HASHES = 20, 2
+#: Words, and pairs of neighbouring words, fall into 2^20 buckets each: a model of n-grams for each order.
+BUCKET_BITS, ORDERS = 20, 2
 SLICES = 64
-SMOOTHING = 1.0
-#: Counts that differ by fewer standard deviations, or log ratios nearer to 0, than these are chance: the ratio is 1.
-LEAST_SIGMAS, LEAST_LOG = 3.0, 0.3
+#: Pseudo-counts of the target model by order, dealt out as all text is: pairs are sparser, and chance weighs more in them.
+SMOOTHING = (3.0, 300.0)
 #: Target documents that the target model is fitted on: the first so many by a hash.
 TARGET_SAMPLE = 20_000
 #: Documents among which the last places of the top k are settled.
 BAND_ROWS = 1 << 16
 
 
-def ngram_buckets(text: np.ndarray, h: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each word and each pair of neighbouring words: its text, and its bucket by each hash."""
+def ngram_buckets(text: np.ndarray, h: np.ndarray, bits: int = BUCKET_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By order, of each word and of each pair of neighbouring words: its text and its bucket."""
     with np.errstate(over="ignore"):
         pair = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    same = text[:-1] == text[1:]
-    grams, low = np.concatenate([h, pair[same]]), np.uint64((1 << bits) - 1)
-    return np.concatenate([text, text[:-1][same]]), [(grams >> np.uint64(i * 32) & low).astype(np.int64) for i in range(HASHES)]
+    same, low = text[:-1] == text[1:], np.uint64((1 << bits) - 1)
+    return [(text, (h & low).astype(np.int64)), (text[:-1][same], (pair[same] & low).astype(np.int64))]
 
 
 def _counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_rows = np.zeros((HASHES, 1 << bits), np.uint32), False
+        total, any_rows = np.zeros((ORDERS, 1 << bits), np.uint32), False
         for batch in batches:
             for _, data, offsets in passes(batch, "text"):
                 found = words(data, offsets)
-                for i, bucket in enumerate(ngram_buckets(found.text, found.hash, bits)[1]):
+                for i, (_, bucket) in enumerate(ngram_buckets(found.text, found.hash, bits)):
                     total[i] += np.bincount(bucket, minlength=1 << bits).astype(np.uint32)
                 any_rows = True
         if any_rows:
@@ -64,39 +61,41 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_ngrams(texts: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Counts by hash and bucket over all rows (column text, binary).
+    """Counts by order and bucket over all rows (column text, binary).
 
     A task sums all texts of its partition before the shuffle; 2 * 2^bits numbers come to the driver, whatever the input.
     """
     parts = texts.select("text").mapInArrow(_counts(bits), "slice long, n binary").repartition("slice").mapInArrow(_sums, "slice long, n binary")
-    out = np.zeros((SLICES, (HASHES << bits) // SLICES))
+    out = np.zeros((SLICES, (ORDERS << bits) // SLICES))
     for batch in parts.toArrow().to_batches():
         for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             out[at] += np.frombuffer(n, np.int64)
-    return out.reshape(HASHES, 1 << bits)
+    return out.reshape(ORDERS, 1 << bits)
 
 
-def fit(target: np.ndarray, everything: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log ratio by hash and bucket: (target count + s) / (count expected of it from all text + s), 0 where chance explains it."""
-    expected = everything * (target.sum() / max(1.0, everything.sum()))
-    ratio = np.log((target + smoothing) / (expected + smoothing))
-    ratio[(np.abs(target - expected) < LEAST_SIGMAS * np.sqrt(expected + 1)) | (np.abs(ratio) < LEAST_LOG)] = 0
-    return ratio.astype(np.float32)
+def fit(target: np.ndarray, everything: np.ndarray, smoothing: tuple[float, ...] = SMOOTHING) -> np.ndarray:
+    """Log ratio of the target's model to that of all text, by order and bucket: (target count + s) / (count expected + s).
+
+    The expected count is that of all text, scaled to the target's size. This is the target's model with s pseudo-counts a
+    bucket that say what all text says, over the model of all text.
+    """
+    out = np.zeros(target.shape, np.float32)
+    for i, s in enumerate(smoothing):
+        expected = everything[i] * (target[i].sum() / max(1.0, everything[i].sum()))
+        out[i] = np.log((target[i] + s) / (expected + s))
+    return out
 
 
-def _weights(ratio: np.ndarray, mean: float, bits: int):
+def _weights(ratio: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in passes(batch, "text"):
                 found = words(data, offsets)
-                text, buckets = ngram_buckets(found.text, found.hash, bits)
-                both = [ratio[i][b] for i, b in enumerate(buckets)]
-                nearer = both[0]
-                for x in both[1:]:
-                    nearer = np.where(np.abs(x) < np.abs(nearer), x, nearer)
-                weight = np.bincount(text, nearer - mean, part.num_rows) if len(text) else np.zeros(part.num_rows)
-                n = np.bincount(text, minlength=part.num_rows) if len(text) else np.zeros(part.num_rows, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("draw"), pa.array(n.astype(np.int64)), pa.array(weight)], ["id", "draw", "n_grams", "log_weight"])
+                n, weight = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
+                for one, (text, bucket) in zip(ratio, ngram_buckets(found.text, found.hash, bits), strict=True):
+                    n += np.bincount(text, minlength=part.num_rows)
+                    weight += np.bincount(text, one[bucket], part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("draw"), pa.array(n), pa.array(weight)], ["id", "draw", "n_grams", "log_weight"])
 
     return run
 
@@ -140,11 +139,12 @@ def top_k(rows: DataFrame, k: int, score: str, tie: list[str]) -> Column | None:
     return (F.col(score) > last[0]) | (at & ties)
 
 
-def importance_sample(docs: DataFrame, target: DataFrame, share: float, doc_id: str = "doc_id", text: str = "text", sample: int = TARGET_SAMPLE, bits: int = BUCKET_BITS, smoothing: float = SMOOTHING, seed: int = 0) -> DataFrame:
+def importance_sample(docs: DataFrame, target: DataFrame, share: float, doc_id: str = "doc_id", text: str = "text", sample: int = TARGET_SAMPLE, bits: int = BUCKET_BITS, smoothing: tuple[float, ...] = SMOOTHING, seed: int = 0) -> DataFrame:
     """doc_id, n_grams, log_weight, kept: a row for each row of docs; kept marks the share of rows that were drawn.
 
     target: ids (column doc_id) of target documents, of which the first `sample` by a hash train the target model; the
-    model of all text counts every row. Weights are sums over a whole text's words and word pairs. A null or empty text
+    model of all text counts every row. A log weight is the sum of the log ratios of a whole text's words and word pairs,
+    so that documents are drawn in proportion to the ratio of their likelihoods. A null or empty text
     has weight 0. Gumbel noise comes from doc_id and seed: reruns agree, and rows that share a doc_id and weight are drawn
     together with the last of them. Without target documents all weights are 0. Other columns are ignored.
     """
@@ -157,9 +157,7 @@ def importance_sample(docs: DataFrame, target: DataFrame, share: float, doc_id:
     ratio = fit(wanted, everything, smoothing) if wanted.sum() else np.zeros_like(everything, np.float32)
     drawn = plain.select("id", F.xxhash64(F.lit(seed), "id").alias("draw"), "text")
     kind = "id long, draw long, n_grams long, log_weight double"
-    # The mean log ratio of an n-gram of the target sample is taken off, so that a text's length weighs nothing by itself.
-    own = drawn.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(_weights(ratio, 0.0, bits), kind).agg(F.sum("log_weight"), F.sum("n_grams")).first()
-    scored = drawn.mapInArrow(_weights(ratio, (own[0] or 0.0) / (own[1] or 1), bits), kind)
+    scored = drawn.mapInArrow(_weights(ratio, bits), kind)
     scored = materialize(scored.withColumn("score", F.col("log_weight") + gumbel(F.col("draw"))), "weights")
     rows = scored.fillna({"id": -(1 << 63)})
     kept = top_k(rows, round(share * rows.count()), "score", ["draw", "id"])
