@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from accordia.llm.common import _LOWER as LOWER
 from accordia.llm.common import bound_batches, materialize, passes, without
+from accordia.llm.url_filter import split_url
 
 #: Labelled documents a language that its model is fitted on: the first so many by a hash.
 SAMPLE = 400
-#: Languages that get a model: the most frequent labels.
-MOST_LANGUAGES = 200
+#: Languages that can have models at a time (a model is 2^16 single-precision numbers); more of them are an error.
+MOST_LANGUAGES = 256
 TRIGRAM_BITS = 16
 #: A trigram counts as this share of a draw of its own, as neighbours overlap.
 TEMPER = 0.34
@@ -58,17 +59,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(n[seen])], ["lang", "bucket", "n"])
 
 
+def normal(label: Column) -> Column:
+    """A language label without region or script, in lower case; null if nothing is left."""
+    return F.nullif(F.lower(F.substring_index(F.translate(F.trim(label), "_", "-"), "-", 1)), F.lit(""))
+
+
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, languages: list[str] | None = None) -> dict[str, np.ndarray]:
     """Log likelihood by trigram bucket of each language, from `sample` whole labelled texts of each.
 
-    Of more than MOST_LANGUAGES labels the most frequent have models; a model is 2^16 numbers on the driver.
+    Labels are brought to their normal form first. Every language has a model, or each of `languages` that occurs; over
+    MOST_LANGUAGES are an error. Rows without a label are ignored; an empty table gives no models.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(doc_id, text).alias("_h")).where("lang is not null")
+    rows = docs.select(F.col(doc_id).alias("id"), normal(F.col(lang)).alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(doc_id, text).alias("_h")).where("lang is not null")
     if languages is not None:
         rows = rows.where(F.col("lang").isin(languages))
     # A bound on the hash, from a language's count, leaves about four times its sample for the window to rank.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages: name those that are wanted")
     near = F.lit(False)
     for one, n in sizes:
         near = near | ((F.col("lang") == one) & (F.col("_h") < min((1 << 63) - 1, int((8 * sample / n - 1) * (1 << 63)))))
@@ -80,7 +89,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
         langs = np.array(x.column(0).to_pylist(), object)
         for one in set(langs):
             found.setdefault(one, np.zeros(1 << TRIGRAM_BITS))[x.column(1).to_numpy()[langs == one]] += x.column(2).to_numpy()[langs == one]
-    return {one: np.log((n + 0.05) / (n.sum() + 0.05 * len(n))) for one, n in sorted(found.items())}
+    return {one: np.log((n + 0.05) / (n.sum() + 0.05 * len(n))).astype(np.float32) for one, n in sorted(found.items())}
 
 
 def _scores(models: dict[str, np.ndarray]):
@@ -148,7 +157,7 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], doc_id: str = "doc_
         return docs.select(doc_id, F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("kept"))
     bound_batches(docs.sparkSession)
     given = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
-    plain = docs.select(F.col(doc_id).alias("id"), F.lower(F.substring_index(given(declared), "-", 1)).alias("declared"), F.lower(given(host)).alias("host"), F.lower(given(suffix)).alias("suffix"), F.col(text).cast("binary").alias("text"))
+    plain = docs.select(F.col(doc_id).alias("id"), normal(given(declared)).alias("declared"), F.lower(given(host)).alias("host"), F.lower(given(suffix)).alias("suffix"), F.col(text).cast("binary").alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     scored = plain.mapInArrow(_scores({x: models[x] for x in languages}), f"id {kind}, declared string, host string, suffix string, n long, scores array<double>")
     names = F.array(*map(F.lit, languages))
@@ -172,6 +181,23 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], doc_id: str = "doc_
     return rows.select(F.col("id").alias(doc_id), lang.alias("lang"), "posterior", "text_lang", kept.alias("kept"))
 
 
+#: Of a page: what is no text, and its declaration.
+NO_TEXT = r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;"
+MARKUP_LANG = r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)"
+
+
+def page_evidence(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, text (without markup), declared (the html element's lang), host, suffix (the host's last label) of web pages.
+
+    What a page or its url lacks is null; a null page has an empty text.
+    """
+    host = F.nullif(split_url(F.col(url))[0], F.lit(""))
+    host = F.regexp_replace(F.substring_index(host, "@", -1), r":\d*$", "")
+    declared = F.nullif(F.regexp_extract(F.col(html), MARKUP_LANG, 1), F.lit(""))
+    suffix = F.when(F.instr(host, ".") > 0, F.substring_index(host, ".", -1))
+    return pages.select(F.col(page_id).alias(page_id), F.coalesce(F.regexp_replace(F.col(html), NO_TEXT, " "), F.lit("")).alias("text"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
+
+
 def keep_identified(docs: DataFrame, models: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text", **evidence) -> DataFrame:
     """The rows of docs whose language identify finds, in the columns of docs; of rows that share a doc_id, all or none stay; rows without one stay."""
     return without(docs, doc_id, identify(docs, models, doc_id, text, **evidence).where("not kept").select(doc_id))

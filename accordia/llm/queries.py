@@ -52,8 +52,13 @@ def op6_importance_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by their texts alone, and all pages, by text, markup, suffix and host; page n is doc_id -1 - n."""
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.fit(docs), declared="lang", host="source")
+    nothing = F.lit(None).cast("string")
+    texts = docs.select("doc_id", "text", nothing.alias("declared"), nothing.alias("host"), nothing.alias("suffix"))
+    pages = langid.page_evidence(table(spark, sf_dir, "pages")).withColumn("doc_id", -1 - F.col("page_id")).drop("page_id")
+    found = langid.identify(texts.unionByName(pages), langid.fit(docs), declared="declared", host="host", suffix="suffix")
+    return found.select("doc_id", F.when(F.col("doc_id") < 0, -1 - F.col("doc_id")).alias("page_id"), "lang", "posterior", "text_lang", "kept")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import math
 import os
 import random
 import re
@@ -196,6 +197,30 @@ def test_mix_comes_near_its_targets_and_repeats_itself(spark):
     assert mixing.mixed_documents(d).columns == d.columns
 
 
+def test_words_taken_against_the_schedule_by_hand(spark):
+    """taken of the query, from the documents' order, blocks of the sources and points of the sequence alone."""
+    got = {r["doc_id"]: r["taken"] for r in QUERIES["op2_source_mixing"](spark, SMALL).collect()}
+    m = mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source"))
+    sources, docs = m.sources.collect(), m.documents.collect()
+    slots, ranks, times = round(sum(r["slots"] for r in sources)), Counter(), Counter()
+    for k in range(slots):
+        x = k * mixing.GOLDEN % (1 << mixing.RANGE_BITS)
+        r = next(r for r in sources if r["low"] <= x < r["high"])
+        s = r["source"]
+        if ranks[s] < 3 * r["blocks"]:
+            times[s, ranks[s] % r["blocks"]] += 1
+        ranks[s] += 1
+    want = {}
+    for r in sources:
+        least, longer = divmod(r["source_size"], max(1, r["blocks"]))
+        block_of = [b for b in range(r["blocks"]) for _ in range(least + (b < longer))]
+        at = 0
+        for d in sorted((d for d in docs if d["source"] == r["source"]), key=lambda d: (d["_order"] % (1 << 64) >> 33, d["_order"], d["id"])):
+            want[d["id"]] = sum(times[r["source"], b] for b in block_of[at : at + d["size"]])
+            at += d["size"]
+    assert got == want and sum(want.values()) > 0
+
+
 def test_small_sources_beside_a_large_one_come_near_their_targets(spark):
     # As with billions of words, the large source makes a block longer than the small sources' documents together.
     texts = [("tiny", 5), ("tiny", 2), ("small", 900), ("small", 1100), ("little", 4_000), ("little", 5_000)] + [("huge", 1_500_000)] * 20
@@ -492,6 +517,45 @@ def test_quality_tells_held_out_labels_apart(spark):
     assert share[True, False] > 0.93 and share[False, True] < 0.1
 
 
+def test_held_out_ranking_by_the_plain_ratio(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    good = "quality = 1 and toxic = 0"
+    train = labels.where("doc_id % 2 = 0")
+    got = quality.importance_sample(d, train.where(good), quality.good_share(train, good)).join(labels.where("doc_id % 2 = 1"), "doc_id").select("log_weight", F.expr(good).alias("good"), "toxic", "kept").collect()
+    order = sorted(got, key=lambda r: r["log_weight"])
+    rank = sum(i for i, r in enumerate(order) if r["good"])
+    p = sum(r["good"] for r in got)
+    assert (rank - p * (p - 1) / 2) / (p * (len(got) - p)) > 0.95
+    toxic = [r["kept"] for r in got if r["toxic"]]
+    assert sum(toxic) < 0.25 * len(toxic)
+
+
+def test_quality_query_against_loops(spark):
+    got = {r["doc_id"]: r for r in QUERIES["op6_importance_quality"](spark, SMALL).collect()}
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()}
+    grams_, mask = {}, (1 << quality.BUCKET_BITS) - 1
+    for r in docs.collect():
+        h = common.words(*utf8([r["text"] or ""])).hash.tolist()
+        pair = [int(common.mix64(np.array([(a * 0x9E3779B97F4A7C15 + b) % (1 << 64)], np.uint64))[0]) for a, b in zip(h[:-1], h[1:])]
+        grams_[r["doc_id"]] = [Counter(x & mask for x in h), Counter(x & mask for x in pair)]
+    weight = Counter()
+    for order, s in ((0, 3.0), (1, 300.0)):
+        raw, target = Counter(), Counter()
+        for i, g in grams_.items():
+            raw.update(g[order])
+            if i in good:
+                target.update(g[order])
+        scale = sum(target.values()) / sum(raw.values())
+        ratio = {x: math.log((target[x] + s) / (n * scale + s)) for x, n in raw.items()}
+        for i, g in grams_.items():
+            weight[i] += sum(n * ratio[x] for x, n in g[order].items())
+    noise = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.gumbel(F.xxhash64(F.lit(0), "doc_id")).alias("g")).collect()}
+    assert all(got[i]["log_weight"] == pytest.approx(weight[i], abs=1e-3) and got[i]["n_grams"] == sum(sum(x.values()) for x in g) for i, g in grams_.items())
+    k = round(len(grams_) * len(good) / labels.count())
+    assert {i for i, r in got.items() if r["kept"]} == set(sorted(grams_, key=lambda i: -weight[i] - noise[i])[:k])
+
+
 def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(quality, "BAND_ROWS", 64)
     draw = random.Random(1)
@@ -523,6 +587,101 @@ def test_language_of_held_out_texts_and_pages(spark):
     assert all(not r["kept"] and r["lang"] == "und" for r in out if r["doc_id"] % 5 == 4) and all(r["kept"] for r in out if r["doc_id"] % 5 == 3)
 
 
+def plain_language(models, rows_):
+    """Rows of identify by dictionaries: (text, declared, host, suffix) -> lang, posterior, text_lang, kept."""
+    languages = sorted(models)
+    scored = []
+    for t, *_ in rows_:
+        shown = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in "".join(c.lower() if c.isascii() else c for c in t or "").encode())
+        seen = [shown[i : i + 3] for i in range(len(shown) - 2) if shown[i : i + 2] != b"  "]
+        at = [(int.from_bytes(x, "big") * 2654435761 & 0xFFFFFFFF) >> 32 - langid.TRIGRAM_BITS for x in seen]
+        scores = [sum(float(models[x][i]) for i in at) for x in languages]
+        best = max(scores)
+        scored.append((scores, languages[scores.index(best)] if at and best > len(at) * -langid.TRIGRAM_BITS * math.log(2) else None))
+    evidence = []
+    for c in (1, 3):
+        counts = {}
+        for r, (_, lang) in zip(rows_, scored):
+            if r[c] is not None and lang:
+                counts.setdefault(r[c], Counter())[lang] += 1
+        totals = Counter()
+        for v in counts.values():
+            totals.update(v)
+        evidence.append({k: [math.log((v[x] + 1) / (totals[x] + len(counts) + 1)) for x in languages] for k, v in counts.items()})
+    total = Counter(x for _, x in scored if x)
+    base = [(total[x] + 1) / (sum(total.values()) + len(languages)) for x in languages]
+    hosts = {}
+    for r, (_, lang) in zip(rows_, scored):
+        if r[2] is not None:
+            hosts.setdefault(r[2], Counter())[lang] += 1
+    hosts = {h: [n[x] for x in languages] for h, n in hosts.items()}
+
+    def prior(h):
+        p, parts = base, h.split(".")
+        for k in (1, 2):
+            domain = ".".join(parts[-k:]) if len(parts) > k else None
+            inside = [sum(n[i] for g, n in hosts.items() if domain and len(g.split(".")) > k and ".".join(g.split(".")[-k:]) == domain) for i in range(len(languages))]
+            p = [(d + 10 * q) / (sum(inside) + 10) for d, q in zip(inside, p)]
+        n = hosts[h]
+        return [math.log((c + 10 * q) / (sum(n) + 10)) for c, q in zip(n, p)]
+
+    out = []
+    for r, (scores, lang) in zip(rows_, scored):
+        logs = [x * langid.TEMPER for x in scores]
+        for more in (evidence[0].get(r[1]), evidence[1].get(r[3]), prior(r[2]) if r[2] is not None else None):
+            logs = [x + y for x, y in zip(logs, more)] if more else logs
+        top = max(logs)
+        posterior = 1 / sum(math.exp(x - top) for x in logs)
+        kept = lang is not None and posterior >= 0.5
+        out.append((languages[logs.index(top)] if kept else "und", posterior, lang, kept))
+    return out
+
+
+def test_languages_of_documents_and_pages_against_loops(spark):
+    got = {r["doc_id"]: r for r in QUERIES["op7_language_id"](spark, SMALL).collect()}
+    docs, pages = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "pages"))
+    models = langid.fit(docs)
+    rows_ = [(r["doc_id"], (r["text"], None, None, None)) for r in docs.collect()]
+    for r in pages.collect():
+        host = re.match(r"[^:]*://([^/?#]*)", r["url"])[1].lower()
+        text = re.sub(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ", r["html"])
+        rows_.append((-1 - r["page_id"], (text, re.search(r"<html[^>]*\slang=\"([a-z]+)", r["html"])[1], host, host.split(".")[-1])))
+    want = plain_language(models, [r for _, r in rows_])
+    assert len(got) == len(rows_)
+    for (i, _), (lang, posterior, text_lang, kept) in zip(rows_, want):
+        r = got[i]
+        assert (r["lang"], r["text_lang"], r["kept"], r["page_id"]) == (lang, text_lang, kept, -1 - i if i < 0 else None) and r["posterior"] == pytest.approx(posterior, abs=1e-6)
+
+
+def test_held_out_languages_without_their_labels(spark):
+    """Models of half the documents; the others by text alone, and pages whose label, the path's, is no evidence."""
+    d, pages = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "pages"))
+    models = langid.fit(d.where("doc_id % 2 = 0"))
+    test = d.where("doc_id % 2 = 1").select("doc_id", "text", F.col("lang").alias("said"))
+    texts = langid.identify(test, models).join(test, "doc_id")
+    assert texts.where("lang = said").count() >= 0.99 * test.count()
+    said = pages.select("page_id", F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1).alias("said"))
+    found = langid.identify(langid.page_evidence(pages), models, doc_id="page_id", declared="declared", host="host", suffix="suffix").join(said, "page_id")
+    assert found.where("lang = said").count() >= 0.99 * pages.count() and found.where("text_lang = said").count() >= 0.9 * pages.count()
+
+
+def test_pages_without_url_markup_or_text(spark):
+    made = [(1, None, None), (2, "http://u:p@A.b.DE:80/x", "<HTML class=x LANG='pt-BR'>a&amp;b<script>no</script><!-- no -->c"), (3, "x", ""), (4, "http://localhost/", "<p lang=de>t")]
+    got = [tuple(r) for r in langid.page_evidence(spark.createDataFrame(made, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got[0] == (1, "", None, None, None) and got[2] == (3, "", None, None, None)
+    assert got[1][1].split() == ["a", "b", "c"] and got[1][2:] == ("pt", "a.b.de", "de")
+    assert got[3][1].split() == ["t"] and got[3][2:] == (None, "localhost", None)
+
+
+def test_labels_in_many_spellings_and_too_many(spark, monkeypatch):
+    d = spark.createDataFrame([(i, prose(i, 30), lang) for i, lang in enumerate(["en", "EN", "en-US", " en_GB", "de", None, ""])], "doc_id long, text string, lang string")
+    assert sorted(langid.fit(d)) == ["de", "en"]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.fit(d)
+    assert sorted(langid.fit(d, languages=["de"])) == ["de"]
+
+
 def test_host_priors_follow_parents(spark):
     rows_ = [("x.b.de", "de")] * 30 + [("y.b.de", "fr")] * 2 + [("z.com", "en")] * 30 + [("q.b.de", None)] * 3 + [(None, "en")]
     got = {r["_host"]: np.exp(r["host_logs"]) for r in langid.host_priors(spark.createDataFrame(rows_, "host string, text_lang string"), ["de", "en", "fr"]).collect()}
@@ -577,6 +736,72 @@ def test_all_of_many_passages_of_51_words_are_found(spark):
     assert substring.find_repeats(spark.createDataFrame(rows(texts), DOCS)).count() <= 8
 
 
+def plain_chunks(data):
+    """(begin, end) of a text's chunks, byte by byte."""
+    h, candidates = 0, []
+    for i, b in enumerate(data):
+        h = (2 * h + int(substring.GEAR[b])) & 0xFFFF
+        if not h >> 16 - substring.RATE_BITS and i + 1 >= substring.WINDOW:
+            candidates.append(i + 1)
+    kept = [e for e, before in zip(candidates, [-99, *candidates]) if e - before > substring.GAP]
+    out, begin = [], 0
+    for end in sorted({*kept, len(data)} - {0}):
+        while end - begin > substring.LONGEST:
+            out.append((begin, begin + substring.LONGEST))
+            begin += substring.LONGEST
+        if end > begin:
+            out.append((begin, end))
+            begin = end
+    return out
+
+
+def plain_repeats(docs):
+    """Rows of find_repeats by chunks' bytes and loops over a document's chunks."""
+    made, first = {}, {}
+    for i, t in docs:
+        data = "".join(c.lower() if c.isascii() else c for c in t or "").encode()
+        made[i] = (data, plain_chunks(data), [m.start() for m in WORD.finditer(data)])
+        for a, b in made[i][1]:
+            first[data[a:b]] = min(first.get(data[a:b], i), i)
+    out = []
+    for i, (data, cut, starts) in made.items():
+        count = lambda a, b: sum(a <= x < b for x in starts)
+        run = []
+        for k, (a, b) in enumerate([*cut, (0, 0)]):
+            if k < len(cut) and first[data[a:b]] < i:
+                run.append(k)
+                continue
+            if run:
+                n, before, after = count(cut[run[0]][0], cut[run[-1]][1]), 0, 0
+                if run[0]:
+                    m = run[0] - 1
+                    while m and cut[m - 1][1] - cut[m - 1][0] == substring.LONGEST:
+                        m -= 1
+                    before = count(max(0, cut[m][0] - substring.LEAD), cut[run[0]][0])
+                if run[-1] + 1 < len(cut):
+                    after = count(cut[run[-1]][1], cut[run[-1] + 1][1])
+                if n >= 30 or n + before + after >= 51:
+                    out.append((i, cut[run[0]][0], cut[run[-1]][1], n, min(first[data[cut[j][0] : cut[j][1]]] for j in run)))
+            run = []
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least_hot", [1 << 14, 2])
+def test_repeats_of_the_small_table_against_loops(spark, least_hot):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = sorted(tuple(r) for r in substring.find_repeats(docs, least_hot=least_hot).collect())
+    want = plain_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert got == want and len(got) > 20
+    assert sorted(tuple(r) for r in QUERIES["op8_substring_dedup"](spark, SMALL).collect()) == want
+
+
+def test_repeats_in_another_case_are_found(spark):
+    passage = prose(5, 120)
+    texts = [f"{prose(1, 30)} {passage} {prose(2, 30)}", f"{prose(3, 41)} {passage.upper()} {prose(4, 30)}", f"{prose(6, 30)} {passage.title()} é"]
+    got = {r["doc_id"]: r["n_words"] for r in substring.find_repeats(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    assert got.keys() == {1, 2} and min(got.values()) > 100
+
+
 def test_repeats_of_odd_rows(spark, odd):
     got = {r["doc_id"] for r in substring.find_repeats(odd).collect()}
     assert got == {5}
