@@ -132,6 +132,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """
     found = materialize(chunks(docs, doc_id, text).where("id is not null"), "chunks")
     firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count("*").alias("_n")).where("first < _last").select("digest", "first", "_n")
+    firsts = materialize(firsts, "firsts")
     # The HOT most frequent digests, a bounded list, are dealt out over SALTS keys each; none of the others holds more
     # than a share of 1 / HOT of all chunks.
     hot = firsts.where(F.col("_n") > least_hot).orderBy(F.desc("_n"), "digest").limit(HOT).select(F.col("digest").alias("_h"))
