@@ -29,6 +29,9 @@ BATCH_BYTES = 4 << 20
 #: Edges up to which one task finishes the components: 2^20 pairs of longs are 16 MB.
 LOCAL_EDGES = 1 << 20
 
+#: Of a join's keys, the HOT most frequent ones with over LEAST_HOT rows are dealt out over SALTS tasks.
+LEAST_HOT, HOT, SALTS = 1 << 14, 1 << 14, 64
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
@@ -73,6 +76,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def join_spread(rows: DataFrame, key: str, table: DataFrame, its: str, count: str, spread: list[str], how: str = "left", least_hot: int | None = None) -> DataFrame:
+    """rows joined with a written table (a row a key, column `its`), so that no key's rows all come to one task.
+
+    The HOT most frequent keys by `count`, of over LEAST_HOT rows each, are dealt out over SALTS parts by a hash of the
+    columns `spread`, and so are rows without a key; each other key has at most a share of 1 / HOT of all rows. Only the
+    hot keys, a bounded list, are broadcast.
+    """
+    hot_, salt_, own_ = fresh(rows, "hot", "salt", "own_salt")
+    hot = table.where(F.col(count) > (LEAST_HOT if least_hot is None else least_hot)).orderBy(F.desc(count), its).limit(HOT).select(F.col(its).alias(hot_))
+    part = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_), "left").withColumn(salt_, F.when(F.col(hot_).isNotNull(), part).when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(0)).drop(hot_)
+    copies = table.join(F.broadcast(hot), F.col(its) == F.col(hot_), "left").withColumn(own_, F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(hot_).isNull(), 0).otherwise(SALTS - 1).cast("long")))).drop(hot_, count)
+    return dealt.join(copies, (F.col(key) == F.col(its)) & (F.col(salt_) == F.col(own_)), how).drop(salt_, own_, its)
+
+
 def without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not in gone's first column; rows without a doc_id stay."""
     (name,) = fresh(docs, "gone")

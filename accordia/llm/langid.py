@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordia.llm.common import _LOWER as LOWER
-from accordia.llm.common import bound_batches, materialize, passes, without
+from accordia.llm.common import bound_batches, join_spread, materialize, passes, without
 from accordia.llm.url_filter import split_url
 
 #: Labelled documents a language that its model is fitted on: the first so many by a hash.
@@ -115,12 +115,12 @@ def _evidence(scored: DataFrame, column: str, languages: list[str]) -> DataFrame
 
 
 def host_priors(scored: DataFrame, languages: list[str], levels: int = 3) -> DataFrame:
-    """(host, log prior by language): a host's counts with its parent domain's prior as pseudo-counts, and so on up.
+    """(host, log prior by language, rows): a host's counts with its parent domain's prior as pseudo-counts, and so on up.
 
     A host's parents are what is left without its first label, down to one label, at most `levels` in all.
     """
     counts = [F.count(F.when(F.col("text_lang") == x, 1)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)]
-    hosts = scored.where("host is not null").groupBy("host").agg(*counts)
+    hosts = scored.where("host is not null").groupBy("host").agg(*counts, F.count("*").alias("host_n"))
     parts = F.split("host", r"\.")
     # Level 1 is the last label, level 2 the last two, ...; the host itself is the last level.
     domain = lambda k: F.when(F.size(parts) > k, F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
@@ -132,11 +132,11 @@ def host_priors(scored: DataFrame, languages: list[str], levels: int = 3) -> Dat
         at = hosts.withColumn("_d", domain(k)).where("_d is not null").groupBy("_d").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(len(languages))])
         rows = rows.withColumn("_k", domain(k)).join(at, F.col("_k") == F.col("_d"), "left").drop("_k", "_d")
         size = sum((F.coalesce(F.col(f"d{i}"), F.lit(0.0)) for i in range(len(languages))), F.lit(0.0))
-        rows = rows.select("host", *[f"n{i}" for i in range(len(languages))], *[f"p{i}" for i in range(len(languages)) if k > 1], *[((F.coalesce(F.col(f"d{i}"), F.lit(0.0)) + HOST_SMOOTHING * (prior[i] if k == 1 else F.col(f"p{i}"))) / (size + HOST_SMOOTHING)).alias(f"q{i}") for i in range(len(languages))])
-        rows = rows.select("host", *[f"n{i}" for i in range(len(languages))], *[F.col(f"q{i}").alias(f"p{i}") for i in range(len(languages))])
+        rows = rows.select("host", "host_n", *[f"n{i}" for i in range(len(languages))], *[f"p{i}" for i in range(len(languages)) if k > 1], *[((F.coalesce(F.col(f"d{i}"), F.lit(0.0)) + HOST_SMOOTHING * (prior[i] if k == 1 else F.col(f"p{i}"))) / (size + HOST_SMOOTHING)).alias(f"q{i}") for i in range(len(languages))])
+        rows = rows.select("host", "host_n", *[f"n{i}" for i in range(len(languages))], *[F.col(f"q{i}").alias(f"p{i}") for i in range(len(languages))])
     size = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0.0))
     logs = [F.log((F.col(f"n{i}") + HOST_SMOOTHING * F.col(f"p{i}")) / (size + HOST_SMOOTHING)) for i in range(len(languages))]
-    return rows.select(F.col("host").alias("_host"), F.array(*logs).alias("host_logs"))
+    return rows.select(F.col("host").alias("_host"), F.array(*logs).alias("host_logs"), "host_n")
 
 
 def _sum(arrays: list[Column], i: int) -> Column:
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], doc_id: str = "doc_
     if suffix:
         rows = rows.join(_evidence(scored, "suffix", languages), F.col("suffix") == F.col("_suffix"), "left")
     if host:
-        rows = rows.join(host_priors(scored, languages), F.col("host") == F.col("_host"), "left")
+        rows = join_spread(rows, "host", materialize(host_priors(scored, languages), "host_priors"), "_host", "host_n", ["id"])
     others = [F.col(f"{c}_logs") for c, used in (("declared", declared), ("suffix", suffix), ("host", host)) if used]
     logs = F.array(*[F.col("scores")[i] * TEMPER + _sum(others, i) for i in range(len(languages))])
     rows = rows.withColumn("_logs", logs).withColumn("_top", F.array_max("_logs"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordia.llm.common import _LOWER as LOWER
-from accordia.llm.common import bound_batches, fresh, materialize, mix64, passes, powers, words
+from accordia.llm.common import bound_batches, fresh, join_spread, materialize, mix64, passes, powers, words
 
 #: The hash covers 16 bytes: each byte's gear is shifted out of its low RATE_BITS + 11 bits by then.
 WINDOW = 16
@@ -28,8 +28,6 @@ LEAST_WORDS = 30
 LEAST_PASSAGE = 51
 #: Ends in a passage's first so many bytes may hang on what stands before it.
 LEAD = WINDOW + GAP
-#: Digests of more than LEAST_HOT chunks are dealt out over SALTS keys, the HOT most frequent of them.
-LEAST_HOT, HOT, SALTS = 1 << 14, 1 << 14, 64
 GEAR = np.random.default_rng(77).integers(0, 1 << 16, 256, dtype=np.uint64).astype(np.uint16)
 
 
@@ -122,7 +120,7 @@ def _unpacked() -> list[Column]:
     return [begin.alias("begin"), (begin + length).alias("end"), *counts]
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_hot: int = LEAST_HOT) -> DataFrame:
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, least_hot: int | None = None) -> DataFrame:
     """doc_id, begin, end (bytes of the text), n_words, first_doc_id: a row for each repeat of a passage of another document.
 
     The document with the smallest doc_id holds a passage's original, which is not a repeat; first_doc_id is the smallest
@@ -133,13 +131,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     found = materialize(chunks(docs, doc_id, text).where("id is not null"), "chunks")
     firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count("*").alias("_n")).where("first < _last").select("digest", "first", "_n")
     firsts = materialize(firsts, "firsts")
-    # The HOT most frequent digests, a bounded list, are dealt out over SALTS keys each; none of the others holds more
-    # than a share of 1 / HOT of all chunks.
-    hot = firsts.where(F.col("_n") > least_hot).orderBy(F.desc("_n"), "digest").limit(HOT).select(F.col("digest").alias("_h"))
-    salted = firsts.join(F.broadcast(hot), F.col("digest") == F.col("_h"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_h").isNull(), 0).otherwise(SALTS - 1))))
-    dealt = found.join(F.broadcast(hot), F.col("digest") == F.col("_h"), "left")
-    dealt = dealt.select("id", "chunk", "digest", _packed().alias("_place"), F.when(F.col("_h").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "chunk"), F.lit(SALTS))).cast("int").alias("_salt"))
-    met = dealt.join(salted.select("digest", "_salt", "first"), ["digest", "_salt"]).where("id > first")
+    met = join_spread(found.select("id", "chunk", "digest", _packed().alias("_place")), "digest", firsts.withColumnRenamed("digest", "_d"), "_d", "_n", ["id", "chunk"], "inner", least_hot).where("id > first")
     repeats = met.select("id", "chunk", "_place", "first").distinct().select("id", "chunk", *_unpacked(), "first")
     # Runs of neighbours: a chunk's number less its rank among the document's repeats stays the same along a run.
     ranked = repeats.withColumn("_run", F.col("chunk") - F.dense_rank().over(Window.partitionBy("id").orderBy("chunk")))

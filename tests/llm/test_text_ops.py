@@ -99,6 +99,20 @@ def test_union_find_without_edges():
     assert not len(node) and not len(root)
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("hot, least_hot", [(1 << 14, 1 << 14), (3, 5), (1 << 14, 0)])
+def test_spread_joins_give_plain_joins(spark, monkeypatch, how, hot, least_hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    draw = random.Random(6)
+    rows_ = [(i, draw.choice(["a"] * 40 + ["b", "c", "d", None, "x"]), 1) for i in range(900)]
+    n = Counter(k for _, k, _ in rows_)
+    table = spark.createDataFrame([(k, n[k], f"v{k}") for k in "abcde"], "its string, n long, v string")
+    got = common.join_spread(spark.createDataFrame(rows_, "id long, key string, salt int"), "key", table, "its", "n", ["id"], how, least_hot)
+    assert got.columns == ["id", "key", "salt", "v"]
+    want = [(i, k, s, f"v{k}" if k in list("abcde") else None) for i, k, s in rows_ if how == "left" or k in list("abcde")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # URL filters
 @pytest.mark.parametrize("fpp, most_bits", [(None, url_filter.MAX_FILTER_BITS), (0.5, url_filter.MAX_FILTER_BITS), (1e-9, 64)])
 def test_urls_by_one_cascade_and_by_several(spark, fpp, most_bits):
@@ -197,28 +211,30 @@ def test_mix_comes_near_its_targets_and_repeats_itself(spark):
     assert mixing.mixed_documents(d).columns == d.columns
 
 
-def test_words_taken_against_the_schedule_by_hand(spark):
-    """taken of the query, from the documents' order, blocks of the sources and points of the sequence alone."""
-    got = {r["doc_id"]: r["taken"] for r in QUERIES["op2_source_mixing"](spark, SMALL).collect()}
-    m = mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source"))
+def plain_taken(m):
+    """(id, order) -> words taken, from the documents' order, blocks of the sources and points of the sequence alone."""
     sources, docs = m.sources.collect(), m.documents.collect()
-    slots, ranks, times = round(sum(r["slots"] for r in sources)), Counter(), Counter()
-    for k in range(slots):
+    ranks, times, out = Counter(), Counter(), {}
+    for k in range(round(sum(r["slots"] for r in sources))):
         x = k * mixing.GOLDEN % (1 << mixing.RANGE_BITS)
         r = next(r for r in sources if r["low"] <= x < r["high"])
-        s = r["source"]
-        if ranks[s] < 3 * r["blocks"]:
-            times[s, ranks[s] % r["blocks"]] += 1
-        ranks[s] += 1
-    want = {}
+        if ranks[r["source"]] < 3 * r["blocks"]:
+            times[r["source"], ranks[r["source"]] % r["blocks"]] += 1
+        ranks[r["source"]] += 1
     for r in sources:
         least, longer = divmod(r["source_size"], max(1, r["blocks"]))
         block_of = [b for b in range(r["blocks"]) for _ in range(least + (b < longer))]
         at = 0
         for d in sorted((d for d in docs if d["source"] == r["source"]), key=lambda d: (d["_order"] % (1 << 64) >> 33, d["_order"], d["id"])):
-            want[d["id"]] = sum(times[r["source"], b] for b in block_of[at : at + d["size"]])
+            out[d["id"], d["_order"]] = sum(times[r["source"], b] for b in block_of[at : at + d["size"]])
             at += d["size"]
-    assert got == want and sum(want.values()) > 0
+    return out
+
+
+def test_words_taken_against_the_schedule_by_hand(spark):
+    got = {r["doc_id"]: r["taken"] for r in QUERIES["op2_source_mixing"](spark, SMALL).collect()}
+    want = plain_taken(mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source")))
+    assert got == {i: n for (i, _), n in want.items()} and sum(want.values()) > 0
 
 
 def test_small_sources_beside_a_large_one_come_near_their_targets(spark):
@@ -786,7 +802,7 @@ def plain_repeats(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least_hot", [1 << 14, 2])
+@pytest.mark.parametrize("least_hot", [None, 2])
 def test_repeats_of_the_small_table_against_loops(spark, least_hot):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = sorted(tuple(r) for r in substring.find_repeats(docs, least_hot=least_hot).collect())
