@@ -12,27 +12,37 @@ from accordia.llm.queries import TOKENIZER
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; their text, declared language and source are the evidence."""
-    return langid.keep_identified(docs, langid.fit(docs), declared="lang", host="source")
+    """Documents whose language is found from their text and, as a host, their source.
+
+    Labels (lang) only train the models, on a sample of each. Texts without a letter, null and empty ones among them, go;
+    of rows that share a doc_id, all or none stay; rows without one stay, and so does an empty table.
+    """
+    return langid.keep_identified(docs, langid.fit(docs), host="source")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by near-equal sets of five-word shingles."""
+    """The document with the smallest doc_id of each group that is linked by near-equal sets of five-word shingles.
+
+    Texts without words link with nothing; rows that share a kept doc_id all stay, and so do rows without a doc_id.
+    """
     return near_dup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; null and empty texts hold none, and rows without a doc_id stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, which is never for texts without words.
+
+    A null source is a source; repeated rows are mixed as documents of their own.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32; each row a document, however repeated."""
     return token_out.token_digests(token_out.tokenize_documents(docs, TOKENIZER))
 
 
