@@ -11,11 +11,15 @@ or `#` each, so that no text can hold a mark, and unescaping restores every text
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD, MID, OPEN, CLOSE, END = "### ", ": ", "<turn>", "</turn>", "\n"
 LOSS_ROLE = "assistant"
+#: Segments that are placed at a time, and code points of a piece of output that is read at a time.
+BLOCK, PIECE = 256, 1 << 14
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
 
 
@@ -31,13 +35,19 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once; written out in a lambda, it would be anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _runs(turns: Column) -> Column:
     """Sorted turns -> array of runs (role, texts): adjacent turns of one role are merged, their texts kept apart."""
     n = F.size(turns)
     index = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     begins = F.filter(index, lambda i: (i == 1) | (turns[i - 1]["role"] != turns[F.greatest(i - 2, F.lit(0))]["role"]))
-    ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins), F.lit(1))), F.array(n + 1))
-    return F.transform(begins, lambda i, at: F.struct(turns[i - 1]["role"].alias("role"), F.transform(F.slice(turns, i, ends[at] - i), lambda t: t["text"]).alias("texts")))
+    following = lambda at: F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(n + 1))
+    bounds = let(begins, lambda at: F.zip_with(at, following(at), lambda b, e: F.struct(b.alias("begin"), e.alias("end"))))
+    return F.transform(bounds, lambda x: F.struct(turns[x["begin"] - 1]["role"].alias("role"), F.transform(F.slice(turns, x["begin"], x["end"] - x["begin"]), lambda t: t["text"]).alias("texts")))
 
 
 def _segments(runs: Column) -> Column:
@@ -47,16 +57,37 @@ def _segments(runs: Column) -> Column:
     return F.flatten(F.transform(runs, lambda run: F.concat(F.array(mark(F.concat(F.lit(HEAD), escape(run["role"]), F.lit(MID)))), body(run), F.array(mark(F.lit(END))))))
 
 
+def _blocks(n: Column) -> Column:
+    """Numbers, from 0, of the blocks of BLOCK that n things make; one at least."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(n / BLOCK) - 1, F.lit(0)).cast("int"))
+
+
 def _spans(segments: Column) -> Column:
-    """Places (begin, end), in code points, of the segments under the loss."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"))
+    """Places (begin, end), in code points, of the segments under the loss.
+
+    Growing an array in an aggregate copies it each time: places are summed by block, then within each block.
+    """
+    block = lambda b: F.slice(segments, b * BLOCK + 1, F.lit(BLOCK))
+    zero = F.lit(0).cast("long")
+    sizes = F.transform(_blocks(F.size(segments)), lambda b: F.aggregate(block(b), zero, lambda n, x: n + F.length(x["text"])))
+    starts = F.aggregate(sizes, F.array(zero), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
 
     def step(state: Column, x: Column) -> Column:
         end = state["at"] + F.length(x["text"])
         grown = F.concat(state["spans"], F.array(F.struct(state["at"].alias("begin"), end.alias("end"))))
         return F.struct(end.alias("at"), F.when(x["loss"], grown).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(segments, start, step, lambda state: state["spans"])
+    inner = lambda start, b: F.aggregate(block(b), F.struct(start.alias("at"), none.alias("spans")), step, lambda state: state["spans"])
+    return F.flatten(F.transform(F.slice(starts, F.lit(1), F.size(sizes)), inner))
+
+
+def _cut_out(text: Column, spans: Column) -> Column:
+    """The texts of spans. Places are found from the start of a text each time, hence first cut into pieces of PIECE."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda k: F.call_function("substring", text, k * PIECE + 1, F.lit(PIECE)))
+    piece = lambda at: F.floor(at / PIECE).cast("int")
+    near = lambda held, s: F.array_join(F.slice(held, piece(s["begin"]) + 1, piece(s["end"]) - piece(s["begin"]) + 1), "")
+    return let(pieces, lambda held: F.transform(spans, lambda s: F.call_function("substring", near(held, s), (s["begin"] % PIECE + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))))
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -78,7 +109,7 @@ def read_chats(chats: DataFrame) -> DataFrame:
     role = lambda run: unescape(F.substring_index(run, MID + OPEN, 1))
     texts = lambda run: F.slice(F.split(run, OPEN), 2, F.greatest(F.size(F.split(run, OPEN)), F.lit(1)))
     turns = F.flatten(F.transform(runs, lambda run: F.transform(texts(run), lambda t: F.struct(role(run).alias("role"), unescape(F.substring_index(t, CLOSE, 1)).alias("text")))))
-    under = F.transform("loss_spans", lambda s: unescape(F.call_function("substring", F.col("formatted"), (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))))
+    under = F.transform(_cut_out(F.col("formatted"), F.col("loss_spans")), unescape)
     return chats.select("conv", turns.alias("turns"), F.array_join(under, "").alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

@@ -505,6 +505,18 @@ def test_chats_read_back_as_they_were(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_a_conversation_of_many_turns_and_long_texts(spark):
+    draw = random.Random(7)
+    made = [(1, t, draw.choice(["user", "assistant"]), draw.choice(["é<#\\ ", "a", "", "word "]) * draw.randint(0, 9)) for t in range(12_000)]
+    made += [(2, t, "assistant", "x<é" * 120_000 + str(t)) for t in range(5)] + [(3, 0, "user", "y" * 300_000), (4, 0, "assistant", "")]
+    df = spark.createDataFrame(made, "conv_id long, turn long, role string, text string").repartition(4)
+    out = {r["conv"]: r for r in chat.read_chats(chat.format_chats(df)).collect()}
+    for c in (1, 2, 3, 4):
+        turns = [(r, x) for k, _, r, x in made if k == c]
+        assert [(t["role"], t["text"]) for t in out[c]["turns"]] == turns
+        assert out[c]["loss_text"] == "".join(x for r, x in turns if r == "assistant")
+
+
 def test_adjacent_turns_of_a_role_share_a_head(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "assistant", "c"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
     got = chat.format_chats(df).first()
