@@ -10,6 +10,8 @@ from accordia.functions.vocabulary import HARM_WEIGHTS
 from accordia.operators.order import cumulate
 
 CLIP = 1e-6
+#: Parts of the unit interval that a stratum's rows are dealt out by to meet its map.
+MAP_PARTS = 256
 
 
 def bin_of(p: Column, bins: int) -> Column:
@@ -59,10 +61,17 @@ def selective_risk(rows: DataFrame, group: list[str], coverages: list[float]) ->
 
 
 def map_predict(rows: DataFrame, knots: DataFrame) -> DataFrame:
-    """p of each x by its stratum's knots (stratum, x, y): linear between them, flat beyond. Knots are few a stratum."""
+    """p of each x by its stratum's knots (stratum, x, y): linear between them, flat beyond.
+
+    A stretch between two knots is listed under each part of the unit interval that it meets, so that a row meets the
+    stretches of its part alone, however many knots its stratum has; a stratum's rows are dealt out by part.
+    """
     w = Window.partitionBy("stratum").orderBy("x")
-    parts = knots.select("stratum", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), (F.row_number().over(w) == 1).alias("first"))
-    met = rows.join(parts, "stratum")
+    stretches = knots.select("stratum", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), (F.row_number().over(w) == 1).alias("first"))
+    part = lambda x: F.least(F.greatest(F.floor(x * MAP_PARTS), F.lit(0)), F.lit(MAP_PARTS - 1)).cast("int")
+    listed = F.sequence(F.when(F.col("first"), 0).otherwise(part(F.col("x0"))), F.when(F.col("x1").isNull(), MAP_PARTS - 1).otherwise(part(F.col("x1"))))
+    stretches = stretches.select("*", F.explode(listed).alias("_part"))
+    met = rows.withColumn("_part", part(F.col("x"))).join(stretches, ["stratum", "_part"])
     inside = (F.col("first") | (F.col("x") >= F.col("x0"))) & (F.col("x1").isNull() | (F.col("x") < F.col("x1")))
     share = F.when(F.col("x1").isNull() | (F.col("x") <= F.col("x0")), 0.0).otherwise(F.try_divide(F.col("x") - F.col("x0"), F.col("x1") - F.col("x0")))
     return met.where(inside).select(*rows.columns, clip01(F.col("y0") + share * (F.coalesce("y1", "y0") - F.col("y0"))).alias("p"))
@@ -94,18 +103,17 @@ def coverage(rows: DataFrame, thresholds: DataFrame, group: list[str], target: f
     return counted.select(*group, "n", "covered", (F.col("covered") / F.col("n")).alias("coverage"), (F.col("covered") / F.col("n") >= F.lit(target) - slack).alias("holds"))
 
 
+#: What an action was triggered by.
+TRIGGERS = ("undefined_reliability", "phase_d_flag_outranks_calibrated_reliability", "reliability_above_answer_threshold", "reliability_between_verify_and_answer_thresholds", "reliability_below_verify_threshold")
+
+
 def decide(p: Column, harm: Column, flagged: Column, verify_cost: float = 0.15, abstain_cost: float = 0.35, undefined: str = "verify") -> tuple[Column, Column]:
     """(action, trigger): the cheapest of answering, (1 - p) * weight, verifying and abstaining; a flag forbids answering."""
     loss = (1 - p) * harm_weight(harm)
     answers = loss <= verify_cost
     action = F.when(p.isNull(), undefined).when(answers & ~flagged, "answer").when(loss <= abstain_cost, "verify").otherwise("abstain")
-    trigger = (
-        F.when(p.isNull(), "undefined_reliability")
-        .when(answers & flagged, "phase_d_flag_outranks_calibrated_reliability")
-        .when(answers, "reliability_above_answer_threshold")
-        .when(loss <= abstain_cost, "reliability_between_verify_and_answer_thresholds")
-        .otherwise("reliability_below_verify_threshold")
-    )
+    undefined_, flagged_, above, between, below = map(F.lit, TRIGGERS)
+    trigger = F.when(p.isNull(), undefined_).when(answers & flagged, flagged_).when(answers, above).when(loss <= abstain_cost, between).otherwise(below)
     return action, trigger
 
 
@@ -141,5 +149,6 @@ def replicate_summary(replicates: DataFrame, group: list[str], alpha: float = 0.
     return values.select(*group, n.alias("n"), "mean", "se", F.col("v")[low].alias("low"), F.col("v")[high].alias("high"))
 
 
-def gate_stability(low: Column, high: Column, threshold: float) -> Column:
-    return F.when(low >= threshold, "stable_pass").when(high < threshold, "stable_fail").otherwise("undecided")
+def gate_stability(low: Column, high: Column, threshold: Column) -> Column:
+    """Whether a metric that must be under the threshold is so over its whole interval; a missing one is not computed."""
+    return F.when(low.isNull() | high.isNull(), "not_computed").when(high < threshold, "stable_pass").when(low > threshold, "stable_fail").otherwise("indeterminate")

@@ -1,13 +1,13 @@
-"""Order-dependent fits, clusterings and resampling, a group at a time in pandas.
+"""Order-dependent fits and clusterings.
 
-A group is a stratum, an item or a replicate seed, of bounded size (an item's samples, a stratum's labelled rows); what a
-fit returns is a few rows.
+Fits see a row for each distinct score, never all rows: isotonic maps are pooled in parts of the score first, and the parts'
+blocks pooled again; Platt maps and the risk score take counted cells, of which over MOST_CELLS are an error. Clusterings
+work on the samples of one item, a bounded group, at a time.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -15,36 +15,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accordia.operators.bootstrap import MOST_CELLS, bounded
+from accordia.operators.order import PARTS
 from accordia.operators.relations import BLOCK, MERGE
 
 
+def pool(left: np.ndarray, total: np.ndarray, weight: np.ndarray) -> list[list[float]]:
+    """Blocks (left edge, sum, weight) of the non-decreasing fit to blocks in order. Any part may be pooled beforehand."""
+    stack: list[list[float]] = []
+    for block in zip(left.tolist(), total.tolist(), weight.tolist(), strict=True):
+        stack.append([*block])
+        while len(stack) > 1 and stack[-2][1] / stack[-2][2] > stack[-1][1] / stack[-1][2] + 1e-12:
+            _, total_, weight_ = stack.pop()
+            stack[-1][1] += total_
+            stack[-1][2] += weight_
+    return stack
+
+
 def pool_adjacent(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit: each pooled block's leftmost x and its mean."""
     values, at = np.unique(x, return_inverse=True)
-    stack: list[list[float]] = []  # left edge, sum, weight
-    for left, total, weight in zip(values, np.bincount(at, y), np.bincount(at), strict=True):
-        stack.append([left, total, weight])
-        while len(stack) > 1 and stack[-2][1] / stack[-2][2] > stack[-1][1] / stack[-1][2] + 1e-12:
-            _, total, weight = stack.pop()
-            stack[-1][1] += total
-            stack[-1][2] += weight
-    return np.array([b[0] for b in stack]), np.clip([b[1] / b[2] for b in stack], 0.0, 1.0)
+    blocks = pool(values, np.bincount(at, y), np.bincount(at).astype(float))
+    return np.array([b[0] for b in blocks]), np.clip([b[1] / b[2] for b in blocks], 0.0, 1.0)
 
 
 def interpolate(x: np.ndarray, knots_x: np.ndarray, knots_y: np.ndarray) -> np.ndarray:
     return np.clip(np.interp(x, knots_x, knots_y), 0.0, 1.0)
 
 
-def platt(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope (0 or more) and intercept by half Newton steps on Platt's smoothed targets."""
-    right = y.sum()
-    target = np.where(y > 0, (right + 1) / (right + 2), 1 / (len(y) - right + 2))
+def platt(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, steps: int = 200) -> tuple[float, float]:
+    """Slope (0 or more) and intercept by half Newton steps on Platt's smoothed targets; y of n rows at each x are right."""
+    n = np.ones_like(x) if n is None else n
+    right, wrong = y.sum(), (n - y).sum()
+    target = y * (right + 1) / (right + 2) + (n - y) / (wrong + 2)
     theta = np.array([1.0, 0.0])
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-design @ theta))
-        gradient = design.T @ (p - target)
-        hessian = design.T @ (design * np.maximum(p * (1 - p), 1e-9)[:, None]) + 1e-9 * np.eye(2)
+        gradient = design.T @ (n * p - target)
+        hessian = design.T @ (design * (n * np.maximum(p * (1 - p), 1e-9))[:, None]) + 1e-9 * np.eye(2)
         if np.linalg.det(hessian) <= 1e-12:
             break
         step = np.linalg.solve(hessian, gradient)
@@ -55,13 +64,15 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]
     return float(theta[0]), float(theta[1])
 
 
-def monotone_logistic(design: np.ndarray, y: np.ndarray, l2: float = 0.25, rate: float = 0.05, epochs: int = 2500) -> tuple[float, np.ndarray]:
-    """Intercept and weights, none below 0, by projected gradient descent from the log odds."""
-    bias, w = math.log(y.mean() / (1 - y.mean())), np.zeros(design.shape[1])
+def monotone_logistic(design: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, l2: float = 0.25, rate: float = 0.05, epochs: int = 2500) -> tuple[float, np.ndarray]:
+    """Intercept and weights, none below 0, by projected gradient descent from the log odds; y of n rows are 1."""
+    n = np.ones(len(y)) if n is None else n
+    share = y.sum() / n.sum()
+    bias, w = math.log(share / (1 - share)), np.zeros(design.shape[1])
     for _ in range(epochs):
-        error = 1 / (1 + np.exp(-np.clip(bias + design @ w, -35, 35))) - y
-        bias -= rate * error.mean()
-        w = np.maximum(0.0, w - rate * (design.T @ error / len(y) + l2 * w))
+        error = n / (1 + np.exp(-np.clip(bias + design @ w, -35, 35))) - y
+        bias -= rate * error.sum() / n.sum()
+        w = np.maximum(0.0, w - rate * (design.T @ error / n.sum() + l2 * w))
     return bias, w
 
 
@@ -75,28 +86,42 @@ def _with_both_classes(rows: DataFrame, group: list[str]) -> DataFrame:
     return usable.join(both, same, "left_semi")
 
 
-def _per_group(rows: DataFrame, group: list[str], fit: Callable[[np.ndarray, np.ndarray], dict], kinds: str) -> DataFrame:
+def _cells(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Group, x, right, n: the rows of groups with both classes, counted by distinct x."""
+    return _with_both_classes(rows, group).groupBy(*group, "x").agg(F.sum("correct").alias("right"), F.count("*").cast("double").alias("n"))
+
+
+def _per_group(cells: DataFrame, group: list[str], fit: Callable[[pd.DataFrame], dict], kinds: str) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = fit(part["x"].to_numpy(float), part["correct"].to_numpy(float))
-        return pd.DataFrame({**{g: part[g].iloc[0] for g in group}, **found})
+        return pd.DataFrame({**{g: part[g].iloc[0] for g in group}, **fit(part.sort_values("x"))})
+
+    named = ", ".join(f"{g} {cells.schema[g].dataType.simpleString()}" for g in group)
+    return cells.groupBy(*group).applyInPandas(run, f"{named}, {kinds}")
+
 
-    named = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
-    return _with_both_classes(rows, group).groupBy(*group).applyInPandas(run, f"{named}, {kinds}")
+def _pooled(part: pd.DataFrame) -> dict:
+    blocks = np.array(pool(part["x"].to_numpy(float), part["right"].to_numpy(float), part["n"].to_numpy(float)))
+    return dict(zip(("x", "right", "n"), blocks.T, strict=True))
 
 
 def isotonic_maps(rows: DataFrame, group: list[str]) -> DataFrame:
     """Per group with both classes: knots x, y in order, from x and correct."""
-    return _per_group(rows, group, lambda x, y: dict(zip("xy", pool_adjacent(x, y), strict=True)), "x double, y double")
+    kinds = "x double, right double, n double"
+    parts = _per_group(_cells(rows, group).withColumn("_part", F.floor(F.col("x") * PARTS)), [*group, "_part"], _pooled, kinds).drop("_part")
+    y = F.least(F.greatest(F.col("right") / F.col("n"), F.lit(0.0)), F.lit(1.0))
+    return _per_group(parts, group, _pooled, kinds).select(*group, "x", y.alias("y"))
 
 
 def platt_maps(rows: DataFrame, group: list[str]) -> DataFrame:
     """Per group with both classes: slope, intercept, n."""
 
-    def fit(x: np.ndarray, y: np.ndarray) -> dict:
-        slope, intercept = platt(x, y)
-        return {"slope": [slope], "intercept": [intercept], "n": [len(y)]}
+    def fit(part: pd.DataFrame) -> dict:
+        if len(part) > MOST_CELLS:
+            raise ValueError(f"over {MOST_CELLS} distinct scores: round them first")
+        slope, intercept = platt(part["x"].to_numpy(float), part["right"].to_numpy(float), part["n"].to_numpy(float))
+        return {"slope": [slope], "intercept": [intercept], "n": [int(part["n"].sum())]}
 
-    return _per_group(rows, group, fit, "slope double, intercept double, n long")
+    return _per_group(_cells(rows, group), group, fit, "slope double, intercept double, n long")
 
 
 def cross_fit(rows: DataFrame, stratum: str, fold: str, k: int, least: int = 10) -> DataFrame:
@@ -111,20 +136,23 @@ def cross_fit(rows: DataFrame, stratum: str, fold: str, k: int, least: int = 10)
 
 
 def fit_risk(rows: DataFrame, design: list, label: str) -> tuple[float, np.ndarray]:
-    """monotone_logistic over rows' design columns, by sums of gradients: n is that of labelled development rows."""
-    found = rows.select(*[d.cast("double").alias(f"d{i}") for i, d in enumerate(design)], F.col(label).cast("double").alias("y")).toPandas().dropna()
-    y = found.pop("y").to_numpy()
-    if not 0 < y.mean() < 1:
+    """monotone_logistic over rows' design columns, counted by distinct values; rows with a null are left out."""
+    named = rows.select(*[d.cast("double").alias(f"d{i}") for i, d in enumerate(design)], F.col(label).cast("double").alias("y")).dropna()
+    found = bounded(named.groupBy(*[f"d{i}" for i in range(len(design))]).agg(F.sum("y").alias("y"), F.count("*").alias("n")), MOST_CELLS)
+    found = found.sort_values([f"d{i}" for i in range(len(design))])
+    y, n = found.pop("y").to_numpy(float), found.pop("n").to_numpy(float)
+    if not 0 < y.sum() < n.sum():
         raise ValueError("both classes are needed")
-    return monotone_logistic(found.to_numpy(), y)
+    return monotone_logistic(found.to_numpy(float), y, n)
 
 
-def _by_item(rows: DataFrame, label: Callable[[pd.Series], list[int]]) -> DataFrame:
+def _by_item(rows: DataFrame, label: Callable[[dict], list[int]]) -> DataFrame:
     """item_id, pos, label from a row an item, whose samples (pos, ...) are sorted: many items make one call."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
-            labels = [label(item) for _, item in batch.iterrows()]
+            items = batch.to_dict("records")
+            labels = [label(item) for item in items]
             ids = np.repeat(batch["item_id"].to_numpy(), [len(x) for x in labels])
             yield pd.DataFrame({"item_id": ids, "pos": [x["pos"] for s in batch["samples"] for x in s], "label": [y for x in labels for y in x]})
 
@@ -138,7 +166,7 @@ def _sorted_samples(samples: DataFrame, *columns: str) -> DataFrame:
 def greedy_clusters(samples: DataFrame, similar: Callable[[str, str], float], threshold: float) -> DataFrame:
     """item_id, pos, label: each sample joins the first cluster whose first member is similar both ways, else founds one."""
 
-    def label(item: pd.Series) -> list[int]:
+    def label(item: dict) -> list[int]:
         leaders: list[str] = []
         labels = []
         for x in item["samples"]:
@@ -179,7 +207,7 @@ def merge_typed(keys: list[str], label: dict[tuple[int, int], str], score: dict[
 def typed_clusters(samples: DataFrame, pairs: DataFrame, tau: float) -> DataFrame:
     """item_id, pos, label of merge_typed over samples (item_id, pos, key) and pairs (item_id, i < j, label, score)."""
 
-    def label(item: pd.Series) -> list[int]:
+    def label(item: dict) -> list[int]:
         at = {x["pos"]: i for i, x in enumerate(item["samples"])}
         links = [] if item["pairs"] is None else item["pairs"]
         where = [(at[p["i"]], at[p["j"]]) for p in links]
@@ -189,41 +217,6 @@ def typed_clusters(samples: DataFrame, pairs: DataFrame, tau: float) -> DataFram
     return _by_item(_sorted_samples(samples, "key").join(linked, "item_id", "left"), label)
 
 
-def resample(rows: DataFrame, statistic: Callable[[pd.DataFrame], float], replicates: int, unit: str | None = None, parts: int = 8) -> DataFrame:
-    """seed, value: the statistic of each bootstrap replicate, drawn by random.Random(seed) over rows or whole units.
-
-    rows (a report's labelled items, in order of ord) are small and are sent with the seeds; replicates run in parallel.
-    Null values are left out by the statistic's undefined replicates.
-    """
-    table = rows.orderBy("ord").toPandas()
-    groups = [g for _, g in table.groupby(unit, sort=True)] if unit else None
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
-            values = []
-            for seed in batch["id"]:
-                draw = random.Random(int(seed))
-                if groups is None:
-                    drawn = table.iloc[[draw.randrange(len(table)) for _ in range(len(table))]]
-                else:
-                    drawn = pd.concat([groups[draw.randrange(len(groups))] for _ in groups])
-                values.append(statistic(drawn))
-            yield pd.DataFrame({"seed": batch["id"], "value": values})
-
-    return rows.sparkSession.range(0, replicates, 1, parts).mapInPandas(run, "seed long, value double")
-
-
-def auroc_of(rows: pd.DataFrame) -> float | None:
-    """P(u of a right one < u of a wrong one) + half of ties; None with one class."""
-    right, wrong = rows.loc[rows["correct"] == 1, "u"].to_numpy(), rows.loc[rows["correct"] == 0, "u"].to_numpy()
-    if not len(right) or not len(wrong):
-        return None
-    wrong = np.sort(wrong)
-    over = len(wrong) - np.searchsorted(wrong, right, side="right")
-    ties = np.searchsorted(wrong, right, side="right") - np.searchsorted(wrong, right, side="left")
-    return float((over + ties / 2).sum() / len(right) / len(wrong))
-
-
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(at least k of n)."""
     if k <= 0:

@@ -31,9 +31,9 @@ def curve(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def auprc(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Per group: average precision of correct items, the most certain first; null without one."""
-    hit = F.when(F.col("correct") == 1, (F.col("k") - F.col("errors")) / F.col("k"))
-    return curve(rows, group).groupBy(*group).agg(F.try_divide(F.sum(hit), F.sum("correct")).alias("auprc"))
+    """Per group: average precision of finding wrong items, the most uncertain first; null without one."""
+    run = cumulate(scored(rows).withColumn("_q", -F.col("u")), group, "_q", [F.col("ord")], {"k": F.lit(1), "hits": 1 - F.col("correct")})
+    return run.groupBy(*group).agg(F.try_divide(F.sum(F.when(F.col("correct") == 0, F.col("hits") / F.col("k"))), F.sum(1 - F.col("correct"))).alias("auprc"))
 
 
 def aurc(rows: DataFrame, group: list[str]) -> DataFrame:

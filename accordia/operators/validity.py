@@ -13,10 +13,25 @@ def in_force(day: Column, begin: Column, end: Column) -> Column:
     return F.when(begin.isNotNull() & day.isNotNull(), (begin <= day) & (end.isNull() | (day < end)))
 
 
+#: Parts that the span of the probes' days is cut into; a key's probes meet the intervals of their part alone.
+DAY_PARTS = 256
+
+
 def as_of(probes: DataFrame, intervals: DataFrame, key: str, day: str) -> DataFrame:
-    """probes with the row (value, begin, end) of their key in force on their day; an equi-join on the key, then the range."""
-    i = intervals.select(F.col(key).alias("_k"), "begin", "end", "value")
-    return probes.join(i, (F.col(key) == F.col("_k")) & (F.col("begin") <= F.col(day)) & (F.col("end").isNull() | (F.col(day) < F.col("end"))), "left").drop("_k")
+    """probes with the row (value, begin, end) of their key in force on their day; several, if its intervals overlap.
+
+    The span of the probes' days is cut into parts, and an interval listed under each part that it meets, so that a key of
+    many probes and intervals is dealt out by part.
+    """
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    low, high = probes.agg(F.min(at(F.col(day))), F.max(at(F.col(day)))).first()
+    low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // DAY_PARTS))
+    part = lambda c: F.floor((at(c) - F.lit(low)) / F.lit(width))
+    first, last = F.greatest(part(F.col("begin")), F.lit(0)), F.least(F.coalesce(part(F.col("end")), F.lit(DAY_PARTS)), F.lit(DAY_PARTS))
+    i = intervals.select(F.col(key).alias("_k"), "begin", "end", "value", first.alias("_first"), last.alias("_last")).where("begin is not null and _first <= _last")
+    listed = i.withColumn("_p", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    within = (F.col("begin") <= F.col(day)) & (F.col("end").isNull() | (F.col(day) < F.col("end")))
+    return probes.withColumn("_part", part(F.col(day))).join(listed, (F.col(key) == F.col("_k")) & (F.col("_part") == F.col("_p")) & within, "left").drop("_k", "_p", "_part")
 
 
 def resolve(references: DataFrame, statutes: DataFrame, key: str = "key") -> DataFrame:

@@ -11,6 +11,7 @@ from accordia.functions import mentions as M
 from accordia.functions import text as T
 from accordia.functions.vocabulary import UNRESOLVED_LABELS
 from accordia.operators import agreement as A
+from accordia.operators import bootstrap as B
 from accordia.operators import calibration as C
 from accordia.operators import evaluation as E
 from accordia.operators import fits, ranking, relations, risk, validity, warrant
@@ -181,7 +182,8 @@ def auroc_by_slice(spark, d):
     return ranking.auroc(I.scored(spark, d), ["slice"])
 
 
-@query(sql("scored curve", f"SELECT slice, {R('sum(CASE WHEN correct = 1 THEN (k - errors) / k END) / nullif(sum(correct), 0)')} AS auprc FROM curve GROUP BY 1"))
+@query(sql("scored", f""", c AS (SELECT slice, correct, row_number() OVER w AS k, sum(1 - correct) OVER w AS hits FROM scored WINDOW w AS (PARTITION BY slice ORDER BY u DESC, ord ROWS UNBOUNDED PRECEDING))
+    SELECT slice, {R('sum(CASE WHEN correct = 0 THEN hits / k END) / nullif(sum(1 - correct), 0)')} AS auprc FROM c GROUP BY 1"""))
 def auprc_by_slice(spark, d):
     return ranking.auprc(I.scored(spark, d), ["slice"])
 
@@ -578,10 +580,21 @@ def monotone_fit(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    rows = I.scored(spark, d).select("ord", "topic", "u", "correct")
-    one = fits.resample(rows, fits.auroc_of, 200).withColumn("unit", F.lit("item"))
-    two = fits.resample(rows, fits.auroc_of, 200, "topic").withColumn("unit", F.lit("topic"))
-    return C.replicate_summary(one.unionByName(two), ["unit"])
+    """AUROC by items and by whole topics, the difference of two scores of the same items, and the gaps of two slices."""
+    rows = I.scored(spark, d).select("slice", "topic", "u", "correct", (F.round(F.col("n_chars") % 13) / 13).alias("v"))
+    drawn = {
+        "item": B.replicates(rows, B.auroc, ["u", "correct"], 200),
+        "topic": B.replicates(rows, B.auroc, ["u", "correct"], 200, unit="topic"),
+        "paired": B.replicates(rows, B.auroc_difference, ["u", "v", "correct"], 200),
+        "paired by topic": B.replicates(rows, B.auroc_difference, ["u", "v", "correct"], 200, unit="topic"),
+        "slices": B.replicates(rows, B.auroc_gap("en", "fr"), ["slice", "u", "correct"], 200, apart="slice"),
+        "accuracy": B.replicates(rows, B.mean_gap("en", "fr"), ["slice", "correct"], 200, apart="slice"),
+    }
+    every = None
+    for name, one in drawn.items():
+        one = one.withColumn("what", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    return C.replicate_summary(every, ["what"]).join(B.intervals(every, ["what"]).select("what", "p_le_zero", "excludes_zero"), "what")
 
 
 @query()

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from accordia.operators import agreement, calibration, evaluation, fits, ranking, relations, risk, validity, warrant
+from accordia.operators import agreement, bootstrap, calibration, evaluation, fits, ranking, relations, risk, validity, warrant
 from accordia.sources import runs
 from accordia.streaming.ingest import ingest
 
@@ -42,7 +42,12 @@ def test_curves_on_random_rows_in_any_order(spark):
         pairs = [(a, b) for a, _, y in order if y for b, _, z in order if not z]
         want = sum((a < b) + (a == b) / 2 for a, b in pairs) / len(pairs)
         assert value(ranking.auroc(df, ["slice"]), "auroc") == pytest.approx(want)
-        assert fits.auroc_of(pd.DataFrame([(a, y) for a, _, y in order], columns=["u", "correct"])) == pytest.approx(want)
+        table = pd.DataFrame([(a, y) for a, _, y in order], columns=["u", "correct"])
+        assert bootstrap.auroc(table, np.ones(len(table))) == pytest.approx(want)
+        worst = sorted(order, key=lambda x: (-x[0], x[1]))
+        hits = [sum(1 - y for _, _, y in worst[: k + 1]) for k in range(len(worst))]
+        precision = sum(h / (k + 1) for k, (h, (_, _, y)) in enumerate(zip(hits, worst)) if not y) / hits[-1]
+        assert value(ranking.auprc(df, ["slice"]), "auprc") == pytest.approx(precision)
 
 
 def test_risk_coverage_by_hand(spark):
@@ -56,7 +61,7 @@ def test_degenerate_groups(spark):
     all_null = scored(spark, [None, None], [1, 0])
     assert ranking.auroc(all_null, ["slice"]).count() == 0
     right = scored(spark, [0.1], [1])
-    assert value(ranking.aurc(right, ["slice"]), "norm") is None and value(ranking.auprc(right, ["slice"]), "auprc") == 1.0
+    assert value(ranking.aurc(right, ["slice"]), "norm") is None and value(ranking.auprc(right, ["slice"]), "auprc") is None
     assert value(ranking.kappa(right.withColumn("b", F.col("correct")), ["slice"], "correct", "b"), "kappa") is None
 
 
@@ -141,12 +146,90 @@ def test_bounds_and_planning():
 
 def test_resampling_is_seeded(spark):
     rows = scored(spark, [i / 20 for i in range(20)], [int(i % 3 > 0) for i in range(20)])
-    a, b = (sorted(map(tuple, fits.resample(x, fits.auroc_of, 20).collect())) for x in (rows, rows.repartition(3)))
+    a, b = (sorted(map(tuple, bootstrap.replicates(x, bootstrap.auroc, ["u", "correct"], 20).collect())) for x in (rows, rows.repartition(3)))
     assert a == b and len({v for _, v in a}) > 5
-    got = calibration.replicate_summary(fits.resample(rows, fits.auroc_of, 20), [])
+    got = calibration.replicate_summary(bootstrap.replicates(rows, bootstrap.auroc, ["u", "correct"], 20), [])
     assert got.first()["n"] == 20
 
 
+def area(rows):
+    pairs = [(a, b) for a, y in rows if y for b, z in rows if not z]
+    return sum((a < b) + (a == b) / 2 for a, b in pairs) / len(pairs) if pairs else None
+
+
+def test_replicates_against_rows_written_out(spark):
+    """Each replicate's weights, written out as repeated rows, give the statistic by plain loops."""
+    draw = random.Random(4)
+    made = [(draw.choice("ab"), f"t{draw.randrange(4)}", draw.randint(0, 5) / 5, draw.randint(0, 4) / 4, draw.randint(0, 1)) for _ in range(60)]
+    rows = spark.createDataFrame(made, "slice string, topic string, u double, v double, correct int")
+
+    def check(columns, unit, apart, want, statistic):
+        table = bootstrap.cells(rows, [*columns, *(c for c in (unit, apart) if c and c not in columns)])
+        got = {r["seed"]: r["value"] for r in bootstrap.replicates(rows, statistic, columns, 25, unit, apart).collect()}
+        for seed in range(25):
+            made_ = np.random.default_rng(seed)
+            if unit:
+                groups = sorted(table[unit].unique())
+                times = made_.multinomial(len(groups), np.full(len(groups), 1 / len(groups)))
+                weight = table["n"].to_numpy() * np.array([times[groups.index(g)] for g in table[unit]])
+                assert times.sum() == len(groups)
+            elif apart:
+                weight = np.zeros(len(table), int)
+                for s in sorted(table[apart].unique()):
+                    at = (table[apart] == s).to_numpy()
+                    weight[at] = made_.multinomial(table["n"][at].sum(), table["n"][at] / table["n"][at].sum())
+            else:
+                weight = made_.multinomial(60, table["n"] / 60)
+            out = [r for r, w in zip(table.to_dict("records"), weight) for _ in range(w)]
+            expected = want(out)
+            assert got[seed] is None if expected is None else got[seed] == pytest.approx(expected)
+
+    one = lambda out: area([(r["u"], r["correct"]) for r in out])
+    check(["u", "correct"], None, None, one, bootstrap.auroc)
+    check(["u", "correct"], "topic", None, one, bootstrap.auroc)
+    check(["u", "v", "correct"], "topic", None, lambda out: one(out) - area([(r["v"], r["correct"]) for r in out]) if one(out) is not None else None, bootstrap.auroc_difference)
+    side = lambda out, s: [r for r in out if r["slice"] == s]
+    check(["slice", "u", "correct"], None, "slice", lambda out: one(side(out, "a")) - one(side(out, "b")), bootstrap.auroc_gap("a", "b"))
+    check(["slice", "correct"], None, "slice", lambda out: np.mean([r["correct"] for r in side(out, "a")]) - np.mean([r["correct"] for r in side(out, "b")]), bootstrap.mean_gap("a", "b"))
+
+
+def test_bootstrap_of_too_many_cells_and_of_none(spark, monkeypatch):
+    rows = scored(spark, [i / 20 for i in range(20)], [i % 2 for i in range(20)])
+    assert bootstrap.replicates(rows.limit(0), bootstrap.auroc, ["u", "correct"], 3).where("value is null").count() == 3
+    with pytest.raises(ValueError):
+        bootstrap.bounded(rows, 5)
+
+
+def test_maps_of_counted_cells_equal_those_of_rows(spark):
+    draw = random.Random(6)
+    made = [(s, round(draw.random(), 2), int(draw.random() < 0.6)) for s in ("a", "b") for _ in range(400)]
+    df = spark.createDataFrame(made, "stratum string, x double, correct int").repartition(4)
+    knots, lines = fits.isotonic_maps(df, ["stratum"]).collect(), {r["stratum"]: r for r in fits.platt_maps(df, ["stratum"]).collect()}
+    xs = spark.createDataFrame([("a", x / 50 - 0.1) for x in range(60)], "stratum string, x double")
+    predicted = {r["x"]: r["p"] for r in calibration.map_predict(xs, fits.isotonic_maps(df, ["stratum"])).collect()}
+    for s in ("a", "b"):
+        x, y = (np.array(c, float) for c in zip(*[(x, y) for g, x, y in made if g == s]))
+        kx, ky = fits.pool_adjacent(x, y)
+        got = sorted((r["x"], r["y"]) for r in knots if r["stratum"] == s)
+        assert [g[0] for g in got] == kx.tolist() and [g[1] for g in got] == pytest.approx(ky.tolist())
+        assert (lines[s]["slope"], lines[s]["intercept"], lines[s]["n"]) == pytest.approx((*fits.platt(x, y), 400))
+        if s == "a":
+            assert len(predicted) == 60 and all(p == pytest.approx(float(fits.interpolate(np.array([x]), kx, ky)[0])) for x, p in predicted.items())
+
+
+def test_lookups_of_a_hot_key_in_parts(spark):
+    draw = random.Random(1)
+    spans = [(k, b, b + draw.randint(0, 30) if draw.random() < 0.9 else None, i) for i, (k, b) in enumerate((draw.choice("hhhc"), draw.randint(-50, 400)) for _ in range(80))]
+    days = [(i, draw.choice("hhhcx"), draw.randint(0, 300)) for i in range(300)]
+    day = lambda c: F.timestamp_seconds(F.col(c) * 86400)
+    iv = spark.createDataFrame(spans, "key string, begin long, end long, value long").withColumns({"begin": day("begin"), "end": day("end")})
+    pr = spark.createDataFrame(days, "id long, key string, day long").withColumn("day", day("day"))
+    got = sorted((r["id"], r["value"]) for r in validity.as_of(pr, iv, "key", "day").collect() if r["value"] is not None)
+    want = sorted((i, v) for i, k, d in days for g, b, e, v in spans if g == k and b <= d and (e is None or d < e))
+    assert got == want and validity.as_of(pr, iv, "key", "day").select("id").distinct().count() == 300
+    assert validity.as_of(pr.limit(0), iv, "key", "day").count() == 0 and validity.as_of(pr, iv.limit(0), "key", "day").count() == 300
+
+
 def test_interval_edges_and_unknown_keys(spark):
     statutes = spark.createDataFrame([("IPC 302", "1862-01-01", "2024-07-01"), ("BNS 103(1)", "2024-07-01", None), ("BNS 103(2)", "2024-07-01", None)], "statute string, begin string, end string").withColumns({c: F.col(c).cast("date") for c in ("begin", "end")})
     refs = spark.createDataFrame([("ipc  302", "2024-06-30"), ("IPC 302", "2024-07-01"), ("BNS 103", "2024-07-01"), ("IPC 302(a)", "2000-01-01"), ("X 1", "2024-07-01")], "key string, day string")
