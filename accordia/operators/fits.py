@@ -258,3 +258,14 @@ def items_needed(rate: float, wanted: int, confidence: float = 0.95, most: int =
         mid = (low + high) // 2
         low, high = (low, mid) if binomial_tail(wanted, mid, rate) >= confidence else (mid + 1, high)
     return low
+
+
+def items_needed_by(rows: DataFrame, rate: str, wanted: int, confidence: float = 0.95) -> DataFrame:
+    """rows with needed: the items that a rate asks for, null beyond the bound."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(needed=pd.Series([items_needed(float(r), wanted, confidence) for r in batch[rate]], dtype="Int64"))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{kinds}, needed long")

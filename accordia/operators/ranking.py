@@ -85,6 +85,15 @@ def unpivot(items: DataFrame, ids: list[str], methods: list[str]) -> DataFrame:
     return items.unpivot(ids, methods, "method", "u").where("u is not null")
 
 
+def within_slice(items: DataFrame, first: str, second: str) -> DataFrame:
+    """slice (and pooled), n, AUROC of both scores on the items that have both, and the difference."""
+    both = items.where(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col("correct").isNotNull())
+    every = both.unionByName(both.withColumn("slice", F.lit("pooled")))
+    found = auroc(unpivot(every, ["slice", "correct"], [first, second]), ["slice", "method"])
+    at = lambda name: F.max(F.when(F.col("method") == name, F.col("auroc")))
+    return found.groupBy("slice").agg(F.max("n").alias("n"), at(first).alias("first"), at(second).alias("second"), (at(first) - at(second)).alias("difference"))
+
+
 def quantile(x: Column, q: float) -> Column:
     """Exact, linear between order statistics."""
     return F.percentile(x, F.lit(q))

@@ -91,6 +91,37 @@ def class_report(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     return met.withColumn("f1", zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
 
 
+def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """gold, said, n: how often each label is taken for each."""
+    return rows.groupBy(F.col(gold).alias("gold"), F.col(predicted).alias("said")).agg(F.count("*").alias("n"))
+
+
+def exact_key_label(key_i: Column, key_j: Column, link: Column) -> Column:
+    """The baseline classifier: equal known keys and declared successors merge, unknown keys are ambiguous, others differ."""
+    return (
+        F.when((key_i == key_j) & (key_i != "NONE"), "SAME_PROVISION").when(link.isin("successor_of", "merged_into"), "LEGALLY_EQUIVALENT")
+        .when((key_i == "NONE") | (key_j == "NONE"), "AMBIGUOUS").otherwise("DIFFERENT_PROVISION")
+    )
+
+
+def typed_stats(samples: DataFrame, label: str = "label") -> DataFrame:
+    """Per item: n_clusters, top_share, entropy in bits, all_same, counts (largest first, joined by commas)."""
+    counts = samples.groupBy("item_id", label).agg(F.count("*").alias("c"))
+    m = F.sum("c")
+    entropy = F.greatest(F.log2(m) - F.sum(F.col("c") * F.log2("c")) / m, F.lit(0.0))
+    return counts.groupBy("item_id").agg(F.count("*").alias("n_clusters"), (F.max("c") / m).alias("top_share"), entropy.alias("entropy"), (F.count("*") == 1).cast("int").alias("all_same"), F.array_join(F.sort_array(F.collect_list("c"), asc=False), ",").alias("counts"))
+
+
+def merge_effect(typed: DataFrame, exact: DataFrame) -> DataFrame:
+    """typed_stats with what they change against profiles of exact keys (top_share, entropy, n_keys)."""
+    e = exact.select("item_id", F.col("top_share").alias("_a"), F.col("entropy").alias("_e"), F.col("n_keys").alias("_n"))
+    changes = {
+        "d_agreement": F.col("top_share") - F.col("_a"), "d_entropy": F.col("entropy") - F.col("_e"), "d_n_clusters": F.col("n_clusters") - F.col("_n"),
+        "collision_lost": ((F.col("_n") == 1) & (F.col("all_same") == 0)).cast("int"),
+    }
+    return typed.join(e, "item_id").withColumns(changes).drop("_a", "_e", "_n")
+
+
 def macro_f1(report: DataFrame) -> DataFrame:
     return report.agg(F.avg("f1").alias("macro_f1"), F.sum("support").alias("n"))
 

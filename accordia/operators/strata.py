@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordia.operators import calibration, fits
-from accordia.operators.calibration import TRIGGERS, harm_weight, map_predict, platt_predict
+from accordia.operators.calibration import map_predict, platt_predict
 
 ISOTONIC_LEAST, FIT_LEAST, STRATUM_LEAST = 40, 10, 30
 TARGET, WALD_Z = 0.80, 1.96
 
-__all__ = ["TRIGGERS", "attach_probabilities", "candidates", "coverage_report", "evaluate", "fit_status", "fit_strata", "gate", "method_by_size"]
-
 
 def method_by_size(n: Column, least: int = ISOTONIC_LEAST) -> Column:
     return F.when(n >= least, "isotonic").otherwise("platt")
@@ -149,8 +147,8 @@ def candidates(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
     keyed = rows.withColumn("stratum", F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("pooled"))
     keyed = keyed.where(usable(F.col("x"))).select("stratum", *by, "fold", "item_id", F.least(F.greatest(F.col("x"), F.lit(0.0)), F.lit(1.0)).alias("x"), "correct")
     folds = keyed.groupBy("stratum", "fold").agg(F.sum("correct").alias("_r"), F.count("*").alias("_c"))
-    total = keyed.groupBy("stratum").agg(F.sum("correct").alias("_R"), F.count("*").alias("_C"))
-    constant = folds.join(total, "stratum").select("stratum", "fold", F.try_divide(F.col("_R") - F.col("_r"), F.col("_C") - F.col("_c")).alias("constant"))
+    total = keyed.groupBy("stratum").agg(F.sum("correct").alias("_all_right"), F.count("*").alias("_all"))
+    constant = folds.join(total, "stratum").select("stratum", "fold", F.try_divide(F.col("_all_right") - F.col("_r"), F.col("_all") - F.col("_c")).alias("constant"))
     wide = keyed.join(constant, ["stratum", "fold"])
     for method in ("platt", "isotonic"):
         wide = wide.join(cross_fitted(keyed, method, k).select("stratum", "item_id", F.col("p").alias(method)), ["stratum", "item_id"])

@@ -88,3 +88,42 @@ def context(samples: DataFrame, statutes: DataFrame, day: Column) -> DataFrame:
     listed = state.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("first", F.concat_ws("=", "key", "state").alias("v")))).alias("l"))
     counts = samples.groupBy("item_id").agg(F.sum((~is_reference(F.col("key"))).cast("int")).alias("excluded"))
     return counts.join(listed, "item_id", "left").select("item_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["v"]), ","), F.lit("")).alias("validity"), "excluded")
+
+
+def index_stats(statutes: DataFrame) -> DataFrame:
+    """One row: rows, distinct keys, rows without an end, and the sorted keys."""
+    return statutes.agg(F.count("*").alias("n_rows"), F.count_distinct("statute").alias("n_keys"), F.sum(F.col("end").isNull().cast("long")).alias("open_rows"), F.array_join(F.sort_array(F.collect_set("statute")), ",").alias("keys"))
+
+
+def era_day(slice_: Column, eras: dict[str, str], fixed: str) -> Column:
+    """The day on which a slice's answers are judged: its era's, else the fixed one."""
+    out = F.lit(fixed)
+    for name, day in eras.items():
+        out = F.when(slice_ == name, day).otherwise(out)
+    return out.cast("timestamp")
+
+
+def state_census(samples: DataFrame, statutes: DataFrame, day: Column, group: str = "slice") -> DataFrame:
+    """Per group, of assertions that can be looked up: how many are in force on their day, are not, or are unknown."""
+    refs = samples.where(is_reference(F.col("key"))).withColumn("_day", day).select(group, "key", "_day").groupBy(group, "key", "_day").agg(F.count("*").alias("_n"))
+    held = in_force(F.col("_day"), F.col("begin"), F.col("end"))
+    state = F.when(held.isNull(), "unknown").when(held, "in_force").otherwise("not_in_force")
+    return resolve(refs, statutes).groupBy(group, state.alias("state")).agg(F.sum("_n").alias("n"))
+
+
+def field_violations(rows: DataFrame, acts: tuple[str, ...], key: str = "key") -> DataFrame:
+    """key, ord, rule: rows of an unknown act, without a section, or that end no later than they begin; all of them."""
+    rules = F.array(
+        F.when(F.coalesce(F.trim("section"), F.lit("")) == "", "missing section"), F.when(~F.coalesce(F.col("act").isin(*acts), F.lit(False)), "unknown act"),
+        F.when(F.col("end") <= F.col("begin"), "empty"),
+    )
+    return rows.select(key, "ord", F.explode(F.array_compact(rules)).alias("rule"))
+
+
+def loaded(rows: DataFrame, acts: tuple[str, ...], key: str = "key") -> DataFrame:
+    """rows, if none breaks a rule; else an error that lists up to a hundred of the broken ones."""
+    broken = field_violations(rows, acts, key).orderBy(key, "ord", "rule").limit(101).collect()
+    if broken:
+        said = "; ".join(f"{r[key]} {r['ord']}: {r['rule']}" for r in broken[:100])
+        raise ValueError(said + ("; and more" if len(broken) > 100 else ""))
+    return rows

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from accordia.plans.queries import ORACLE, QUERIES
+from accordia.plans.reports import ORACLE, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations benchmark"
