@@ -95,14 +95,6 @@ def conformal_threshold(rows: DataFrame, group: list[str], target: float) -> Dat
     return sizes.join(run.select(*group, F.col("k").alias("index"), F.col("p").alias("threshold")), [*group, "index"], "left").select(*group, "n", "index", "threshold")
 
 
-def coverage(rows: DataFrame, thresholds: DataFrame, group: list[str], target: float, z: float = 1.96) -> DataFrame:
-    """Per group: share of p at or above the threshold, and whether it is within z standard errors of the target."""
-    met = rows.join(thresholds.select(*group, "threshold"), group).where("p is not null and threshold is not null")
-    counted = met.groupBy(*group).agg(F.count("*").alias("n"), F.sum((F.col("p") >= F.col("threshold")).cast("int")).alias("covered"))
-    slack = F.lit(z) * F.sqrt(F.lit(target * (1 - target)) / F.col("n"))
-    return counted.select(*group, "n", "covered", (F.col("covered") / F.col("n")).alias("coverage"), (F.col("covered") / F.col("n") >= F.lit(target) - slack).alias("holds"))
-
-
 #: What an action was triggered by.
 TRIGGERS = ("undefined_reliability", "phase_d_flag_outranks_calibrated_reliability", "reliability_above_answer_threshold", "reliability_between_verify_and_answer_thresholds", "reliability_below_verify_threshold")
 
@@ -129,13 +121,6 @@ def harm_class(statutes: DataFrame, topic: str = "topic", harm: str = "harm") ->
     return found.groupBy(topic).agg(F.min_by(harm, F.struct(-F.col("_w"), F.col(harm))).alias("harm_class"))
 
 
-def attach(rows: DataFrame, maps: DataFrame) -> DataFrame:
-    """rows (stratum, x) with p by Platt maps (stratum, slope, intercept) and calibration_status."""
-    met = rows.join(maps, "stratum", "left")
-    status = F.when(F.col("x").isNull(), "no_score").when(F.col("slope").isNull(), "undefined_stratum").otherwise("calibrated")
-    return met.select(*rows.columns, F.when(status == "calibrated", platt_predict(F.col("x"), F.col("slope"), F.col("intercept"))).alias("p"), status.alias("calibration_status"))
-
-
 def normal_interval(p: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     spread = F.lit(z) * F.sqrt(p * (1 - p) / n)
     return clip01(p - spread), clip01(p + spread)

@@ -72,6 +72,12 @@ def verdict_census(samples: DataFrame, group: list[str], unresolved: tuple[str,
     return counts.select(*group, "label", "n", (F.col("n") / F.sum("n").over(w)).alias("share"), (F.sum(F.when(F.col("label").isin(*unresolved), 0).otherwise(F.col("n"))).over(w) / F.sum("n").over(w)).alias("resolved_share"))
 
 
+def top_labels(census: DataFrame, group: list[str], most: int) -> DataFrame:
+    """The most frequent labels of each group of a verdict census, with their place; ties by name."""
+    order = Window.partitionBy(*group).orderBy(F.desc("n"), "label")
+    return census.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def ladder_violations(rungs: DataFrame) -> DataFrame:
     """Per item: positions whose value is under the one before."""
     w = Window.partitionBy("item_id").orderBy("pos")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordia.functions.text import pair_id, text_hash
-
 # Relation labels, those that merge answers, and those that keep them apart.
 LABELS = (
     "SAME_PROVISION", "LEGALLY_EQUIVALENT", "CONDITIONALLY_EQUIVALENT", "DIFFERENT_PROVISION", "AMBIGUOUS", "CONTRADICTORY", "OUTDATED_PROVISION",
@@ -29,10 +27,6 @@ def pairs(samples: DataFrame, most: int | None = None) -> DataFrame:
     return kept.select("item_id", F.inline("p"))
 
 
-def identified(p: DataFrame) -> DataFrame:
-    return p.withColumns({"pair": pair_id(F.col("text_i"), F.col("text_j")), "hash_i": text_hash(F.col("text_i")), "hash_j": text_hash(F.col("text_j"))})
-
-
 def deduplicated(p: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each combination."""
     rest = [c for c in p.columns if c not in by]
@@ -46,15 +40,6 @@ def rule_relation(key_i: Column, key_j: Column, link: Column) -> Column:
     return F.when((key_i == "NONE") | (key_j == "NONE"), "AMBIGUOUS").when(key_i == key_j, "SAME_PROVISION").otherwise(F.coalesce(linked, F.lit("DIFFERENT_PROVISION")))
 
 
-def violations(p: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """pair rows with the list of rules that they break."""
-    rules = F.array(
-        F.when(F.coalesce(F.trim("text_i"), F.lit("")) == "", "empty first text"), F.when(F.coalesce(F.trim("text_j"), F.lit("")) == "", "empty second text"),
-        F.when(~F.coalesce(F.col("label").isin(*labels), F.lit(False)), "unknown label"), F.when(F.col("text_i") == F.col("text_j"), "same text"),
-    )
-    return p.withColumn("broken", F.array_compact(rules))
-
-
 def symmetric(scores: DataFrame) -> DataFrame:
     """item_id, i < j, score: the mean of both directions of directed scores."""
     return scores.where("i <> j").groupBy("item_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.avg("score").alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordia.functions import text as T
@@ -12,9 +12,10 @@ from accordia.operators import bootstrap as B
 from accordia.operators import calibration as C
 from accordia.operators import cells, fits, ranking, relations, risk, strata, validity
 from accordia.operators import evaluation as E
+from accordia.operators import records as W
 from accordia.plans import inputs as I
 from accordia.plans.inputs import sql
-from accordia.plans.queries import FLAGS, HIGH, LOW, ORACLE, PAIRS, QUERIES, R, _ruled, _warrant, day, query
+from accordia.plans.queries import FLAGS, HIGH, LOW, ORACLE, PAIRS, QUERIES, R, _ruled, _warrant, query
 from accordia.sources import runs
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -410,3 +411,134 @@ def within_slice(spark, d):
     """Two models on the items that both score, within each slice and over all together."""
     s = I.scored(spark, d).withColumns({"v": F.when(F.col("n_chars") % 17 != 0, (F.col("n_chars") % 13) / 13)})
     return ranking.within_slice(s, "u", "v")
+
+
+# Records, pairs and banks
+@query(sql("samples counts pro", f""", t AS (SELECT item_id, lower(text) AS k, count(*) AS c, min(pos) AS first, avg(correct) AS fc, avg(resolved) AS fr, arg_min(verdict, pos) AS v FROM samples GROUP BY 1, 2), a AS (SELECT item_id, sum(c) AS n, count(*) AS nu, greatest(log2(sum(c)) - sum(c * log2(c)) / sum(c), 0) AS e, 1 - max(c) / sum(c) AS ag FROM t GROUP BY 1),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, first) AS r FROM t) WHERE r = 1), l AS (SELECT item_id, string_agg(key, '|' ORDER BY pos) AS keys, string_agg(verdict, '|' ORDER BY pos) AS vs, avg(correct) AS fc, avg((resolved = 0)::INT) AS fu, avg(repealed) AS rs, 1 - exp(avg(logprob)) AS pt FROM samples GROUP BY 1)
+    SELECT a.item_id, a.n::BIGINT AS n_samples, {R('a.e')} AS disc_se, {R('a.ag')} AS agreement, nu AS n_unique, (nu = 1)::INT AS all_same, {R('pro.entropy')} AS prov_se, {R('1 - pro.top_share')} AS prov_agreement, pro.n_keys AS prov_n_unique, pro.majority AS prov_majority, (pro.n_keys = 1)::INT AS prov_all_same,
+    m.c AS majority_cluster_size, {R('m.fc')} AS majority_frac_correct, (m.fc >= 0.5)::INT AS majority_correct, (m.fr >= 0.5)::INT AS majority_resolved, m.v AS majority_verdict, l.keys AS asserted_keys, l.vs AS sample_verdicts, {R('l.fc')} AS frac_correct, {R('l.fu')} AS frac_unresolved, {R('l.rs')} AS repealed_code_share, {R('l.pt')} AS p_true
+    FROM a JOIN pro USING (item_id) JOIN m USING (item_id) JOIN l USING (item_id)"""))
+def records(spark, d):
+    return W.records(I.samples(spark, d))
+
+
+@query(sql("samples counts", "SELECT item_id, coalesce(arg_min(key, (-c, key)) FILTER (WHERE key <> 'NONE'), 'NONE') AS canonical FROM counts GROUP BY 1"))
+def canonical_key(spark, d):
+    return W.canonical_key(I.samples(spark, d))
+
+
+@query("""SELECT k, count(*) AS n FROM (SELECT CASE WHEN a IS NULL AND p IS NULL THEN 'NONE' WHEN a = 'FOREIGN' THEN 'FOREIGN:' || coalesce(p, '?') WHEN p IS NULL THEN coalesce(a, 'UNKNOWN_ACT') || ' (no section)' ELSE coalesce(a, 'UNKNOWN_ACT') || ' ' || p END AS k
+    FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'IPC' WHEN 1 THEN 'FOREIGN' END AS a, CASE WHEN event_id % 4 < 2 THEN (event_id % 7)::VARCHAR END AS p FROM events)) GROUP BY 1""")
+def assertion_keys(spark, d):
+    k = F.col("event_id")
+    act, provision = F.when(k % 3 == 0, "IPC").when(k % 3 == 1, "FOREIGN"), F.when(k % 4 < 2, (k % 7).cast("string"))
+    return I.table(spark, d, "events").select(W.assertion_key(act, provision).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+OBSERVED = """, q AS (SELECT a.item_id, a.pos AS i, b.pos AS j, a.key AS ki, b.key AS kj, a.text AS ti, b.text AS tj, row_number() OVER (PARTITION BY a.item_id ORDER BY a.pos, b.pos) AS r FROM samples a JOIN samples b ON a.item_id = b.item_id AND a.pos < b.pos WHERE a.key <> 'NONE' AND b.key <> 'NONE'),
+    o AS (SELECT *, CASE WHEN ki = kj THEN 'SAME_PROVISION' WHEN split_part(ki, ' ', 2) = split_part(kj, ' ', 2) THEN 'LEGALLY_EQUIVALENT' WHEN (i + j) % 5 = 0 THEN 'SAME_PROVISION' ELSE 'DIFFERENT_PROVISION' END AS label, CASE WHEN ki <> kj AND split_part(ki, ' ', 2) = split_part(kj, ' ', 2) AND i % 2 = 0 THEN 'successor_of' END AS link FROM q WHERE r <= 6),
+    x AS (SELECT *, CASE WHEN label = 'SAME_PROVISION' AND ki <> kj THEN 'same of different keys' WHEN label = 'LEGALLY_EQUIVALENT' AND link IS NULL THEN 'equivalent without a link' END AS rule FROM o)"""
+
+
+def _observed(spark, d):
+    number = lambda c: F.substring_index(c, " ", -1)
+    near = (F.col("key_i") != F.col("key_j")) & (number("key_i") == number("key_j"))
+    label = F.when(F.col("key_i") == F.col("key_j"), "SAME_PROVISION").when(near, "LEGALLY_EQUIVALENT").when((F.col("i") + F.col("j")) % 5 == 0, "SAME_PROVISION").otherwise("DIFFERENT_PROVISION")
+    return W.observed_pairs(I.samples(spark, d), label, F.when(near & (F.col("i") % 2 == 0), "successor_of"))
+
+
+@query(sql("samples", OBSERVED + r""", h AS (SELECT *, substr(sha256(trim(regexp_replace(ti, '\s+', ' ', 'g'))), 1, 16) AS a, substr(sha256(trim(regexp_replace(tj, '\s+', ' ', 'g'))), 1, 16) AS b FROM x WHERE rule IS NULL), p AS (SELECT *, 'pb1-' || substr(sha256(least(a, b) || '|' || greatest(a, b)), 1, 16) AS pair, coalesce(link, '') AS l FROM h)
+    SELECT pair, l AS link, label, key_i, key_j, item_id, i, j, hash_i, hash_j FROM (SELECT pair, l, label, ki AS key_i, kj AS key_j, item_id, i, j, a AS hash_i, b AS hash_j, row_number() OVER (PARTITION BY pair, l ORDER BY item_id, i, j) AS r FROM p) WHERE r = 1"""))
+def observed_pairs(spark, d):
+    return _observed(spark, d)[0].select("pair", "link", "label", "key_i", "key_j", "item_id", "i", "j", "hash_i", "hash_j")
+
+
+@query(sql("samples", OBSERVED + " SELECT rule, count(*) AS n FROM x WHERE rule IS NOT NULL GROUP BY 1"))
+def pair_rejects(spark, d):
+    return _observed(spark, d)[1]
+
+
+@query(sql("samples", PAIRS + " SELECT item_id, count(*) FILTER (WHERE NOT (ki = kj AND ki <> 'NONE')) AS open, count(*) AS n FROM lex GROUP BY 1"))
+def unforced_pairs(spark, d):
+    p = relations.pairs(I.samples(spark, d))
+    return p.groupBy("item_id").agg(F.count("*").alias("n")).join(W.unforced(p).groupBy("item_id").agg(F.count("*").alias("open")), "item_id", "left").fillna(0, ["open"]).select("item_id", "open", "n")
+
+
+@query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 40 = 0 THEN '1' ELSE o_orderkey::VARCHAR END AS key, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'L9' ELSE 'L1' END AS slice, CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE 'q' END AS question, CASE WHEN o_orderkey % 7 <> 0 THEN 'IPC' END AS act, CASE WHEN o_orderkey % 8 <> 0 THEN '3' END AS prov, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 10 = 0 END AS verified, CASE WHEN o_orderkey % 11 <> 0 THEN 's' END AS source FROM orders),
+    r AS (SELECT key, unnest([CASE WHEN slice IS NULL THEN 'missing slice' END, CASE WHEN trim(question) = '' THEN 'missing question' END, CASE WHEN slice = 'L9' THEN 'unknown slice' END, CASE WHEN act IS NULL THEN 'missing gold.act' END, CASE WHEN prov IS NULL THEN 'missing gold.provision' END, CASE WHEN verified IS NULL THEN 'no verified flag' END, CASE WHEN verified THEN 'verified' END, CASE WHEN source IS NULL THEN 'missing source' END]) AS rule FROM c)
+    SELECT key, rule FROM r WHERE rule IS NOT NULL UNION ALL SELECT key, 'duplicate' FROM c GROUP BY 1 HAVING count(*) > 1""")
+def candidate_violations(spark, d):
+    k = F.col("o_orderkey")
+    items = I.table(spark, d, "orders").select(
+        F.when(k % 40 == 0, "1").otherwise(k.cast("string")).alias("item_id"), F.when(k % 5 == 1, "L9").when(k % 5 != 0, "L1").alias("slice"), F.when(k % 6 == 0, " ").otherwise("q").alias("question"), F.when(k % 7 != 0, "IPC").alias("gold_act"),
+        F.when(k % 8 != 0, "3").alias("gold_provision"), F.when(k % 9 != 0, k % 10 == 0).alias("verified"), F.when(k % 11 != 0, "s").alias("source"),
+    )
+    return W.candidate_violations(items, ["item_id", "slice", "question"], ("L1", "L7"))
+
+
+@query(sql("statutes", """, w AS (SELECT * FROM statutes UNION ALL SELECT 'ipc  2', TIMESTAMP '1862-01-01', NULL), s AS (SELECT upper(trim(regexp_replace(statute, '\\s+', ' ', 'g'))) AS key, "begin", "end" FROM w), l AS (SELECT * FROM (VALUES ('IPC 1', 'BNS 1'), ('BNS 1', 'IPC 1'), ('IPC 3', 'BNS 3'), ('IPC 4', 'BNS 44')) v(f, t))
+    SELECT key, 'duplicate' AS rule FROM s GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT f, 'unknown link' FROM l WHERE t NOT IN (SELECT key FROM s) UNION ALL SELECT f, 'one-sided link' FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.f = l.t AND m.t = l.f) UNION ALL SELECT trim(split_part(key, '(', 1)), 'different windows' FROM s GROUP BY 1 HAVING count(DISTINCT ("begin", coalesce("end", TIMESTAMP '9999-01-01'))) > 1"""))
+def link_violations(spark, d):
+    more = spark.sql("SELECT 'ipc  2' AS statute, timestamp'1862-01-01' AS begin, cast(null AS timestamp) AS end")
+    links = spark.createDataFrame([("IPC 1", "BNS 1"), ("BNS 1", "IPC 1"), ("IPC 3", "BNS 3"), ("IPC 4", "BNS 44")], "`from` string, `to` string")
+    return W.link_violations(I.statutes(spark, d).unionByName(more), links)
+
+
+@query("""WITH p AS (SELECT DISTINCT 'IPC ' || p_size AS o, 'BNS ' || p_size // 2 AS n FROM part) SELECT DISTINCT * FROM (SELECT o AS statute, TIMESTAMP '1862-01-01' AS "begin", TIMESTAMP '2024-07-01' AS "end" FROM p UNION ALL SELECT n, TIMESTAMP '2024-07-01', NULL FROM p)""")
+def statute_rows(spark, d):
+    size = F.col("p_size")
+    cross = I.table(spark, d, "part").select(F.concat(F.lit("IPC "), size.cast("string")).alias("old"), F.concat(F.lit("BNS "), F.floor(size / 2).cast("string")).alias("new"))
+    return W.statute_rows(cross, "2024-07-01", "1862-01-01")
+
+
+@query("""WITH e AS (SELECT n_name AS topic, r_name AS frame, c AS context, sha256('7|' || n_name || '|' || r_name || '|' || c) AS h FROM nation, region, (VALUES ('home'), ('work'), ('road')) v(c)), f AS (SELECT *, row_number() OVER (ORDER BY h) - 1 AS k FROM e QUALIFY row_number() OVER (ORDER BY h) <= 120)
+    SELECT s || '-' || topic || '-' || lpad(k::VARCHAR, 3, '0') AS item_id, topic || '-' || lpad(k::VARCHAR, 3, '0') AS pair_id, s AS slice, topic, frame, context FROM f, (VALUES ('L7'), ('L1')) v(s)""")
+def question_bank(spark, d):
+    topics, frames = I.table(spark, d, "nation").select(F.col("n_name").alias("topic")), I.table(spark, d, "region").select(F.col("r_name").alias("frame"))
+    return W.question_bank(topics, frames, spark.createDataFrame([("home",), ("work",), ("road",)], "context string"), 120, 7, ("L7", "L1"))
+
+
+@query(sql("scored", "SELECT item_id, slice FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY sha256('11|' || item_id), item_id) AS r FROM scored) WHERE r <= 12"))
+def pilot_selection(spark, d):
+    return W.pilot_selection(I.scored(spark, d), 12, 11).select("item_id", "slice")
+
+
+@query(f"SELECT (count(*) * 10)::BIGINT AS calls, (sum(ceil(length(text) / 4)) * 10)::BIGINT AS prompt_tokens, (count(*) * 10 * 220)::BIGINT AS answer_tokens, {R('(sum(ceil(length(text) / 4)) * 10 * 0.4 + count(*) * 10 * 220 * 1.6) / 1e6')} AS cost FROM benchmark")
+def pilot_cost(spark, d):
+    tokens = I.table(spark, d, "benchmark").select(E.prompt_tokens(F.lit(""), F.col("text")).alias("t"))
+    return W.pilot_cost(tokens, "t", 10, 220, 0.4, 1.6)
+
+
+@query(sql("scored", """, i AS (SELECT CASE WHEN topic = 'src1' THEN 'none' WHEN toxic = 1 THEN 'wrong' ELSE slice END AS slice, CASE WHEN topic = 'src1' OR n_chars % 17 = 0 THEN NULL WHEN toxic = 1 THEN 0 ELSE correct END AS correct FROM scored), a AS (SELECT slice, count(*) AS n, count(correct) AS resolved, coalesce(sum(correct), 0)::BIGINT AS "right" FROM i GROUP BY 1)
+    SELECT *, resolved - "right" AS wrong, CASE WHEN resolved = 0 THEN 'unresolved' WHEN "right" >= 1 AND resolved - "right" >= 1 THEN 'both_classes' WHEN "right" < 1 THEN 'too_few_right' ELSE 'too_few_wrong' END AS state FROM a"""))
+def slice_outcomes(spark, d):
+    hidden, toxic = F.col("topic") == "src1", F.col("toxic") == 1
+    items = I.scored(spark, d).select(F.when(hidden, "none").when(toxic, "wrong").otherwise(F.col("slice")).alias("slice"), F.when(~hidden & (F.col("n_chars") % 17 != 0), F.when(toxic, 0).otherwise(F.col("correct"))).alias("correct"))
+    return W.slice_outcomes(items)
+
+
+@query(sql("statutes", """, s AS (SELECT *, row_number() OVER (ORDER BY statute) AS k FROM statutes) SELECT statute, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE k % 3 = 0 END AS verified FROM s"""))
+def applied_checklist(spark, d):
+    rows = I.statutes(spark, d).withColumn("k", F.row_number().over(Window.orderBy("statute")))
+    answers = rows.select(F.lower("statute").alias("key"), F.when(F.col("k") % 4 == 0, " Yes").when(F.col("k") % 4 == 1, "NO").when(F.col("k") % 4 == 2, "perhaps").alias("verified")).unionByName(spark.createDataFrame([("XYZ 1", "yes")], "key string, verified string"))
+    return W.apply_checklist(rows.withColumn("verified", F.col("k") % 3 == 0), answers).select("statute", "verified")
+
+
+@query("SELECT md5(text) AS h FROM (SELECT DISTINCT t AS text FROM (SELECT trim(text, ' ') AS t FROM benchmark UNION ALL SELECT trim(text, ' ') FROM documents) WHERE t <> '')")
+def training_texts(spark, d):
+    return W.training_texts(I.table(spark, d, "benchmark"), I.table(spark, d, "documents")).select(F.md5("text").alias("h"))
+
+
+@query(sql("samples statutes counts modal warrant", f"SELECT item_id, modal_key, {R('a')} AS a, {R('t')} AS t, {R('j')} AS j, {R('k')} AS k FROM warrant"))
+def record_round_trip(spark, d):
+    """Warrant factors written as JSON, unknown ones as null, and read again."""
+    rows = _warrant(spark, d).select("item_id", "modal_key", "a", "t", "j", "k")
+    return W.from_json(W.to_json(rows, ["modal_key", "a", "t", "j", "k"]), "modal_key string, a double, t double, j double, k double")
+
+
+@query(sql("samples", f""", v AS (SELECT item_id % 4 AS slice, verdict || '-' || (pos % 12) AS label, count(*) AS n FROM samples GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY n DESC, label) AS place, n / sum(n) OVER (PARTITION BY slice) AS share FROM v) SELECT slice, label, n, place, {R('share')} AS share FROM r WHERE place <= 8"""))
+def top_labels(spark, d):
+    """The eight most frequent verdicts of each slice."""
+    s = I.samples(spark, d).select((F.col("item_id") % 4).alias("slice"), F.concat_ws("-", "verdict", (F.col("pos") % 12).cast("string")).alias("verdict"))
+    return E.top_labels(E.verdict_census(s, ["slice"], UNRESOLVED_LABELS), ["slice"], 8).select("slice", "label", "n", "place", "share")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordia.operators import bootstrap, calibration, cells, evaluation, fits, ranking, relations, strata, validity
+from accordia.operators import bootstrap, calibration, cells, evaluation, fits, ranking, records, relations, strata, validity
 from accordia.plans.reports import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -247,3 +247,59 @@ def test_scores_of_two_models_on_shared_items(spark):
 def test_states_of_detectors(spark):
     df = spark.createDataFrame([(None,), (float("nan"),), (1.5,), (1.0,), (0.0,), (0.5,)], "x double")
     assert [r[0] for r in df.select(evaluation.detector_state(F.col("x"))).collect()] == ["missing", "invalid", "invalid", "silent", "fired", "partial"]
+
+
+# Records
+PAIR = "pair string, text_i string, text_j string, key_i string, key_j string, label string, split string, stratum string, verifier string, condition string, link string"
+GOOD = {"pair": "p", "text_i": "a", "text_j": "b", "key_i": "A 1", "key_j": "A 1", "label": "SAME_PROVISION", "split": "train", "stratum": "S1", "verifier": "pending", "condition": None, "link": None}
+
+
+@pytest.mark.parametrize(
+    "change, want",
+    [({}, []), ({"label": "X"}, ["unknown label"]), ({"label": None}, ["unknown label"]), ({"label": "TEMPORAL_MISMATCH"}, ["reserved label"]), ({"split": "all"}, ["unknown split"]), ({"stratum": None}, ["unknown stratum"]),
+     ({"verifier": "me"}, ["unknown verifier"]), ({"text_i": " ", "text_j": None}, ["empty first text", "empty second text"]), ({"label": "CONDITIONALLY_EQUIVALENT"}, ["no condition"]), ({"condition": "era"}, ["needless condition"]),
+     ({"label": "CONDITIONALLY_EQUIVALENT", "condition": "era"}, []), ({"label": "AMBIGUOUS"}, ["ambiguous equal keys"]), ({"label": "AMBIGUOUS", "key_i": "NONE", "key_j": "NONE"}, []), ({"pair": ""}, ["no pair id"])],
+)
+def test_rules_of_pairs(spark, change, want):
+    df = spark.createDataFrame([tuple((GOOD | change).values())], PAIR)
+    assert records.pair_violations(df, ("S1", "S2")).first()["broken"] == want
+
+
+@pytest.mark.parametrize(
+    "change, want",
+    [({}, []), ({"key_j": "NONE"}, ["same without keys"]), ({"key_j": "B 1"}, ["same of different keys"]), ({"label": "LEGALLY_EQUIVALENT"}, ["equivalent of equal keys", "equivalent without a link"]),
+     ({"label": "LEGALLY_EQUIVALENT", "key_j": "B 1", "link": "successor_of"}, []), ({"label": "CONDITIONALLY_EQUIVALENT"}, ["conditional without a condition"]), ({"label": "DIFFERENT_PROVISION"}, ["different of equal keys"]),
+     ({"label": "DIFFERENT_PROVISION", "key_j": "B 1", "link": "merged_into"}, ["different but linked"]), ({"label": "DIFFERENT_PROVISION", "key_j": "B 1", "link": "different_offence"}, []), ({"label": "AMBIGUOUS"}, ["ambiguous of equal keys"]), ({"label": "CONTRADICTORY"}, [])],
+)
+def test_labels_are_entailed_by_keys(spark, change, want):
+    assert records.structural(spark.createDataFrame([tuple((GOOD | change).values())], PAIR)).first()["broken"] == want
+
+
+def test_documents_and_tables():
+    assert records.document({"b": None, "a": "é"}) == '{\n  "a": "é",\n  "b": null\n}\n'
+    with pytest.raises(ValueError):
+        records.document({"x": float("nan")})
+    assert records.markdown([{"a": 0.12345, "b": None}, {"a": float("nan"), "b": "x|y"}], ["a", "b"]) == "| a | b |\n|---|---|\n| 0.123 | - |\n| - | x\\|y |\n"
+
+
+def test_json_tells_unknown_from_zero(spark):
+    df = spark.createDataFrame([(1, None, 0.0), (2, 0.5, None)], "id long, a double, b double")
+    made = records.to_json(df, ["a", "b"])
+    assert [r["record"] for r in made.orderBy("id").collect()] == ['{"a":null,"b":0.0}', '{"a":0.5,"b":null}']
+    assert sorted(map(tuple, records.from_json(made, "a double, b double").collect())) == [(1, None, 0.0), (2, 0.5, None)]
+
+
+def test_banks_are_whole_and_repeatable(spark):
+    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    make = lambda n: records.question_bank(one("topic", "abc"), one("frame", "xy"), one("context", "pq"), n, 3, ("L1", "L7"))
+    got = make(12).collect()
+    assert len(got) == 24 and len({r["item_id"] for r in got}) == 24 and len({(r["topic"], r["frame"], r["context"]) for r in got}) == 12
+    assert {r["pair_id"] for r in make(5).collect()} <= {r["pair_id"] for r in got} and make(0).count() == 0
+
+
+def test_checklists_round_trip(spark):
+    s = spark.createDataFrame([("IPC 1", False), ("BNS 2(1)", True)], "statute string, verified boolean")
+    assert {r["key"]: r["verified"] for r in records.checklist(s).collect()} == {"IPC 1": "", "BNS 2(1)": ""}
+    assert sorted(map(tuple, records.apply_checklist(s, records.checklist(s)).collect())) == [("BNS 2(1)", True), ("IPC 1", False)]
+    said = spark.createDataFrame([("ipc 1", "Y"), ("IPC 1", "no"), ("gone", "yes"), ("BNS 2(1)", None)], "key string, verified string")
+    assert sorted(map(tuple, records.apply_checklist(s, said).collect())) == [("BNS 2(1)", True), ("IPC 1", True)]
