@@ -130,3 +130,10 @@ def surface_form(index: Column, act: Column, number: Column) -> Column:
 
 def redact(text: Column, secret: Column) -> Column:
     return F.when(F.coalesce(F.length(secret), F.lit(0)) > 0, F.replace(text, secret, F.lit("[redacted]"))).otherwise(text)
+
+
+def serialized_pair(a: Column, b: Column, as_of: Column, jurisdiction: Column, link: Column) -> Column:
+    """Two answers and their context as one text for a classifier."""
+    words = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    context = F.concat(F.lit("as_of="), F.coalesce(as_of, F.lit("unknown")), F.lit("; jurisdiction="), F.coalesce(jurisdiction, F.lit("IN")), F.lit("; crosswalk="), F.coalesce(F.nullif(link, F.lit("")), F.lit("none")))
+    return F.concat(F.lit("[A] "), words(a), F.lit(" [/A] [B] "), words(b), F.lit(" [/B] [CTX] "), context, F.lit(" [/CTX]"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordia.operators import calibration, ranking
-from accordia.operators.evaluation import confident_wrong
+from accordia.operators.evaluation import confident_wrong, stratified_cap, yields
 from accordia.operators.ranking import unpivot
+from accordia.operators.records import slice_outcomes
 
 # Why a metric is undefined.
 NO_SCORED_ITEMS = "no_items_with_a_score_and_a_label"
@@ -176,3 +177,49 @@ def split_mismatches(stored: DataFrame, computed: DataFrame) -> DataFrame:
     """item_id, side: items whose part (item_id, part) is stored but not computed so, or computed but not stored so."""
     a, b = stored.select("item_id", "part"), computed.select("item_id", "part")
     return a.exceptAll(b).withColumn("side", F.lit("stored")).unionByName(b.exceptAll(a).withColumn("side", F.lit("computed")))
+
+
+def holdout_metrics(rows: DataFrame, methods: list[str]) -> DataFrame:
+    """Per method: n, right and wrong items, auroc, auprc, normalized aurc and risk at half coverage; undefined ones null."""
+    long = unpivot(rows.where("correct is not null"), ["ord", "correct"], methods).where("not isnan(u) and abs(u) < double('inf')")
+    by = ["method"]
+    out = long.groupBy(*by).agg(F.count("*").alias("n"), F.sum("correct").cast("long").alias("right"), F.sum(1 - F.col("correct")).cast("long").alias("wrong"))
+    for part in (ranking.auroc(long, by).select("method", "auroc"), ranking.auprc(long, by), ranking.aurc(long, by).select("method", "norm"), ranking.risk_at(long, by, [0.5]).select("method", F.col("risk").alias("risk_at_half"))):
+        out = out.join(part, by, "left")
+    return out
+
+
+def merge_rates(pairs: DataFrame, merge: list[str], tau: float, group: list[str]) -> DataFrame:
+    """Per group: pairs, those whose merging labels' probabilities (columns) reach tau together, and their share."""
+    merged = sum((F.col(c) for c in merge), F.lit(0.0)) >= tau
+    agg = pairs.groupBy(*group).agg(F.count("*").alias("n"), F.sum(merged.cast("long")).alias("merged"))
+    return agg.withColumn("merge_rate", F.col("merged") / F.col("n"))
+
+
+def cluster_comparison(items: DataFrame) -> DataFrame:
+    """Per slice of items (slice, correct, exact_all_same, typed_all_same): how unanimous items differ by the two clusterings."""
+    exact, typed = F.col("exact_all_same") == 1, F.col("typed_all_same") == 1
+    count = lambda c: F.sum(c.cast("long"))
+    rate = lambda c: F.avg(F.when(c, F.col("correct").cast("double")))
+    return items.groupBy("slice").agg(
+        F.count("*").alias("n"), count(exact).alias("exact_n"), count(typed).alias("typed_n"), rate(exact).alias("exact_accuracy"), rate(typed).alias("typed_accuracy"),
+        count(exact & ~typed).alias("left"), count(exact & ~typed & (F.col("correct") == 0)).alias("rescued"),
+    )
+
+
+def screen(items: DataFrame, samples: DataFrame, violations: DataFrame, slice_: str, cap: int, strata: int) -> DataFrame:
+    """Yield by topic of a slice's capped candidate items; an error if any item of the whole set breaks the contract."""
+    broken = violations.limit(1).collect()
+    if broken:
+        raise ValueError(f"{broken[0]['key']}: {broken[0]['rule']}")
+    kept = stratified_cap(items.where(F.col("slice") == slice_), "topic", "item_id", cap, strata)
+    return yields(samples.join(kept.select("item_id", "topic"), "item_id"), ["topic"])
+
+
+def pilot_report(items: DataFrame, samples: DataFrame, unresolved: tuple[str, ...]) -> DataFrame:
+    """Per slice of items (item_id, slice, correct, error): outcomes of those without an error, errors, coverage by item and sample."""
+    fine = items.where("error is null")
+    out = slice_outcomes(fine).join(items.groupBy("slice").agg(F.count("error").alias("errors")), "slice")
+    said = samples.join(fine.select("item_id", "slice"), "item_id").groupBy("slice").agg(F.count("*").alias("n_samples"), F.sum((~F.col("verdict").isin(*unresolved)).cast("long")).alias("n_samples_resolved"))
+    out = out.join(said, "slice", "left")
+    return out.withColumns({"item_coverage": F.try_divide("resolved", "n"), "sample_coverage": F.try_divide("n_samples_resolved", "n_samples")})

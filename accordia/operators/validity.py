@@ -127,3 +127,26 @@ def loaded(rows: DataFrame, acts: tuple[str, ...], key: str = "key") -> DataFram
         said = "; ".join(f"{r[key]} {r['ord']}: {r['rule']}" for r in broken[:100])
         raise ValueError(said + ("; and more" if len(broken) > 100 else ""))
     return rows
+
+
+def item_context(items: DataFrame, samples: DataFrame, statutes: DataFrame, links: DataFrame, day: Column) -> DataFrame:
+    """Per item (item_id, gold, trap: keys or null): state of what its samples assert and of gold and trap, and the declared link.
+
+    validity lists key=state in first-seen order, gold and trap last; coverage counts distinct references and those known;
+    excluded counts distinct assertions that are none; relation is the declared one of trap and gold, either way round.
+    """
+    first = samples.groupBy("item_id", "key").agg(F.min("pos").cast("long").alias("first"))
+    own = first.where(is_reference(F.col("key"))).select("item_id", normal_key(F.col("key")).alias("key"), "first")
+    extra = items.select("item_id", F.explode(F.array(F.struct(F.col("gold").alias("key"), F.lit(1 << 40).alias("first")), F.struct(F.col("trap").alias("key"), F.lit((1 << 40) + 1).alias("first")))).alias("x"))
+    extra = extra.select("item_id", normal_key(F.col("x.key")).alias("key"), F.col("x.first").alias("first")).where("key <> ''")
+    every = own.withColumn("said", F.lit(1)).unionByName(extra.withColumn("said", F.lit(0))).groupBy("item_id", "key").agg(F.min("first").alias("first"), F.max("said").alias("said"))
+    state = resolve(every, statutes).withColumn("state", F.coalesce(in_force(day, F.col("begin"), F.col("end")).cast("string"), F.lit("unknown")))
+    listed = state.groupBy("item_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", F.concat_ws("=", "key", "state").alias("v")))), lambda x: x["v"]), ",").alias("validity"),
+        F.sum("said").alias("assertions"), F.sum(F.when(F.col("statute").isNotNull(), F.col("said")).otherwise(0)).alias("known"),
+    )
+    excluded = first.groupBy("item_id").agg(F.sum((~is_reference(F.col("key"))).cast("long")).alias("excluded"))
+    out = items.select("item_id", normal_key(F.col("trap")).alias("a"), normal_key(F.col("gold")).alias("b")).join(listed, "item_id", "left").join(excluded, "item_id", "left")
+    out = relation(out, links)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("item_id", F.coalesce("validity", F.lit("")).alias("validity"), zero("assertions"), zero("known"), zero("excluded"), "relation")

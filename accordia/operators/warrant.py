@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordia.functions.text import is_reference, normal_key
 from accordia.functions.vocabulary import CURRENT_ACTS, REPEALED_ACTS
 from accordia.operators.validity import in_force, resolve
 
@@ -65,3 +66,47 @@ def ablations(detected: DataFrame) -> DataFrame:
     rows = detected.withColumn("_p", F.explode(pins))
     _, cm = compose(F.col("a"), F.col("_p.t"), F.col("_p.j"), F.col("_p.k"))
     return rows.select("item_id", "correct", F.col("_p.pin").alias("pin"), cm.alias("cm"))
+
+
+def detect(samples: DataFrame, statutes: DataFrame, links: DataFrame, day: Column, source: str = "auto", model_mass: DataFrame | None = None, home: tuple[str, ...] = HOME_ACTS) -> DataFrame:
+    """Per item, of samples in clusters (item_id, pos, key, label): factors, where contradiction comes from, flags, w and cm.
+
+    The modal cluster is the largest, ties to the smallest label; its key is its most frequent one, ties by name. source:
+    rule (declared contradictions between the modal key and the first most frequent key of another cluster), model (from
+    model_mass: item_id, mass), none, or auto, which takes the rule if there are links, else the model, else 0 for a lone
+    cluster. What nothing is known about is null.
+    """
+    keys = samples.groupBy("item_id", "label", "key").agg(F.count("*").alias("c"), F.min("pos").alias("first"))
+    clusters = keys.groupBy("item_id", "label").agg(F.sum("c").alias("size"), F.min_by("key", F.struct(-F.col("c"), F.col("key"))).alias("by_name"), F.min_by("key", F.struct(-F.col("c"), F.col("first"))).alias("by_place"))
+    modal = clusters.groupBy("item_id").agg(F.sum("size").alias("m"), F.count("*").alias("n_clusters"), F.min_by(F.struct("label", "size", "by_name"), F.struct(-F.col("size"), F.col("label"))).alias("b"))
+    modal = modal.select("item_id", "m", "n_clusters", F.col("b.label").alias("label"), F.col("b.size").alias("modal_size"), F.col("b.by_name").alias("modal_key"))
+    members = keys.join(modal.select("item_id", "label"), ["item_id", "label"])
+    held = resolve(members.where(is_reference(F.col("key"))).select("item_id", "key", "c"), statutes).withColumn("v", in_force(day, F.col("begin"), F.col("end")).cast("double")).where("v is not null")
+    act = F.when(F.col("key").startswith("FOREIGN"), "FOREIGN").when((F.col("key") != "NONE") & ~F.col("key").startswith("UNKNOWN"), F.split("key", " ")[0])
+    fit = members.withColumn("act", act).where("act is not null").groupBy("item_id").agg((F.sum(F.col("c") * F.col("act").isin(*home).cast("int")) / F.sum("c")).alias("j"))
+    valid = held.groupBy("item_id").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("t"))
+    out = modal.join(valid, "item_id", "left").join(fit, "item_id", "left")
+    ruled = source == "rule" or (source == "auto" and not links.isEmpty())
+    if ruled:
+        x, y = normal_key(F.col("from")), normal_key(F.col("to"))
+        both = links.select(x.alias("x"), y.alias("y")).unionByName(links.select(y.alias("x"), x.alias("y"))).distinct()
+        others = clusters.select("item_id", "by_place", "size").join(modal.select("item_id", "modal_key"), "item_id").where("by_place <> modal_key and by_place <> 'NONE'")
+        mass = others.join(both, (normal_key(F.col("modal_key")) == F.col("x")) & (normal_key(F.col("by_place")) == F.col("y")), "left_semi").groupBy("item_id").agg(F.sum("size").alias("against"))
+        out = out.join(mass, "item_id", "left").withColumns({"k": F.coalesce("against", F.lit(0)) / F.col("m"), "contradiction_source": F.lit("rule")}).drop("against")
+    elif source == "none":
+        out = out.withColumns({"k": F.lit(None).cast("double"), "contradiction_source": F.lit("none")})
+    elif model_mass is not None:
+        out = out.join(model_mass.select("item_id", F.col("mass").alias("k")), "item_id", "left").withColumn("contradiction_source", F.lit("model"))
+    else:
+        lone = F.col("n_clusters") <= 1
+        out = out.withColumns({"k": F.when(lone, 0.0), "contradiction_source": F.when(lone, "single_cluster").otherwise("no_signal")})
+    w, cm = compose(F.col("a"), F.col("t"), F.col("j"), F.col("k"))
+    out = out.withColumn("a", F.col("modal_size") / F.col("m"))
+    return out.select("item_id", "modal_key", "modal_size", "n_clusters", "a", "t", "j", "k", "contradiction_source", flags(F.col("t"), F.col("j"), F.col("k")).alias("flags"), w.alias("w"), cm.alias("cm"))
+
+
+def base_rates(detected: DataFrame) -> DataFrame:
+    """One row, of items that are not unanimous: how many, and how often a flag fires, on all, right and wrong ones (0 without any)."""
+    fired = (F.size("flags") > 0).cast("double")
+    rate = lambda c: F.coalesce(F.avg(F.when(F.col("correct") == c, fired)), F.lit(0.0))
+    return detected.where("unanimous = 0").agg(F.count("*").alias("n"), F.avg(fired).alias("fire_rate"), rate(1).alias("alarm_right"), rate(0).alias("alarm_wrong"))

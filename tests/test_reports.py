@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordia.operators import bootstrap, calibration, cells, evaluation, fits, ranking, records, relations, strata, validity
+from accordia.operators import bootstrap, calibration, cells, evaluation, fits, ranking, records, relations, strata, validity, warrant
 from accordia.plans.reports import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -303,3 +303,33 @@ def test_checklists_round_trip(spark):
     assert sorted(map(tuple, records.apply_checklist(s, records.checklist(s)).collect())) == [("BNS 2(1)", True), ("IPC 1", False)]
     said = spark.createDataFrame([("ipc 1", "Y"), ("IPC 1", "no"), ("gone", "yes"), ("BNS 2(1)", None)], "key string, verified string")
     assert sorted(map(tuple, records.apply_checklist(s, said).collect())) == [("BNS 2(1)", True), ("IPC 1", True)]
+
+
+# Detection
+def test_sources_of_contradiction(spark):
+    s = spark.createDataFrame([(1, p, k, lab) for p, (k, lab) in enumerate([("IPC 1", 0), ("IPC 1", 0), ("BNS 1", 1)])] + [(2, 0, "NONE", 0)] + [(3, 0, "IPC 1", 0)], "item_id long, pos int, key string, label int")
+    statutes = spark.createDataFrame([("IPC 1", "1862-01-01", "2024-07-01"), ("BNS 1", "2024-07-01", None)], "statute string, begin string, end string").withColumns({c: F.col(c).cast("timestamp") for c in ("begin", "end")})
+    none = spark.createDataFrame([], "`from` string, `to` string")
+    links, day = spark.createDataFrame([("bns 1", "IPC  1")], "`from` string, `to` string"), F.lit("2020-01-01").cast("timestamp")
+    run = lambda *a, **k: {r["item_id"]: r for r in warrant.detect(s, statutes, *a, **k).collect()}
+    rule = run(links, day)
+    assert rule[1]["k"] == pytest.approx(1 / 3) and rule[1]["cm"] == pytest.approx(2 / 3 - 2 / 3 * 2 / 3) and rule[1]["flags"] == ["contradiction"] and rule[1]["contradiction_source"] == "rule"
+    assert rule[2]["modal_key"] == "NONE" and rule[2]["t"] is None and rule[2]["w"] is None and rule[2]["flags"] == ["unresolvable"]
+    auto = run(none, day)
+    assert auto[1]["k"] is None and auto[1]["contradiction_source"] == "no_signal" and auto[1]["cm"] is None and auto[3]["k"] == 0.0 and auto[3]["cm"] == 0.0
+    assert run(links, day, source="none")[3]["contradiction_source"] == "none" and run(links, day, source="none")[3]["k"] is None
+    model = spark.createDataFrame([(1, 0.25)], "item_id long, mass double")
+    assert run(none, day, model_mass=model)[1]["k"] == 0.25 and run(links, day, source="model", model_mass=model)[1]["contradiction_source"] == "model"
+    assert run(links, F.lit("2025-01-01").cast("timestamp"))[3]["flags"] == ["stale"]
+
+
+def test_screens_refuse_broken_sets(spark):
+    broken = spark.createDataFrame([("7", "missing source")], "key string, rule string")
+    with pytest.raises(ValueError, match="7: missing source"):
+        cells.screen(None, None, broken, "L7", 1, 1)
+
+
+def test_metric_intervals_hold_their_means(spark):
+    got = QUERIES["metric_intervals"](spark, SMALL).collect()
+    assert {(r["metric"], r["unit"]) for r in got} == {("ace_5bin", "item"), ("ace_5bin", "topic"), ("brier", "item"), ("brier", "topic"), ("coverage", "item")}
+    assert all(r["low"] <= r["mean"] <= r["high"] for r in got)
