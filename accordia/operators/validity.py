@@ -14,7 +14,7 @@ def in_force(day: Column, begin: Column, end: Column) -> Column:
 
 
 #: Parts that the span of the probes' days is cut into; a key's probes meet the intervals of their part alone.
-DAY_PARTS = 256
+DAY_PARTS = 32
 
 
 def as_of(probes: DataFrame, intervals: DataFrame, key: str, day: str) -> DataFrame:

@@ -500,10 +500,10 @@ def rule_relations(spark, d):
     return _ruled(spark, d).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(sql("samples", PAIRS + f""", s AS (SELECT item_id, key, dense_rank() OVER (PARTITION BY item_id ORDER BY first) - 1 AS label, pos FROM (SELECT *, min(pos) OVER (PARTITION BY item_id, key) AS first FROM samples)), z AS (SELECT item_id, label, count(*) AS c FROM s GROUP BY 1, 2),
-    m AS (SELECT item_id, sum(c) AS m, arg_min(label, (-c, label)) AS modal, max(c) AS mc FROM z GROUP BY 1),
-    x AS (SELECT l.item_id, CASE WHEN a.label = m.modal THEN b.label ELSE a.label END AS label, count(*) AS h FROM lex l JOIN s a ON a.item_id = l.item_id AND a.pos = l.i JOIN s b ON b.item_id = l.item_id AND b.pos = l.j JOIN m ON m.item_id = l.item_id WHERE ({RULE}) = 'CONTRADICTORY' AND (a.label = m.modal) <> (b.label = m.modal) GROUP BY 1, 2)
-    SELECT z.item_id, {R('sum(CASE WHEN z.label <> m.modal AND coalesce(h, 0) * 2 >= z.c * m.mc THEN z.c ELSE 0 END) / max(m.m)')} AS mass FROM z JOIN m ON m.item_id = z.item_id LEFT JOIN x ON x.item_id = z.item_id AND x.label = z.label GROUP BY 1"""))
+# Clusters are of equal keys here, so that all pairs of a cluster with the largest are of one relation.
+@query(sql("samples counts", f""", z AS (SELECT counts.item_id, counts.key, c, min(pos) AS first FROM counts JOIN samples ON samples.item_id = counts.item_id AND samples.key = counts.key GROUP BY 1, 2, 3),
+    m AS (SELECT item_id, sum(c) AS m, arg_min(key, (-c, first)) AS modal FROM z GROUP BY 1), p AS (SELECT item_id, c, m, key <> modal AS other, modal AS ki, key AS kj FROM z JOIN m USING (item_id))
+    SELECT item_id, {R("sum(CASE WHEN other AND (" + RULE + ") = 'CONTRADICTORY' THEN c ELSE 0 END) / max(m)")} AS mass FROM p GROUP BY 1"""))
 def contradiction_mass(spark, d):
     s = I.samples(spark, d)
     firsts = s.withColumn("first", F.min("pos").over(Window.partitionBy("item_id", "key")))
