@@ -103,6 +103,12 @@ def _named(m: dict) -> tuple[str | None, str]:
     return act, f"{m['num']}({m['sub']})" if m["sub"] else m["num"]
 
 
+def first_key(text: str) -> str:
+    """The key of the first citation, NONE without one."""
+    found = mentions(text)
+    return " ".join(x or "UNKNOWN" for x in _named(found[0])) if found else "NONE"
+
+
 def judge(text: str, act: str | None, provision: str | None) -> tuple[bool | None, str, str | None, str | None]:
     """(correct, label, act and provision that the answer asserts) against the wanted provision."""
     found = mentions(text)

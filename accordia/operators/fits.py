@@ -1,8 +1,8 @@
 """Order-dependent fits and clusterings.
 
-Fits see a row for each distinct score, never all rows: isotonic maps are pooled in parts of the score first, and the parts'
-blocks pooled again; Platt maps and the risk score take counted cells, of which over MOST_CELLS are an error. Clusterings
-work on the samples of one item, a bounded group, at a time.
+Fits see a row for each distinct score, never all rows. A group of few of them is fitted in one task; of one with more, isotonic
+maps are pooled in segments that do not depend on each other, and Platt maps and risk scores take their steps by sums that the
+executors make. Clusterings work on the samples of one item, a bounded group, at a time.
 """
 
 from __future__ import annotations
@@ -12,12 +12,20 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from accordia.operators.bootstrap import MOST_CELLS, bounded
-from accordia.operators.order import PARTS
+from accordia.operators.maps import apply_maps, isotonic_registry
+from accordia.operators.order import same, search
 from accordia.operators.relations import BLOCK, MERGE
+from accordia.operators.tables import written
+
+#: Distinct scores of one group that one task fits; beyond that, the group is fitted in parts or in jobs.
+MOST_IN_TASK = 1 << 16
+#: Distinct rows of a risk score's design that the driver fits.
+MOST_CELLS = 1 << 16
+#: Thresholds in [0, 1] that cut a large isotonic fit into segments; a power of two.
+THRESHOLDS = 1 << 10
 
 
 def pool(left: np.ndarray, total: np.ndarray, weight: np.ndarray) -> list[list[float]]:
@@ -87,8 +95,8 @@ def _with_both_classes(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _cells(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Group, x, right, n: the rows of groups with both classes, counted by distinct x."""
-    return _with_both_classes(rows, group).groupBy(*group, "x").agg(F.sum("correct").alias("right"), F.count("*").cast("double").alias("n"))
+    """Group, x, right, n: the rows of groups with both classes, counted by distinct x, as a written table."""
+    return written(_with_both_classes(rows, group).groupBy(*group, "x").agg(F.sum("correct").alias("right"), F.count("*").cast("double").alias("n")), "cells")
 
 
 def _per_group(cells: DataFrame, group: list[str], fit: Callable[[pd.DataFrame], dict], kinds: str) -> DataFrame:
@@ -99,29 +107,124 @@ def _per_group(cells: DataFrame, group: list[str], fit: Callable[[pd.DataFrame],
     return cells.groupBy(*group).applyInPandas(run, f"{named}, {kinds}")
 
 
+def _large(cells: DataFrame, group: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(cells of groups with up to `most` of them; those of larger ones, None if there are none)."""
+    names = [f"_l_{g}" for g in group]
+    sizes = cells.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)]).agg(F.count("*").alias("_size")).where(F.col("_size") > most).drop("_size")
+    if sizes.isEmpty():
+        return cells, None
+    return cells.join(sizes, same(group, names), "left_anti"), cells.join(sizes, same(group, names), "left_semi")
+
+
 def _pooled(part: pd.DataFrame) -> dict:
     blocks = np.array(pool(part["x"].to_numpy(float), part["right"].to_numpy(float), part["n"].to_numpy(float)))
     return dict(zip(("x", "right", "n"), blocks.T, strict=True))
 
 
-def isotonic_maps(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Per group with both classes: knots x, y in order, from x and correct."""
-    kinds = "x double, right double, n double"
-    parts = _per_group(_cells(rows, group).withColumn("_part", F.floor(F.col("x") * PARTS)), [*group, "_part"], _pooled, kinds).drop("_part")
-    y = F.least(F.greatest(F.col("right") / F.col("n"), F.lit(0.0)), F.lit(1.0))
-    return _per_group(parts, group, _pooled, kinds).select(*group, "x", y.alias("y"))
+def _pooled_in_parts(cells: DataFrame, group: list[str], most: int) -> DataFrame:
+    """group, x, right, n: the pooled blocks of groups that no task holds whole.
+
+    Ranges of the score are pooled first. The fit is the slope of the greatest convex line under the running sums of the
+    right ones over the rows; where it passes a threshold, the sum less threshold times rows is least, and the fits on
+    either side do not depend on each other. Each part gives its own least points, by its blocks' order; the least over
+    all parts cut the group into segments, which are pooled apart. Thresholds are dyadic, so that sums are exact.
+    """
+    kinds = "x double, right double, n double, block long"
+
+    def numbered(part: pd.DataFrame) -> dict:
+        found = _pooled(part)
+        return found | {"block": np.arange(len(found["x"]))}
+
+    # Ranges of the score of about equal sizes, as a written table: their bounds come from a sample.
+    parts = -(-cells.count() // most)
+    parted = written(cells.repartitionByRange(parts, *group, "x").withColumn("_part", F.spark_partition_id()), "parts")
+    totals = parted.groupBy(*group, "_part").agg(F.sum("right").alias("_r"), F.sum("n").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+    own = [f"_g_{g}" for g in group]
+    starts = totals.select(*[F.col(g).alias(n) for g, n in zip(group, own, strict=True)], F.col("_part").alias("_g_part"), sums("_r", before).alias("_r0"), sums("_n", before).alias("_n0"))
+    blocks = _per_group(parted, [*group, "_part"], numbered, kinds)
+    inner = Window.partitionBy(*group, "_part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.join(starts, same([*group, "_part"], [*own, "_g_part"])).select(
+        *group, "_part", "x", "right", "n", "block", (F.col("_r0") + sums("right", inner)).alias("_s"), (F.col("_n0") + sums("n", inner)).alias("_w"),
+    )
+    placed = written(placed, "blocks")
+    # A part's point before a block is least for thresholds from the slope of the block before it to that of its own.
+    along = Window.partitionBy(*group, "_part").orderBy("block")
+    slope = F.col("right") / F.col("n")
+    low, last = F.coalesce(F.lag(slope).over(along), F.lit(0.0)), F.lead("block").over(along).isNull()
+    points = placed.select(*group, F.col("_s").alias("s"), F.col("_w").alias("w"), low.alias("low"), slope.alias("high"), last.alias("last"), "right", "n")
+    ends = points.where("last").select(*group, (F.col("s") + F.col("right")).alias("s"), (F.col("w") + F.col("n")).alias("w"), F.col("high").alias("low"), F.lit(1.0).alias("high"))
+    points = points.select(*group, "s", "w", "low", "high").unionByName(ends)
+    at = F.sequence(F.ceil(F.col("low") * THRESHOLDS), F.floor(F.col("high") * THRESHOLDS))
+    wanted = points.where(F.ceil(F.col("low") * THRESHOLDS) <= F.floor(F.col("high") * THRESHOLDS)).withColumn("t", F.explode(at))
+    height = F.col("s") * THRESHOLDS - F.col("t") * F.col("w")
+    cuts = wanted.groupBy(*group, "t").agg(F.min_by("w", F.struct(height, "w")).alias("w")).groupBy(*group).agg(F.sort_array(F.collect_set("w")).alias("_cuts"))
+    cuts = cuts.select(*[F.col(g).alias(n) for g, n in zip(group, own, strict=True)], "_cuts")
+    segment = search(F.col("_cuts"), F.col("_w") + 0.5).alias("_segment")
+    segments = placed.join(cuts, same(group, own)).select(*group, "x", "right", "n", segment)
+    return _per_group(segments, [*group, "_segment"], _pooled, "x double, right double, n double").drop("_segment")
+
+
+def isotonic_maps(rows: DataFrame, group: list[str], most: int = MOST_IN_TASK) -> DataFrame:
+    """Per group with both classes: knots x, y in order, from x and correct.
+
+    Cells are counted and written first. Groups of up to `most` distinct scores are pooled in a task each; larger ones in
+    parts, with the same result.
+    """
+    small, large = _large(_cells(rows, group), group, most)
+    blocks = _per_group(small, group, _pooled, "x double, right double, n double")
+    if large is not None:
+        blocks = blocks.unionByName(_pooled_in_parts(large, group, most))
+    return blocks.select(*group, "x", F.least(F.greatest(F.col("right") / F.col("n"), F.lit(0.0)), F.lit(1.0)).alias("y"))
+
+
+def _solved(theta: np.ndarray, sums: dict) -> tuple[np.ndarray, bool]:
+    """A half Newton step from a group's sums of gradient and Hessian, and whether it was the last."""
+    hessian = np.array([[sums["xx"], sums["x"]], [sums["x"], sums["one"]]]) + 1e-9 * np.eye(2)
+    if np.linalg.det(hessian) <= 1e-12:
+        return theta, True
+    step = np.linalg.solve(hessian, [sums["gx"], sums["g"]])
+    theta = theta - 0.5 * step
+    theta[0] = max(0.0, theta[0])
+    return theta, bool((np.abs(step) < 1e-10).all())
+
 
+def _platt_in_steps(cells: DataFrame, group: list[str], steps: int = 200) -> DataFrame:
+    """slope, intercept, n of groups of many cells: gradient and Hessian are grouped sums, a job a step.
 
-def platt_maps(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Per group with both classes: slope, intercept, n."""
+    A row a large group is on the driver: there are at most as many as there are cells over MOST_IN_TASK.
+    """
+    spark = cells.sparkSession
+    totals = cells.groupBy(*group).agg(F.sum("right").alias("_right"), (F.sum("n") - F.sum("right")).alias("_wrong"), F.sum("n").cast("long").alias("_all")).collect()
+    named = ", ".join(f"_k_{g} {cells.schema[g].dataType.simpleString()}" for g in group)
+    state = {tuple(t[g] for g in group): [np.array([1.0, 0.0]), False, t] for t in totals}
+    for _ in range(steps):
+        open_ = [(*k, float(theta[0]), float(theta[1]), t["_right"], t["_wrong"]) for k, (theta, done, t) in state.items() if not done]
+        if not open_:
+            break
+        now = spark.createDataFrame(open_, f"{named}, _a double, _b double, _right double, _wrong double")
+        p = 1 / (1 + F.exp(-(F.col("x") * F.col("_a") + F.col("_b"))))
+        target = F.col("right") * (F.col("_right") + 1) / (F.col("_right") + 2) + (F.col("n") - F.col("right")) / (F.col("_wrong") + 2)
+        met = cells.join(F.broadcast(now), same(group, [f"_k_{g}" for g in group])).withColumns({"_p": p, "_t": target}).withColumns({"_e": F.col("n") * F.col("_p") - F.col("_t"), "_w": F.col("n") * F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-9))})
+        x, w = F.col("x"), F.col("_w")
+        for r in met.groupBy(*group).agg(F.sum(x * F.col("_e")).alias("gx"), F.sum("_e").alias("g"), F.sum(w * x * x).alias("xx"), F.sum(w * x).alias("x"), F.sum(w).alias("one")).collect():
+            mine = state[tuple(r[g] for g in group)]
+            mine[0], mine[1] = _solved(mine[0], r.asDict())
+    kinds = ", ".join(f"{g} {cells.schema[g].dataType.simpleString()}" for g in group)
+    return spark.createDataFrame([(*k, float(theta[0]), float(theta[1]), t["_all"]) for k, (theta, _, t) in state.items()], f"{kinds}{', ' * bool(group)}slope double, intercept double, n long")
+
+
+def platt_maps(rows: DataFrame, group: list[str], most: int = MOST_IN_TASK) -> DataFrame:
+    """Per group with both classes: slope, intercept, n. Groups of over `most` distinct scores are fitted in jobs, a step each."""
 
     def fit(part: pd.DataFrame) -> dict:
-        if len(part) > MOST_CELLS:
-            raise ValueError(f"over {MOST_CELLS} distinct scores: round them first")
         slope, intercept = platt(part["x"].to_numpy(float), part["right"].to_numpy(float), part["n"].to_numpy(float))
         return {"slope": [slope], "intercept": [intercept], "n": [int(part["n"].sum())]}
 
-    return _per_group(_cells(rows, group), group, fit, "slope double, intercept double, n long")
+    small, large = _large(_cells(rows, group), group, most)
+    lines = _per_group(small, group, fit, "slope double, intercept double, n long")
+    return lines if large is None else lines.unionByName(_platt_in_steps(large, group))
 
 
 def cross_fit(rows: DataFrame, stratum: str, fold: str, k: int, least: int = 10) -> DataFrame:
@@ -129,23 +232,43 @@ def cross_fit(rows: DataFrame, stratum: str, fold: str, k: int, least: int = 10)
     others = rows.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col(fold) != F.col("_out"))
     enough = others.groupBy(stratum, "_out").agg(F.count("*").alias("_n"), F.min("correct").alias("_lo"), F.max("correct").alias("_hi")).where(f"_n >= {least} and _lo < _hi").select(stratum, "_out")
     knots = isotonic_maps(others.join(enough, [stratum, "_out"]), [stratum, "_out"])
-    from accordia.operators.calibration import map_predict
-
     named = F.concat_ws("|", F.col(stratum).cast("string"), F.col("_out").cast("string")).alias("stratum")
-    return map_predict(rows.select("*", F.concat_ws("|", F.col(stratum).cast("string"), F.col(fold).cast("string")).alias("stratum")), knots.select(named, "x", "y")).drop("stratum")
+    own = F.concat_ws("|", F.col(stratum).cast("string"), F.col(fold).cast("string"))
+    return apply_maps(rows.where("x is not null").withColumn("_own", own), isotonic_registry(knots.select(named, "x", "y")), "_own").drop("_own")
 
 
-def fit_risk(rows: DataFrame, design: list, label: str) -> tuple[float, np.ndarray]:
-    """monotone_logistic over rows' design columns, counted by distinct values; rows with a null are left out."""
-    named = rows.select(*[d.cast("double").alias(f"d{i}") for i, d in enumerate(design)], F.col(label).cast("double").alias("y")).dropna()
-    found = bounded(named.groupBy(*[f"d{i}" for i in range(len(design))]).agg(F.sum("y").alias("y"), F.count("*").alias("n")), MOST_CELLS)
-    found = found.sort_values([f"d{i}" for i in range(len(design))])
-    y, n = found.pop("y").to_numpy(float), found.pop("n").to_numpy(float)
-    if not 0 < y.sum() < n.sum():
+def fit_risk(rows: DataFrame, design: list, label: str, most: int = MOST_CELLS) -> tuple[float, np.ndarray]:
+    """monotone_logistic over rows' design columns, counted by distinct values; rows with a null are left out.
+
+    Over `most` distinct rows, gradients are sums that the executors make, a job an epoch; the weights are the same.
+    """
+    names = [f"d{i}" for i in range(len(design))]
+    named = rows.select(*[d.cast("double").alias(n) for d, n in zip(design, names, strict=True)], F.col(label).cast("double").alias("y")).dropna()
+    cells = written(named.groupBy(*names).agg(F.sum("y").alias("y"), F.count("*").alias("n")), "cells")
+    size, right, total = cells.agg(F.count("*"), F.sum("y"), F.sum("n")).first()
+    if not size or not 0 < right < total:
         raise ValueError("both classes are needed")
+    if size > most:
+        return _risk_in_epochs(cells, names, right, total)
+    found = cells.toPandas().sort_values(names)
+    y, n = found.pop("y").to_numpy(float), found.pop("n").to_numpy(float)
     return monotone_logistic(found.to_numpy(float), y, n)
 
 
+def _risk_in_epochs(cells: DataFrame, names: list[str], right: float, total: float, l2: float = 0.25, rate: float = 0.05, epochs: int = 2500) -> tuple[float, np.ndarray]:
+    share = right / total
+    bias, w = math.log(share / (1 - share)), np.zeros(len(names))
+    for _ in range(epochs):
+        z = F.lit(bias)
+        for c, x in zip(names, w.tolist(), strict=True):
+            z = z + F.col(c) * x
+        error = F.col("n") / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0)))) - F.col("y")
+        sums = cells.select(error.alias("_e"), *names).agg(F.sum("_e"), *[F.sum(F.col(c) * F.col("_e")) for c in names]).first()
+        bias -= rate * sums[0] / total
+        w = np.maximum(0.0, w - rate * (np.array(sums[1:]) / total + l2 * w))
+    return bias, w
+
+
 def _by_item(rows: DataFrame, label: Callable[[dict], list[int]]) -> DataFrame:
     """item_id, pos, label from a row an item, whose samples (pos, ...) are sorted: many items make one call."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accordia.operators import calibration, fits
 from accordia.operators.calibration import map_predict, platt_predict
+from accordia.operators.lineage import Blindness
 
 ISOTONIC_LEAST, FIT_LEAST, STRATUM_LEAST = 40, 10, 30
 TARGET, WALD_Z = 0.80, 1.96
@@ -116,18 +117,18 @@ def evaluate(holdout: DataFrame, development: DataFrame, target: float = TARGET)
     return out.join(covered, by, "left").join(actions, by, "left")
 
 
-def gate(strata: DataFrame, evaluated: DataFrame, label_blind: bool = True, most_error: float = 0.05, least: int = STRATUM_LEAST) -> DataFrame:
+def gate(strata: DataFrame, evaluated: DataFrame, blindness: Blindness | None, most_error: float = 0.05, least: int = STRATUM_LEAST) -> DataFrame:
     """One row: four conditions, each null where no stratum can be judged by it, and the verdict.
 
     calibration: cross-fitted error at most most_error in every stratum of `least` rows or more; selective risk under the
-    sample-only baseline's in every held-out stratum of both classes; coverage within its tolerance; no labels read. NOT_MET
-    if one fails, NOT_EVALUABLE if one is null or a held-out stratum cannot be evaluated, else PASS.
+    sample-only baseline's in every held-out stratum of both classes; coverage within its tolerance; no labels read, as
+    lineage.blind found of the scoring (None: not checked, hence null). NOT_MET if one fails, NOT_EVALUABLE if one is null or a held-out stratum cannot be evaluated, else PASS.
     """
     met = evaluated.join(strata.select("stratum", F.col("ace_5bin").alias("_error"), F.col("n_cross_fitted").alias("_n")), "stratum", "left")
     one = F.when(F.col("_error").isNotNull() & (F.col("_n") >= least), F.col("_error") <= most_error)
     two = F.when(F.col("both_classes"), F.coalesce(F.col("risk") < F.col("risk_sample_only"), F.lit(False)))
     found = met.agg(
-        F.bool_and(one).alias("calibration"), F.bool_and(two).alias("selective_risk"), F.bool_and("within_tolerance").alias("coverage"), F.lit(label_blind).alias("label_blind"),
+        F.bool_and(one).alias("calibration"), F.bool_and(two).alias("selective_risk"), F.bool_and("within_tolerance").alias("coverage"), F.lit(blindness.holds if blindness else None).cast("boolean").alias("label_blind"),
         F.sum(F.col("status").startswith("not_evaluable").cast("long")).alias("unevaluable"),
     )
     names = ("calibration", "selective_risk", "coverage", "label_blind")

@@ -10,7 +10,7 @@ from accordia.functions.vocabulary import FOREIGN_MARKERS, OPERATIVE_CUES, REPEA
 from accordia.operators import agreement as A
 from accordia.operators import bootstrap as B
 from accordia.operators import calibration as C
-from accordia.operators import cells, fits, ranking, relations, risk, strata, validity, warrant
+from accordia.operators import cells, fits, lineage, ranking, relations, risk, strata, validity, warrant
 from accordia.operators import evaluation as E
 from accordia.operators import records as W
 from accordia.plans import inputs as I
@@ -170,7 +170,10 @@ def evaluate_strata(spark, d):
 @query()
 def calibration_gate(spark, d):
     fitted = strata.fit_strata(_parted(spark, d).where("dev").select("stratum", "fold", "item_id", "x", "correct"))[0]
-    return strata.gate(fitted, _evaluated(spark, d))
+    scored = _parted(spark, d)
+    maps = scored.where("dev").select("stratum", "x", "correct")
+    found = lineage.blind(lambda rows: strata.attach_probabilities(rows, maps), scored.where("not dev"), ["correct"], ["p", "calibration_status"])
+    return strata.gate(fitted, _evaluated(spark, d), found)
 
 
 @query()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordia.operators import bootstrap, calibration, cells, evaluation, fits, ranking, records, relations, strata, validity, warrant
+from accordia.operators.lineage import Blindness
 from accordia.plans.reports import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -174,13 +175,14 @@ def test_coverage_of_the_conformal_threshold(spark):
 @pytest.mark.parametrize(
     "change, want",
     [({}, "PASS"), ({"ace_5bin": 0.06}, "NOT_MET"), ({"n_cross_fitted": 29}, "NOT_EVALUABLE"), ({"risk": 0.3}, "NOT_MET"), ({"within_tolerance": False}, "NOT_MET"), ({"within_tolerance": None}, "NOT_EVALUABLE"),
-     ({"both_classes": False, "status": "not_evaluable_single_class_holdout"}, "NOT_EVALUABLE"), ({"blind": False}, "NOT_MET"), ({"ace_5bin": 0.05}, "PASS")],
+     ({"both_classes": False, "status": "not_evaluable_single_class_holdout"}, "NOT_EVALUABLE"), ({"blind": False}, "NOT_MET"), ({"blind": None}, "NOT_EVALUABLE"), ({"ace_5bin": 0.05}, "PASS")],
 )
 def test_calibration_gate_by_condition(spark, change, want):
     v = {"ace_5bin": 0.01, "n_cross_fitted": 30, "risk": 0.2, "risk_sample_only": 0.3, "within_tolerance": True, "both_classes": True, "status": "evaluated"} | change
     fitted = spark.createDataFrame([("s", v["ace_5bin"], v["n_cross_fitted"])], "stratum string, ace_5bin double, n_cross_fitted long")
     done = spark.createDataFrame([("s", v["risk"], v["risk_sample_only"], v["within_tolerance"], v["both_classes"], v["status"])], "stratum string, risk double, risk_sample_only double, within_tolerance boolean, both_classes boolean, status string")
-    assert strata.gate(fitted, done, v.get("blind", True)).first()["verdict"] == want
+    checked = v.get("blind", True)
+    assert strata.gate(fitted, done, None if checked is None else Blindness(checked, {})).first()["verdict"] == want
 
 
 def test_candidates_of_a_stratum(spark):
