@@ -114,6 +114,10 @@ def read_chats(chats: DataFrame) -> DataFrame:
 
 
 def digests(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of format_chats' rows, read back from its output alone.
+
+    A null conv stays one; a conversation without the loss's role has a loss of 0 characters.
+    """
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read_chats(chats).select(
         F.col("conv").alias(conv), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -24,8 +24,8 @@ from accordia.llm.common import _SPACE, bound_batches, passes, table_path
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-#: Bytes of input that one output file takes, about, and the most files.
-FILE_BYTES, MOST_FILES = 8 << 20, 1 << 20
+#: Bytes of text that one output file takes, about, and the most files.
+FILE_BYTES, MOST_FILES = 16 << 20, 1 << 20
 #: Segments that a worker keeps; beyond that it forgets all of them. Slots of its table, and segments looked up at a time.
 MOST_SEGMENTS, SLOT_BITS, BLOCK = 1_000_000, 22, 1 << 18
 #: Bytes of a segment that two 64-bit numbers hold, and of longer ones that are kept at all.
@@ -224,13 +224,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
     """Writes docs in ascending order of doc_id, null first; equal ids sort by text. A null text is empty: its end id alone.
 
     tokenizer: a file of the tokenizers library, at the same path on all executors. The end id follows every document.
-    Ids are whole numbers. Strings of added tokens in a text become their ids, as the library's encode has it. Repeated
+    Without a number of files, it follows the texts' bytes alone, however docs came about. Ids are whole numbers. Strings of added tokens in a text become their ids, as the library's encode has it. Repeated
     rows are documents of their own; an empty table writes no rows; other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if files is None:  # by the size that the plan's statistics give, without a pass over the texts
-        files = max(1, -(-int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES))
+    if files is None:  # by the texts' bytes, in a pass that shuffles a number a task
+        files = max(1, -(-(kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     # Ranges of doc_id alone: their sample, which comes to the driver, holds no texts, and equal ids share a file.
     ordered = kept.repartitionByRange(min(files, MOST_FILES), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     ids = ordered.mapInArrow(_encode(tokenizer, end_id), "doc_id long, part int, part_start long, n_tokens long, ids array<int>")
@@ -259,6 +259,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers) of read_tokens' rows; a row each."""
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

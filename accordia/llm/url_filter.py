@@ -20,14 +20,18 @@ MAX_FILTER_BITS = 1 << 25
 LATER_FPP = 0.5
 
 
+#: Stands between a key's host and path: no host and no path of a url holds it.
+MARK = "#"
+
+
 class Rule(NamedTuple):
     verdict: str  # allow or block
-    host: str
-    path: str
+    host: str  # A-Z count as a-z, as they do in urls
+    path: str  # a url's path is empty or begins with a slash; a rule's that is neither fits none
 
     @property
     def key(self) -> str:
-        return self.host + self.path
+        return "".join(c.lower() if c < "\x80" else c for c in self.host) + MARK + self.path
 
 
 class Level(NamedTuple):
@@ -112,7 +116,7 @@ def candidates(host: Column, path: Column, rules: list[Rule]) -> Column:
     parts = F.split(host, r"\.")
     hosts = F.transform(F.filter(F.array(*map(F.lit, labels)), lambda k: k <= F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
     paths = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length(path)), lambda k: F.call_function("substring", path, F.lit(1), k))
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct((F.length(h) + F.length(p)).alias("n"), F.length(h).alias("h"), F.concat(h, p).alias("key")))))
+    keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct((F.length(h) + F.length(p)).alias("n"), F.length(h).alias("h"), F.concat(h, F.lit(MARK), p).alias("key")))))
     return F.transform(F.sort_array(keys, asc=False), lambda x: x["key"])
 
 
@@ -120,21 +124,26 @@ def judge_urls(urls: DataFrame, rules: list[Rule], url: str = "url", default: st
     """urls with host, path, rule and verdict added (replacing columns of those names).
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins, then the longest host.
+    An empty path of a rule fits all paths. The rule of a row is its host, lower-cased, and its path as one string.
     A null url, or one without ://, has an empty host and path, no rule and the default verdict. Repeated rows are
-    judged alike; an empty table gives an empty result. A key listed as block and as allow is an error. Lists whose first
-    level is over max_bits are dealt out by a hash of the key into cascades of their own, with a pass over the urls each.
+    judged alike; an empty table gives an empty result. A host and path listed as block and as allow are an error. Lists whose
+    levels would be over max_bits are dealt out by a hash of the key into cascades of their own, with a pass over the urls each.
     """
-    if any(not r.host or r.verdict not in ("allow", "block") for r in rules) or len({r.key for r in rules}) < len(set(rules)):
-        raise ValueError("each rule needs a host, a verdict of allow or block, and a key of its own")
+    if any(not r.host or r.verdict not in ("allow", "block") for r in rules) or len({r.key for r in rules}) < len({(r.verdict, r.key) for r in rules}):
+        raise ValueError("each rule needs a host, a verdict of allow or block, and a host and path of its own")
     host, path = split_url(F.col(url))
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     out = urls.select(*kept, host.alias("host"), path.alias("path"))
     if not rules:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    listed = urls.sparkSession.createDataFrame([(r.key, r.verdict) for r in dict.fromkeys(rules)], "key string, verdict string")
+    verdicts = {r.key: r.verdict for r in rules}
+    listed = urls.sparkSession.createDataFrame([*verdicts.items()], "key string, verdict string")
     shapes = len({r.host.count(".") for r in rules}) * len({len(r.path) for r in rules})
-    fpp = first_fpp or min(0.25, max(1e-9, len(rules) / max(1, urls.count() * shapes)))
-    shards = -(-filter_bits(len(rules), fpp) // max_bits)
+    keys_at_most = urls.count() * shapes
+    fpp = first_fpp or min(0.25, max(1e-9, len(verdicts) / max(1, keys_at_most)))
+    # The second level holds what wrongly passes the first; later ones are smaller.
+    wrong = math.ceil(2 * fpp * keys_at_most)
+    shards = -(-max(filter_bits(len(verdicts), fpp), filter_bits(wrong, LATER_FPP)) // max_bits)
     hit_, first_ = fresh(out, "hit", "first")
     out = out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     every = candidates(F.col("host"), F.col("path"), rules)
@@ -153,4 +162,4 @@ def judge_urls(urls: DataFrame, rules: list[Rule], url: str = "url", default: st
         out = met.withColumn("rule", F.when(F.col(first_), F.col(hit_)).otherwise(F.col("rule"))).drop(hit_, first_)
         if shards > 1:  # each pass has its own filters alone in its plan
             out = materialize(out, "judged")
-    return out
+    return out.withColumn("rule", F.replace("rule", F.lit(MARK), F.lit("")))

@@ -128,12 +128,27 @@ def test_urls_by_one_cascade_and_by_several(spark, fpp, most_bits):
             host = re.match("[^/?#]*", rest)[0]
             path = re.match("(/[^?#]*)?", rest[len(host) :])[0]
             host = "".join(c.lower() if c.isascii() else c for c in host)
-        fit = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        best = max(fit, key=lambda r: (len(r.key), len(r.host)), default=None)
-        assert got[i] == (host, path, best and best.key, best.verdict if best else "allow", "other"), u
+        best = best_rule(URL_RULES, host, path)
+        assert got[i] == (host, path, best and best.host + best.path, best.verdict if best else "allow", "other"), u
     assert len(got) == len(urls)
 
 
+def best_rule(rules, host, path):
+    fit = [r for r in rules if (host == r.host.lower() or host.endswith("." + r.host.lower())) and path.startswith(r.path)]
+    return max(fit, key=lambda r: (len(r.host) + len(r.path), len(r.host)), default=None)
+
+
+@pytest.mark.parametrize("most_bits", [url_filter.MAX_FILTER_BITS, 64])
+def test_rules_without_slash_in_upper_case_or_with_an_empty_path(spark, most_bits):
+    """Host and path do not run into each other: a rule for `ab.co` and `m/` says nothing of `ab.com/`."""
+    rules = [Rule("block", "ab.co", "m/"), Rule("block", "zz.org", "/"), Rule("block", "LOUD.com", "/X"), Rule("allow", "a.loud.COM", ""), Rule("block", "bare.net", ""), Rule("block", "bare.net", "/a#b"), Rule("block", "q.de", "/#"), Rule("allow", "bare.net", "/ok")]
+    urls = ["http://ab.com/x", "http://ab.co/m/", "http://ab.com", "http://zz.org/m/", "http://loud.com/X1", "http://LOUD.COM/x", "http://b.a.Loud.com/Xy", "http://bare.net", "http://x.bare.net/q", "http://bare.net/a#b", "http://bare.net/okay", "http://q.de/#", "http://q.de/", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for r in url_filter.judge_urls(df, rules, max_bits=most_bits).collect():
+        best = best_rule(rules, r["host"], r["path"])
+        assert (r["rule"], r["verdict"]) == ((best.host.lower() + best.path, best.verdict) if best else (None, "allow")), r
+
+
 def test_the_words_of_a_level_are_in_a_plan_once(spark):
     level = url_filter.Level(128, 9, [123456789012345, 5], 0)
     plan = spark.range(3).select(level.passes(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
@@ -169,7 +184,7 @@ def test_url_rules_that_clash_and_empty_tables(spark):
     assert url_filter.judge_urls(none, URL_RULES).columns == ["page_id", "url", "host", "path", "rule", "verdict"]
     assert not url_filter.judge_urls(none, URL_RULES).count()
     with pytest.raises(ValueError):
-        url_filter.judge_urls(none, [Rule("block", "com", "/"), Rule("allow", "com", "/")])
+        url_filter.judge_urls(none, [Rule("block", "com", "/"), Rule("allow", "COM", "/")])
     one = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     assert url_filter.judge_urls(one, []).first()["verdict"] == "allow"
 
@@ -908,6 +923,25 @@ def test_token_query_gives_the_librarys_ids(spark):
     assert len(got) == len(docs)
 
 
+def test_number_of_files_follows_the_texts_alone(spark):
+    """However the documents came about: made, read, or joined."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+    def count(docs):
+        out = common.table_path(spark, "tokens")
+        token_out.write_tokens(docs, out, TOKENIZER)
+        return spark.read.parquet(out).select(F.input_file_name()).distinct().count()
+
+    try:
+        assert count(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")) == 1
+        docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+        labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+        assert count(docs) == count(docs.join(labels, "doc_id", "left")) == count(spark.createDataFrame(docs.collect(), docs.schema)) == 1
+        assert count(docs.limit(0)) == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_token_files_read_back(spark, odd):
     odd = odd.unionByName(odd.limit(1).select(F.lit(77).cast("long").alias("doc_id"), F.lit("two <|endoftext|><|endoftext|> ends").alias("text"), *[c for c in odd.columns if c not in ("doc_id", "text")]))
     out = token_out.token_digests(token_out.tokenize_documents(odd, TOKENIZER, files=3)).collect()
