@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import bound_batches, components, materialize, union_find
+from accordia.llm.common import bound_batches, components, join_spread, materialize, union_find
 
 THRESHOLD = 0.98
 #: Pivots: about four times the square root of the number of vectors, within these bounds; of at most PIVOT_NUMBERS numbers.
@@ -219,7 +219,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     per = classes.select("label", "digest", "cls", "m", "first").join(links, F.col("cls") == F.col("node"), "left").join(labels, F.col("cls") == F.col("_node"), "left")
     smallest = per.where("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("_least"))
     per = per.join(smallest, F.col("root") == F.col("_root"), "left")
-    per = per.select(F.col("label").alias("_l"), F.col("digest").alias("_d"), (F.coalesce("_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("_least", "first").alias("component"))
-    out = made.select("id", "label", "digest").join(per, (F.col("digest") == F.col("_d")) & (F.col("label") == F.col("_l")), "left")
+    whole = lambda label, digest: F.concat(digest, label.cast("string").cast("binary"))
+    per = per.select(whole(F.col("label"), F.col("digest")).alias("_k"), "m", (F.coalesce("_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("_least", "first").alias("component"))
+    # Copies of one vector, and vectors that link with nothing, are dealt out.
+    out = join_spread(made.select("id", whole(F.col("label"), F.col("digest")).alias("key")), "key", materialize(per, "classes_found"), "_k", "m", ["id"])
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))

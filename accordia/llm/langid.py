@@ -108,10 +108,12 @@ def _scores(models: dict[str, np.ndarray]):
 
 
 def _evidence(scored: DataFrame, column: str, languages: list[str]) -> DataFrame:
-    """(column, one log P(value | language) a language) from counts over all documents."""
-    counts = scored.where(F.col(column).isNotNull() & F.col("text_lang").isNotNull()).groupBy(column).agg(*[F.count(F.when(F.col("text_lang") == x, 1)).alias(f"n{i}") for i, x in enumerate(languages)])
-    logs = [F.log((F.col(f"n{i}") + SMOOTHING) / (F.sum(f"n{i}").over(Window.partitionBy()) + SMOOTHING * (F.count("*").over(Window.partitionBy()) + 1))) for i in range(len(languages))]
-    return counts.select(F.col(column).alias(f"_{column}"), F.array(*logs).alias(f"{column}_logs"))
+    """(column, one log P(value | language) a language, rows) from counts over all documents, as a written table."""
+    n = [F.count(F.when(F.col("text_lang") == x, 1)).alias(f"n{i}") for i, x in enumerate(languages)]
+    counts = materialize(scored.where(F.col(column).isNotNull() & F.col("text_lang").isNotNull()).groupBy(column).agg(*n, F.count("*").alias(f"{column}_n")), f"{column}_counts")
+    *totals, values = counts.agg(*[F.sum(f"n{i}") for i in range(len(languages))], F.count("*")).first()
+    logs = [F.log((F.col(f"n{i}") + SMOOTHING) / F.lit((t or 0) + SMOOTHING * (values + 1))) for i, t in enumerate(totals)]
+    return counts.select(F.col(column).alias(f"_{column}"), F.array(*logs).alias(f"{column}_logs"), f"{column}_n")
 
 
 def host_priors(scored: DataFrame, languages: list[str], levels: int = 3) -> DataFrame:
@@ -166,10 +168,9 @@ def identify(docs: DataFrame, models: dict[str, np.ndarray], doc_id: str = "doc_
     sound = (F.col("n") > 0) & (best > F.col("n") * -math.log(1 << TRIGRAM_BITS))
     scored = materialize(scored.withColumn("text_lang", F.when(sound, F.element_at(names, F.array_position("scores", best).cast("int")))), "language_scores")
     rows = scored
-    if declared:
-        rows = rows.join(_evidence(scored, "declared", languages), F.col("declared") == F.col("_declared"), "left")
-    if suffix:
-        rows = rows.join(_evidence(scored, "suffix", languages), F.col("suffix") == F.col("_suffix"), "left")
+    for column, used in (("declared", declared), ("suffix", suffix)):
+        if used:
+            rows = join_spread(rows, column, _evidence(scored, column, languages), f"_{column}", f"{column}_n", ["id"])
     if host:
         rows = join_spread(rows, "host", materialize(host_priors(scored, languages), "host_priors"), "_host", "host_n", ["id"])
     others = [F.col(f"{c}_logs") for c, used in (("declared", declared), ("suffix", suffix), ("host", host)) if used]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordia.llm.common import bound_batches, components, fresh, materialize, mix64, passes, spans, words
+from accordia.llm.common import bound_batches, components, fresh, join_spread, materialize, mix64, passes, spans, words
 
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 26
@@ -248,8 +248,9 @@ def _active(members: DataFrame, labels: DataFrame | None, sigs: DataFrame, acros
         members = members.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
     else:
         members = members.withColumn("label", F.col("cls"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("_m"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key", F.ceil(F.col("_m") / cut).cast("int").alias("_c"))
-    rows = members.join(sizes, "key")
+    sizes = members.groupBy("key").agg(F.count("*").alias("_m"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select(F.col("key").alias("_key"), "_m", F.ceil(F.col("_m") / cut).cast("int").alias("_c"))
+    # A bucket of many members is dealt out before it is cut.
+    rows = join_spread(members, "key", materialize(sizes, "sizes"), "_key", "_m", ["cls"], "inner")
     own = F.pmod(F.xxhash64("cls", F.lit(1 if labels is None else 2)), F.col("_c")).cast("int")
     if across:  # a part for each cut, and for each pair of cuts
         others = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda o: F.struct((F.least(own, o) * F.col("_c") + F.greatest(own, o)).alias("part"), F.when(o == own, -1).otherwise(own).alias("side")))
@@ -275,10 +276,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A row is found again by its id and a hash of its text, which tells apart rows that share an id.
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("place"), F.col(text).cast("binary").alias("text"))
     feats = materialize(plain.mapInArrow(_features(shingle, k), "id long, place long, n long, digest binary, sig binary"), "features")
-    firsts = feats.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "place")).alias("_f")).select(F.col("digest").alias("_d"), F.col("_f.id").alias("_i"), F.col("_f.place").alias("_p"))
+    firsts = feats.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "place")).alias("_f"), F.count("*").alias("copies")).select(F.col("digest").alias("_d"), F.col("_f.id").alias("_i"), F.col("_f.place").alias("_p"), "copies")
     reps = feats.where("n > 0 and id is not null").join(firsts, (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("_i")) & (F.col("place") == F.col("_p")))
     # A class has a number of its own: ids may be shared by several.
-    reps = reps.select("digest", "id", "place", "n", "sig").dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id())
+    reps = reps.select("digest", "id", "place", "n", "sig", "copies").dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id())
     reps = materialize(reps, "classes")
 
     band = lambda i: F.xxhash64(i, F.call_function("substring", F.col("sig"), i * (4 * rows) + 1, F.lit(4 * rows)))
@@ -306,13 +307,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = new if links is None else links.unionByName(new)
         links = materialize(links, "links")
         labels = components(links)
-    numbered = reps.select("digest", "id", "cls")
+    numbered = reps.select("digest", "id", "cls", "copies")
     if labels is not None:
         numbered = numbered.join(labels, F.col("cls") == F.col("node"), "left").withColumn("cls", F.coalesce("root", "cls"))
         smallest = numbered.where("node is not null").groupBy(F.col("cls").alias("_c")).agg(F.min("id").alias("_least"))
         numbered = numbered.join(smallest, F.col("cls") == F.col("_c"), "left").withColumn("id", F.coalesce("_least", "id"))
-    found = numbered.select("digest", F.col("id").alias("component"))
-    out = feats.select("id", "n", "digest").join(found.withColumnRenamed("digest", "_d"), F.col("digest") == F.col("_d"), "left")
+    found = materialize(numbered.select(F.col("digest").alias("_d"), F.col("id").alias("component"), "copies"), "components")
+    # Copies of one text, and texts without words, are dealt out.
+    out = join_spread(feats.select("id", "place", "n", "digest"), "digest", found, "_d", "copies", ["id", "place"])
     component = F.coalesce("component", "id")
     kept = F.coalesce(component == F.col("id"), component.isNull())
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
