@@ -13,12 +13,13 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.where("u is not null and not isnan(u) and abs(u) < double('inf') and correct is not null")
 
 
-def auroc(rows: DataFrame, group: list[str]) -> DataFrame:
+def auroc(rows: DataFrame, group: list[str], weight: Column | None = None) -> DataFrame:
     """Per group: n, n_correct, auroc = P(u of a right one < u of a wrong one) + half of ties; null with a single class.
 
-    Rows are counted by distinct u first, so that the running sum sees a row for each.
+    Rows are counted by distinct u first, so that the running sum sees a row for each. weight: how often a row counts.
     """
-    counts = scored(rows).groupBy(*group, "u").agg(F.sum("correct").alias("pos"), F.sum(1 - F.col("correct")).alias("neg"))
+    w = F.lit(1) if weight is None else weight
+    counts = scored(rows).groupBy(*group, "u").agg(F.sum(w * F.col("correct")).alias("pos"), F.sum(w * (1 - F.col("correct"))).alias("neg"))
     run = cumulate(counts, group, "u", [], {"below": F.col("pos")})
     agg = run.groupBy(*group).agg(F.sum(F.col("neg") * (F.col("below") - F.col("pos") / 2)).alias("wins"), F.sum("pos").alias("n_correct"), F.sum("neg").alias("n_wrong"))
     return agg.select(*group, (F.col("n_correct") + F.col("n_wrong")).alias("n"), "n_correct", F.try_divide(F.col("wins"), F.col("n_correct") * F.col("n_wrong")).alias("auroc"))

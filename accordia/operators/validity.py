@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from accordia.functions.text import base_key, is_reference, normal_key
 
@@ -13,25 +17,62 @@ def in_force(day: Column, begin: Column, end: Column) -> Column:
     return F.when(begin.isNotNull() & day.isNotNull(), (begin <= day) & (end.isNull() | (day < end)))
 
 
-#: Parts that the span of the probes' days is cut into; a key's probes meet the intervals of their part alone.
-DAY_PARTS = 32
+#: Rows of one key that one task takes; a key of more is dealt out over its span of days.
+KEY_ROWS = 1 << 16
+_OPEN = (1 << 63) - 1
 
 
-def as_of(probes: DataFrame, intervals: DataFrame, key: str, day: str) -> DataFrame:
-    """probes with the row (value, begin, end) of their key in force on their day; several, if its intervals overlap.
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, part and time, intervals before probes -> probes with each interval that is open then.
 
-    The span of the probes' days is cut into parts, and an interval listed under each part that it meets, so that a key of
-    many probes and intervals is dealt out by part.
+    The open intervals of the current key and part are all that is carried along.
+    """
+    carried, at = None, None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if carried is None else [carried, batch]).combine_chunks().to_batches()
+        if not rows:
+            continue
+        (rows,) = rows
+        key, part, time, end, probe = (rows.column(c).to_pylist() for c in ("k", "part", "t", "e", "probe"))
+        first = rows.num_rows - batch.num_rows
+        open_ = list(range(first))
+        asked: list[int] = []
+        met: list[int | None] = []
+        for i in range(first, rows.num_rows):
+            if (key[i], part[i]) != at:
+                at, open_ = (key[i], part[i]), []
+            if not probe[i]:
+                open_.append(i)
+                continue
+            if open_:
+                open_ = [j for j in open_ if end[j] > time[i]] if time[i] is not None else open_
+            found = open_ if time[i] is not None and key[i] is not None else []
+            asked += [i] * max(1, len(found))
+            met += found or [None]
+        carried = rows.take(pa.array(open_, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column("p").take(pa.array(asked, pa.int64())), rows.column("i").take(pa.array(met, pa.int64()))], ["p", "i"])
+
+
+def as_of(probes: DataFrame, intervals: DataFrame, key: str, day: str, key_rows: int = KEY_ROWS) -> DataFrame:
+    """probes with the row (begin, end, value) of their key in force on their day; several, if its intervals overlap.
+
+    Probes and intervals are sorted once, together, by key and time, and the open intervals are carried along: rows read
+    and sorted grow with the probes and intervals alone. A key of over key_rows rows is cut into parts of its span of days,
+    each of which also gets the intervals that are open at its start. Intervals without a key or begin are never met; a probe
+    without a key, a day, or an interval in force has nulls.
     """
-    at = lambda c: F.unix_micros(c.cast("timestamp"))
-    low, high = probes.agg(F.min(at(F.col(day))), F.max(at(F.col(day)))).first()
-    low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // DAY_PARTS))
-    part = lambda c: F.floor((at(c) - F.lit(low)) / F.lit(width))
-    first, last = F.greatest(part(F.col("begin")), F.lit(0)), F.least(F.coalesce(part(F.col("end")), F.lit(DAY_PARTS)), F.lit(DAY_PARTS))
-    i = intervals.select(F.col(key).alias("_k"), "begin", "end", "value", first.alias("_first"), last.alias("_last")).where("begin is not null and _first <= _last")
-    listed = i.withColumn("_p", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    within = (F.col("begin") <= F.col(day)) & (F.col("end").isNull() | (F.col(day) < F.col("end")))
-    return probes.withColumn("_part", part(F.col(day))).join(listed, (F.col(key) == F.col("_k")) & (F.col("_part") == F.col("_p")) & within, "left").drop("_k", "_p", "_part")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    p = probes.select(F.col(key).alias("k"), micros(F.col(day)).alias("t"), F.struct(*probes.columns).alias("p"))
+    i = intervals.where(F.col(key).isNotNull() & F.col("begin").isNotNull()).select(F.col(key).alias("k"), micros(F.col("begin")).alias("t"), F.coalesce(micros(F.col("end")), F.lit(_OPEN)).alias("e"), F.struct("begin", "end", "value").alias("i"))
+    sizes = p.select("k", "t").unionByName(i.select("k", "t")).groupBy("k").agg(F.count("*").alias("_n"), F.min("t").alias("_low"), F.max("t").alias("_high")).where(F.col("_n") > key_rows)
+    hot = sizes.select(F.col("k").alias("_k"), F.ceil(F.col("_n") / key_rows).alias("_c"), "_low", (F.col("_high") - F.col("_low") + 1).alias("_span"))
+    part = lambda t: F.coalesce(F.least(F.greatest(F.floor((t - F.col("_low")).cast("double") * F.col("_c") / F.col("_span")), F.lit(0)), F.col("_c") - 1), F.lit(0)).cast("int")
+    last = F.when(F.col("_c").isNull() | (F.col("e") <= F.col("t")), part(F.col("t"))).otherwise(part(F.col("e") - 1))
+    listed = i.join(hot, F.col("k") == F.col("_k"), "left").withColumn("part", F.explode(F.sequence(part(F.col("t")), last)))
+    both = p.join(hot, F.col("k") == F.col("_k"), "left").select("k", part(F.col("t")).alias("part"), "t", F.lit(None).cast("long").alias("e"), F.lit(True).alias("probe"), "p", F.lit(None).cast(i.schema["i"].dataType).alias("i"))
+    both = both.unionByName(listed.select("k", "part", "t", "e", F.lit(False).alias("probe"), F.lit(None).cast(p.schema["p"].dataType).alias("p"), "i"))
+    found = both.repartition("k", "part").sortWithinPartitions("k", "part", "t", "probe").mapInArrow(_carry, T.StructType([T.StructField("p", p.schema["p"].dataType), T.StructField("i", i.schema["i"].dataType)]))
+    return found.select("p.*", "i.begin", "i.end", "i.value")
 
 
 def resolve(references: DataFrame, statutes: DataFrame, key: str = "key") -> DataFrame:

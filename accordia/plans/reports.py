@@ -172,7 +172,7 @@ def calibration_gate(spark, d):
     fitted = strata.fit_strata(_parted(spark, d).where("dev").select("stratum", "fold", "item_id", "x", "correct"))[0]
     scored = _parted(spark, d)
     maps = scored.where("dev").select("stratum", "x", "correct")
-    found = lineage.blind(lambda rows: strata.attach_probabilities(rows, maps), scored.where("not dev"), ["correct"], ["p", "calibration_status"])
+    found = lineage.blind(lambda rows: strata.attach_probabilities(rows, maps), scored.where("not dev").drop("p"), ["correct"], ["p", "calibration_status"])
     return strata.gate(fitted, _evaluated(spark, d), found)
 
 
