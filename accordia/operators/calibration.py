@@ -35,6 +35,20 @@ def scores(rows: DataFrame, group: list[str]) -> DataFrame:
     return scored(rows).groupBy(*group).agg(F.count("*").alias("n"), F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"), F.avg(-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss"))
 
 
+def all_scores(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: n, brier, log_loss as scores has them, ace_5bin and ece_10bin as calibration_error, in one pass.
+
+    A bin of ten is half of a bin of five, so that sums by ten bins give both.
+    """
+    p, y = F.least(F.greatest(F.col("p"), F.lit(CLIP)), F.lit(1 - CLIP)), F.col("correct")
+    sums = [F.count("*").alias("c"), F.sum("p").alias("p"), F.sum("correct").alias("right"), F.sum((F.col("p") - y) * (F.col("p") - y)).alias("brier"), F.sum(-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss")]
+    ten = scored(rows).groupBy(*group, bin_of(F.col("p"), 10).alias("bin")).agg(*sums)
+    ten = ten.withColumn("g10", F.abs(F.col("right") - F.col("p")))
+    five = ten.groupBy(*group, F.ceil(F.col("bin") / 2).alias("bin")).agg(F.sum("g10").alias("g10"), *[F.sum(x).alias(x) for x in ("c", "p", "right", "brier", "log_loss")])
+    n = F.sum("c")
+    return five.groupBy(*group).agg(n.alias("n"), (F.sum("brier") / n).alias("brier"), (F.sum("log_loss") / n).alias("log_loss"), (F.sum(F.abs(F.col("right") - F.col("p"))) / n).alias("ace_5bin"), (F.sum("g10") / n).alias("ece_10bin"))
+
+
 def reliability_table(rows: DataFrame, group: list[str], bins: int) -> DataFrame:
     """Per group and bin, empty ones too: n, mean p, accuracy."""
     cells = scored(rows).groupBy(*group, bin_of(F.col("p"), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("correct").cast("double")).alias("accuracy"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from accordia.operators import calibration, ranking
 from accordia.operators.evaluation import confident_wrong, stratified_cap, yields
+from accordia.operators.order import cumulate
 from accordia.operators.ranking import unpivot
 from accordia.operators.records import slice_outcomes
+from accordia.operators.tables import written
 
 # Why a metric is undefined.
 NO_SCORED_ITEMS = "no_items_with_a_score_and_a_label"
@@ -39,23 +41,35 @@ def score_cells(items: DataFrame, slices: list[str], methods: list[str], unimple
     items: slice, ord, correct (0, 1 or null), harm (null if unknown) and a column of uncertainty for each method; those in
     `unimplemented` need none. Ranking metrics need both classes and more than one score, calibration metrics scores within
     0 and 1 and both classes, the harm-weighted risk a class of harm for every item. A slice without items has n_items 0.
+    The scores are written once, as a long table of which each metric is one pass.
     """
     spark = items.sparkSession
     made = [m for m in methods if m not in unimplemented]
     long = unpivot(items, ["slice", "ord", "correct", "harm"], made).where("correct is not null and not isnan(u) and abs(u) < double('inf')")
-    long = long.where(F.col("slice").isin(*slices)).withColumn("p", 1 - F.col("u"))
+    long = written(long.where(F.col("slice").isin(*slices)).withColumn("p", 1 - F.col("u")), "scores")
     base = long.groupBy(*CELL).agg(
         F.count("*").alias("n_scored"), F.sum("correct").cast("long").alias("n_correct"), F.min("u").alias("u_min"), F.max("u").alias("u_max"),
         F.sum(F.col("harm").isNull().cast("int")).alias("_no_harm"), F.bool_and(F.col("u").between(0.0, 1.0)).alias("_unit"),
     )
-    at_half = ranking.risk_at(long, CELL, [coverage]).select(*CELL, F.col("risk").alias("selective_risk"))
-    inside = long.join(base.where("_unit").select(*CELL), CELL, "left_semi")
-    harmed = inside.join(base.where("_no_harm = 0").select(*CELL), CELL, "left_semi")
-    weighted = calibration.selective_risk(harmed, CELL, [coverage]).select(*CELL, F.col("risk").alias("harm_weighted_risk"))
+    # One order gives the curve, its area, the risk at the coverage and the harm-weighted one; reasons hide what is undefined.
+    weighted = long.withColumn("_w", calibration.harm_weight(F.col("harm")))
+    wrong = 1 - F.col("correct")
+    run = cumulate(weighted, CELL, "u", [F.col("ord")], {"k": F.lit(1), "errors": wrong, "sw": F.col("_w"), "se": F.col("_w") * wrong})
+    run = run.join(base.select(*CELL, F.col("n_scored").alias("_n"), F.col("n_correct").alias("_r")), CELL)
+    risk, x = F.col("errors") / F.col("k"), F.round(F.greatest(F.lit(coverage) * F.col("_n"), F.lit(1.0)), 9)
+    at = lambda k, value: F.max(F.when(F.col("k") == k, value))
+    accepted = F.greatest(F.lit(1), F.ceil(F.round(F.lit(coverage) * F.col("_n"), 9)))
+    curve = run.groupBy(*CELL).agg(
+        F.avg(risk).alias("_aurc"), F.avg(F.greatest(F.col("k") - F.col("_r"), F.lit(0)) / F.col("k")).alias("_best"), F.first(x).alias("_x"), at(F.floor(x), risk).alias("_lo"),
+        at(F.least(F.ceil(x), F.col("_n")), risk).alias("_hi"), at(accepted, F.col("se") / F.col("sw")).alias("harm_weighted_risk"), F.first((F.col("_n") - F.col("_r")) / F.col("_n")).alias("_random"),
+    )
+    curve = curve.select(
+        *CELL, F.when(F.col("_random") > F.col("_best"), (F.col("_random") - F.col("_aurc")) / (F.col("_random") - F.col("_best"))).alias("normalized_aurc"),
+        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_x") - F.floor("_x"))).alias("selective_risk"), "harm_weighted_risk",
+    )
     parts = [
-        ranking.auroc(long, CELL).select(*CELL, "auroc"), ranking.auprc(long, CELL), ranking.aurc(long, CELL).select(*CELL, F.col("norm").alias("normalized_aurc")), at_half,
-        calibration.calibration_error(inside, CELL, 5).withColumnRenamed("ece", "ace_5bin"), calibration.calibration_error(inside, CELL, 10).withColumnRenamed("ece", "ece_10bin"),
-        calibration.scores(inside, CELL).select(*CELL, "brier"), weighted, confident_wrong(long, CELL).select(*CELL, "cut", "confident_wrong"),
+        curve, ranking.auroc(long, CELL).select(*CELL, "auroc"), ranking.auprc(long, CELL), calibration.all_scores(long, CELL).select(*CELL, "ace_5bin", "ece_10bin", "brier"),
+        confident_wrong(long, CELL).select(*CELL, "cut", "confident_wrong"),
     ]
     out = spark.createDataFrame([(s, m, i) for s in slices for i, m in enumerate(methods)], "slice string, method string, place int")
     out = out.join(items.groupBy("slice").agg(F.count("*").alias("n_items")), "slice", "left").join(base, CELL, "left")

@@ -286,21 +286,41 @@ def _sorted_samples(samples: DataFrame, *columns: str) -> DataFrame:
     return samples.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("samples"))
 
 
-def greedy_clusters(samples: DataFrame, similar: Callable[[str, str], float], threshold: float) -> DataFrame:
-    """item_id, pos, label: each sample joins the first cluster whose first member is similar both ways, else founds one."""
+def greedy_labels(units: list[tuple[int, object]], similar: Callable[[object, object], float], threshold: float) -> list[int]:
+    """A label for each unit, in order: the first leader that is similar both ways, else a new one."""
+    leaders: list[object] = []
+    labels = []
+    for _, x in units:
+        found = next((i for i, lead in enumerate(leaders) if similar(lead, x) >= threshold and similar(x, lead) >= threshold), len(leaders))
+        if found == len(leaders):
+            leaders.append(x)
+        labels.append(found)
+    return labels
+
+
+def greedy_clusters(samples: DataFrame, similar: Callable[[object, object], float], threshold: float, prepare: Callable[[str], object] = str) -> DataFrame:
+    """item_id, pos, label: each sample joins the first cluster whose first member is similar both ways, else founds one.
+
+    An item's equal texts are one unit, compared once, at their first place: it costs different texts times clusters,
+    however many samples there are. (A text that is not similar to itself founds a cluster each time.) prepare is done
+    once a text; similar gets what it returns. A null text is empty.
+    """
 
-    def label(item: dict) -> list[int]:
-        leaders: list[str] = []
-        labels = []
-        for x in item["samples"]:
-            text = x["text"]
-            found = next((i for i, lead in enumerate(leaders) if similar(lead, text) >= threshold and similar(text, lead) >= threshold), len(leaders))
-            if found == len(leaders):
-                leaders.append(text)
-            labels.append(found)
-        return labels
-
-    return _by_item(_sorted_samples(samples, "text"), label)
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for item, texts in zip(batch["item_id"], batch["texts"], strict=True):
+                units = []
+                for t in texts:
+                    x, places = prepare(t["text"]), sorted(t["places"])
+                    units += [(places, x)] if similar(x, x) >= threshold else [([p], x) for p in places]
+                units.sort(key=lambda u: u[0][0])
+                labels = greedy_labels([(u[0][0], u[1]) for u in units], similar, threshold)
+                out += sorted((item, p, y) for (places, _), y in zip(units, labels, strict=True) for p in places)
+            yield pd.DataFrame(out, columns=["item_id", "pos", "label"])
+
+    texts = samples.groupBy("item_id", F.coalesce("text", F.lit("")).alias("text")).agg(F.collect_list("pos").alias("places"))
+    return texts.groupBy("item_id").agg(F.collect_list(F.struct("text", "places")).alias("texts")).mapInPandas(run, "item_id long, pos int, label int")
 
 
 def merge_typed(keys: list[str], label: dict[tuple[int, int], str], score: dict[tuple[int, int], float], tau: float) -> list[int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Relation labels, those that merge answers, and those that keep them apart.
@@ -17,14 +17,15 @@ BLOCK = ("DIFFERENT_PROVISION", "AMBIGUOUS", "CONTRADICTORY")
 def pairs(samples: DataFrame, most: int | None = None) -> DataFrame:
     """item_id, i, j with both keys and texts for i < j of an item; with most, its first usable pairs (two known keys)."""
     own = samples.select("item_id", "pos", "key", "text")
+    if most is not None:  # the first pairs are of the first most + 1 samples with a key
+        place = F.row_number().over(Window.partitionBy("item_id").orderBy("pos"))
+        own = own.where("key <> 'NONE'").withColumn("_place", place).where(F.col("_place") <= most + 1).drop("_place")
     a, b = own.alias("a"), own.alias("b")
     met = a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.pos") < F.col("b.pos")))
     met = met.select(F.col("a.item_id").alias("item_id"), F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.col("a.key").alias("key_i"), F.col("b.key").alias("key_j"), F.col("a.text").alias("text_i"), F.col("b.text").alias("text_j"))
     if most is None:
         return met
-    usable = met.where("key_i <> 'NONE' and key_j <> 'NONE'")
-    kept = usable.groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("i", "j", "key_i", "key_j", "text_i", "text_j"))), 1, most).alias("p"))
-    return kept.select("item_id", F.inline("p"))
+    return met.withColumn("_place", F.row_number().over(Window.partitionBy("item_id").orderBy("i", "j"))).where(F.col("_place") <= most).drop("_place")
 
 
 def deduplicated(p: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordia.operators import calibration, fits
-from accordia.operators.calibration import map_predict, platt_predict
+from accordia.operators import calibration, fits, maps
 from accordia.operators.lineage import Blindness
+from accordia.operators.tables import written
 
 ISOTONIC_LEAST, FIT_LEAST, STRATUM_LEAST = 40, 10, 30
 TARGET, WALD_Z = 0.80, 1.96
@@ -31,41 +31,45 @@ def fit_status(rows: DataFrame, least: int = FIT_LEAST, isotonic: int = ISOTONIC
     return agg.withColumn("status", status).withColumn("method", F.when(F.col("status") == "fitted", method_by_size(n, isotonic)))
 
 
-def _predicted(rows: DataFrame, training: DataFrame, method: str, by: list[str]) -> DataFrame:
-    """rows (by, x) with p by the maps of the same `by` columns, fitted on training (by, x, correct)."""
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in by]).alias("stratum")
-    others = [c for c in rows.columns if c != "stratum"]
-    keyed = rows.select(*others, F.struct(*[F.col(c) for c in by]).alias("_own"), key)
-    if method == "isotonic":
-        found = map_predict(keyed, fits.isotonic_maps(training, by).select(key, "x", "y"))
-    else:
-        found = keyed.join(fits.platt_maps(training, by).select(key, "slope", "intercept"), "stratum").withColumn("p", platt_predict(F.col("x"), F.col("slope"), F.col("intercept"))).drop("slope", "intercept")
-    kept = [F.col(f"_own.{c}").alias(c) if c == "stratum" else F.col(c) for c in rows.columns]
-    return found.select(*kept, "p")
+def _key(by: list[str]) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in by])
 
 
-def cross_fitted(rows: DataFrame, method: str, k: int) -> DataFrame:
-    """rows (stratum, fold, x, correct, ...) with p from the map of the other folds; none where these have one class."""
+def _predicted(rows: DataFrame, training: DataFrame, methods: tuple[str, ...], by: list[str]) -> DataFrame:
+    """rows (by, x) with a column for each method: p by the maps of the same `by` columns, fitted on training (by, x, correct); null without a map."""
+    out = rows.withColumn("_by", _key(by))
+    named = _key(by).alias("stratum")
+    for method in methods:
+        if method == "isotonic":
+            registry = maps.isotonic_registry(fits.isotonic_maps(training, by).select(named, "x", "y"))
+        else:
+            registry = maps.platt_registry(fits.platt_maps(training, by).select(named, "slope", "intercept"))
+        out = maps.apply_maps(out, written(registry, "maps"), "_by", how="left").withColumnRenamed("p", method)
+    return out.drop("_by")
+
+
+def cross_fitted(rows: DataFrame, methods: tuple[str, ...], k: int) -> DataFrame:
+    """rows (stratum, fold, x, correct, ...) with a column for each method: p from the map of the other folds, null where these have one class."""
     training = rows.select("stratum", "fold", "x", "correct").withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("fold <> _out")
-    held = rows.withColumn("_out", F.col("fold"))
-    return _predicted(held, training.drop("fold"), method, ["stratum", "_out"]).drop("_out")
+    return _predicted(rows.withColumn("_out", F.col("fold")), training.drop("fold"), methods, ["stratum", "_out"]).drop("_out")
 
 
 def fit_strata(development: DataFrame, k: int = 5, least: int = FIT_LEAST, isotonic: int = ISOTONIC_LEAST) -> tuple[DataFrame, DataFrame]:
     """(a row a stratum: fit_status, and metrics of cross-fitted p by its method and, to compare, by the other; those p).
 
-    development: stratum, fold, item_id, x, correct.
+    development: stratum, fold, item_id, x, correct. Both maps are fitted once and predictions written, as one long table of
+    which one aggregate takes all metrics.
     """
+    development = written(development.select("stratum", "fold", "item_id", "x", "correct"), "development")
     status = fit_status(development, least, isotonic)
     fitted = development.where(usable(F.col("x"))).join(status.where("status = 'fitted'").select("stratum", F.col("method").alias("_method")), "stratum")
-    both = {m: cross_fitted(fitted, m, k) for m in ("isotonic", "platt")}
-    own = both["isotonic"].where("_method = 'isotonic'").unionByName(both["platt"].where("_method = 'platt'"))
-    other = both["isotonic"].where("_method = 'platt'").unionByName(both["platt"].where("_method = 'isotonic'"))
-    out = status.join(calibration.scores(own, ["stratum"]).withColumnRenamed("n", "n_cross_fitted"), "stratum", "left")
-    out = out.join(calibration.calibration_error(own, ["stratum"], 5).withColumnRenamed("ece", "ace_5bin"), "stratum", "left")
-    out = out.join(calibration.calibration_error(own, ["stratum"], 10).withColumnRenamed("ece", "ece_10bin"), "stratum", "left")
-    out = out.join(calibration.calibration_error(other, ["stratum"], 5).withColumnRenamed("ece", "other_ace_5bin"), "stratum", "left")
-    return out, own.drop("_method")
+    met = cross_fitted(fitted, ("isotonic", "platt"), k)
+    roles = F.array(*[F.struct(F.lit(role).alias("_role"), F.when((F.col("_method") == "isotonic") == own, F.col("isotonic")).otherwise(F.col("platt")).alias("p")) for role, own in (("own", True), ("other", False))])
+    long = written(met.select("stratum", "fold", "item_id", "x", "correct", F.inline(roles)).where("p is not null"), "predictions")
+    found = calibration.all_scores(long, ["stratum", "_role"])
+    own = found.where("_role = 'own'").select("stratum", F.col("n").alias("n_cross_fitted"), "brier", "log_loss", "ace_5bin", "ece_10bin")
+    other = found.where("_role = 'other'").select("stratum", F.col("ace_5bin").alias("other_ace_5bin"))
+    return status.join(own, "stratum", "left").join(other, "stratum", "left"), long.where("_role = 'own'").drop("_role")
 
 
 def attach_probabilities(rows: DataFrame, development: DataFrame, least: int = FIT_LEAST, isotonic: int = ISOTONIC_LEAST) -> DataFrame:
@@ -76,11 +80,9 @@ def attach_probabilities(rows: DataFrame, development: DataFrame, least: int = F
     named = named.withColumn("calibration_status", state)
     ready = named.where("calibration_status = 'calibrated'")
     training = development.where(usable(F.col("x"))).select("stratum", "x", "correct").join(status, "stratum")
-    out = named.where("calibration_status <> 'calibrated'").withColumn("p", F.lit(None).cast("double"))
-    for method in ("isotonic", "platt"):
-        mine = F.col("_method") == method
-        out = out.unionByName(_predicted(ready.where(mine), training.where(mine), method, ["stratum"]))
-    return out.drop("_method")
+    met = _predicted(ready, training, ("isotonic", "platt"), ["stratum"])
+    met = met.withColumn("p", F.when(F.col("_method") == "isotonic", F.col("isotonic")).otherwise(F.col("platt"))).drop("isotonic", "platt")
+    return named.where("calibration_status <> 'calibrated'").withColumn("p", F.lit(None).cast("double")).unionByName(met).drop("_method")
 
 
 def coverage_report(holdout: DataFrame, development: DataFrame, target: float = TARGET) -> DataFrame:
@@ -99,6 +101,7 @@ def evaluate(holdout: DataFrame, development: DataFrame, target: float = TARGET)
 
     holdout: stratum, ord, p (null if not calibrated), correct, harm, raw and sample_only (baseline reliabilities; null is 0).
     """
+    holdout, development = written(holdout, "holdout"), written(development, "development")
     scored = holdout.where("p is not null")
     by = ["stratum"]
     right = F.sum(F.when(F.col("p").isNotNull(), F.col("correct")))
@@ -106,11 +109,11 @@ def evaluate(holdout: DataFrame, development: DataFrame, target: float = TARGET)
     n, r = F.col("n_scored"), F.col("n_correct")
     status = F.when((r == 0) | (r == n), "not_evaluable_single_class_holdout").otherwise("evaluated")
     out = out.withColumn("status", F.when(n == 0, "not_evaluable_no_calibrated_scores").otherwise(status)).withColumn("both_classes", (r > 0) & (r < n))
-    out = out.join(calibration.calibration_error(scored, by, 5).withColumnRenamed("ece", "ace_5bin"), by, "left").join(calibration.calibration_error(scored, by, 10).withColumnRenamed("ece", "ece_10bin"), by, "left")
-    out = out.join(calibration.scores(scored, by).drop("n"), by, "left")
-    for name, column in (("risk", "p"), ("risk_raw", "raw"), ("risk_sample_only", "sample_only")):
-        ranked = scored.withColumn("p", F.coalesce(F.col(column), F.lit(0.0)))
-        out = out.join(calibration.selective_risk(ranked, by, [0.5]).select("stratum", F.col("risk").alias(name)), by, "left")
+    out = out.join(calibration.all_scores(scored, by).drop("n"), by, "left")
+    # The three scores are ranked together, as methods of one long table.
+    long = scored.withColumn("raw", F.coalesce("raw", F.lit(0.0))).withColumn("sample_only", F.coalesce("sample_only", F.lit(0.0))).select("stratum", "ord", "correct", "harm", F.col("p").alias("own"), "raw", "sample_only")
+    ranked = calibration.selective_risk(long.unpivot(["stratum", "ord", "correct", "harm"], ["own", "raw", "sample_only"], "_method", "p"), ["stratum", "_method"], [0.5])
+    out = out.join(ranked.groupBy("stratum").agg(*[F.max(F.when(F.col("_method") == m, F.col("risk"))).alias(name) for name, m in (("risk", "own"), ("risk_raw", "raw"), ("risk_sample_only", "sample_only"))]), by, "left")
     covered = coverage_report(holdout, development, target).select("stratum", "threshold_status", "coverage", "within_tolerance")
     acted = scored.select("stratum", calibration.decide(F.col("p"), F.col("harm"), F.lit(False))[0].alias("action")).groupBy("stratum")
     actions = acted.agg(*[F.count(F.when(F.col("action") == a, 1)).alias(a) for a in ("answer", "verify", "abstain")])
@@ -146,13 +149,11 @@ def candidates(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
     rows: by, fold, item_id, x (a reliability), correct. All candidates are measured on the rows that every one has.
     """
     keyed = rows.withColumn("stratum", F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("pooled"))
-    keyed = keyed.where(usable(F.col("x"))).select("stratum", *by, "fold", "item_id", F.least(F.greatest(F.col("x"), F.lit(0.0)), F.lit(1.0)).alias("x"), "correct")
+    keyed = written(keyed.where(usable(F.col("x"))).select("stratum", *by, "fold", "item_id", F.least(F.greatest(F.col("x"), F.lit(0.0)), F.lit(1.0)).alias("x"), "correct"), "keyed")
     folds = keyed.groupBy("stratum", "fold").agg(F.sum("correct").alias("_r"), F.count("*").alias("_c"))
     total = keyed.groupBy("stratum").agg(F.sum("correct").alias("_all_right"), F.count("*").alias("_all"))
     constant = folds.join(total, "stratum").select("stratum", "fold", F.try_divide(F.col("_all_right") - F.col("_r"), F.col("_all") - F.col("_c")).alias("constant"))
-    wide = keyed.join(constant, ["stratum", "fold"])
-    for method in ("platt", "isotonic"):
-        wide = wide.join(cross_fitted(keyed, method, k).select("stratum", "item_id", F.col("p").alias(method)), ["stratum", "item_id"])
+    wide = cross_fitted(keyed, ("platt", "isotonic"), k).join(constant, ["stratum", "fold"]).where("platt is not null and isotonic is not null")
     long = wide.where("constant is not null").withColumn("raw", F.col("x")).unpivot(["stratum", *by, "correct"], ["raw", "constant", "platt", "isotonic"], "candidate", "p")
     group = [*by, "candidate"]
-    return calibration.scores(long, group).join(calibration.calibration_error(long, group, 5).withColumnRenamed("ece", "ace_5bin"), group)
+    return calibration.all_scores(long, group).drop("ece_10bin")

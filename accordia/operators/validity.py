@@ -132,8 +132,8 @@ def context(samples: DataFrame, statutes: DataFrame, day: Column) -> DataFrame:
 
 
 def index_stats(statutes: DataFrame) -> DataFrame:
-    """One row: rows, distinct keys, rows without an end, and the sorted keys."""
-    return statutes.agg(F.count("*").alias("n_rows"), F.count_distinct("statute").alias("n_keys"), F.sum(F.col("end").isNull().cast("long")).alias("open_rows"), F.array_join(F.sort_array(F.collect_set("statute")), ",").alias("keys"))
+    """One row: rows, distinct keys, rows without an end, and the first and last key."""
+    return statutes.agg(F.count("*").alias("n_rows"), F.count_distinct("statute").alias("n_keys"), F.coalesce(F.sum(F.col("end").isNull().cast("long")), F.lit(0)).alias("open_rows"), F.min("statute").alias("first_key"), F.max("statute").alias("last_key"))
 
 
 def era_day(slice_: Column, eras: dict[str, str], fixed: str) -> Column:

@@ -61,6 +61,14 @@ def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"{old} UNION ALL {new}")
 
 
+def part_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two statutes a part: of the old act until 1997-07-01, of the new one since, the even ones as a subsection."""
+    k = F.col("p_partkey")
+    old = F.struct(F.concat(F.lit("IPC "), k).alias("statute"), F.lit("1862-01-01").cast("timestamp").alias("begin"), F.lit("1997-07-01").cast("timestamp").alias("end"))
+    new = F.struct(F.concat(F.lit("BNS "), k, F.when(k % 2 == 0, "(1)").otherwise("")), F.lit("1997-07-01").cast("timestamp"), F.lit(None).cast("timestamp"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.inline(F.array(old, new.cast("struct<statute:string,begin:timestamp,end:timestamp>"))))
+
+
 def statute_links(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT concat('IPC ', id) AS `from`, concat('BNS ', id) AS `to` FROM range(1, 4)")
 
@@ -79,6 +87,8 @@ CTE = {
         FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)""",
     "statutes": """statutes AS (SELECT 'IPC ' || i AS statute, TIMESTAMP '1862-01-01' AS "begin", TIMESTAMP '1997-07-01' AS "end" FROM range(1, 5) t(i)
         UNION ALL SELECT 'BNS ' || i || CASE WHEN i % 2 = 0 THEN '(1)' ELSE '' END, TIMESTAMP '1997-07-01', NULL FROM range(1, 7) t(i))""",
+    "part_statutes": """part_statutes AS (SELECT p_partkey AS k, 'IPC ' || p_partkey AS statute, TIMESTAMP '1862-01-01' AS "begin", TIMESTAMP '1997-07-01' AS "end" FROM part
+        UNION ALL SELECT p_partkey, 'BNS ' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '(1)' ELSE '' END, TIMESTAMP '1997-07-01', NULL FROM part)""",
     "resolved": """resolved AS (SELECT s.*, coalesce(x.statute, y.statute) AS statute, coalesce(x."begin", y."begin") AS "begin", CASE WHEN x.statute IS NULL THEN y."end" ELSE x."end" END AS "end"
         FROM samples s LEFT JOIN statutes x ON s.key = x.statute LEFT JOIN (SELECT split_part(statute, '(', 1) AS b, min(statute) AS statute, min("begin") AS "begin", min("end") AS "end" FROM statutes GROUP BY 1) y ON s.key = y.b)""",
     "counts": "counts AS (SELECT item_id, key, count(*) AS c FROM samples GROUP BY ALL)",

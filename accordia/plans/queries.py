@@ -539,14 +539,17 @@ def judge_verdicts(spark, d):
     return s.select("item_id", "pos", v.alias("v")).select("item_id", "pos", "v.correct", "v.label")
 
 
-def _alike(a: str, b: str) -> float:
-    x, y = set(a.lower().split()), set(b.lower().split())
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.lower().split())
+
+
+def _alike(x: frozenset[str], y: frozenset[str]) -> float:
     return len(x & y) / max(len(x), len(y)) if x and y else 0.0
 
 
 @query()
 def greedy_clusters(spark, d):
-    return fits.greedy_clusters(I.samples(spark, d), _alike, 0.8)
+    return fits.greedy_clusters(I.samples(spark, d), _alike, 0.8, _words)
 
 
 @query()

@@ -374,9 +374,9 @@ def merge_effect(spark, d):
     return relations.merge_effect(relations.typed_stats(s), A.profile(s))
 
 
-@query(sql("statutes", "SELECT count(*) AS n_rows, count(DISTINCT statute) AS n_keys, sum((\"end\" IS NULL)::INT)::BIGINT AS open_rows, string_agg(DISTINCT statute, ',' ORDER BY statute) AS keys FROM statutes"))
+@query(sql("part_statutes", 'SELECT count(*) AS n_rows, count(DISTINCT statute) AS n_keys, count(*) FILTER (WHERE "end" IS NULL) AS open_rows, min(statute) AS first_key, max(statute) AS last_key FROM part_statutes'))
 def statute_index(spark, d):
-    return validity.index_stats(I.statutes(spark, d))
+    return validity.index_stats(I.part_statutes(spark, d))
 
 
 @query(sql("samples statutes", """, x AS (SELECT item_id, pos, CASE item_id % 3 WHEN 0 THEN TIMESTAMP '1990-01-01' WHEN 1 THEN TIMESTAMP '2001-01-01' ELSE TIMESTAMP '1998-01-01' END AS day, key FROM samples WHERE key <> 'NONE') SELECT item_id % 3 AS slice, state, count(*) AS n FROM (SELECT x.item_id, CASE WHEN s.statute IS NULL THEN 'unknown' WHEN s."begin" <= day AND (s."end" IS NULL OR day < s."end") THEN 'in_force' ELSE 'not_in_force' END AS state
@@ -480,12 +480,33 @@ def candidate_violations(spark, d):
     return W.candidate_violations(items, ["item_id", "slice", "question"], ("L1", "L7"))
 
 
-@query(sql("statutes", """, w AS (SELECT * FROM statutes UNION ALL SELECT 'ipc  2', TIMESTAMP '1862-01-01', NULL), s AS (SELECT upper(trim(regexp_replace(statute, '\\s+', ' ', 'g'))) AS key, "begin", "end" FROM w), l AS (SELECT * FROM (VALUES ('IPC 1', 'BNS 1'), ('BNS 1', 'IPC 1'), ('IPC 3', 'BNS 3'), ('IPC 4', 'BNS 44')) v(f, t))
-    SELECT key, 'duplicate' AS rule FROM s GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT f, 'unknown link' FROM l WHERE t NOT IN (SELECT key FROM s) UNION ALL SELECT f, 'one-sided link' FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.f = l.t AND m.t = l.f) UNION ALL SELECT trim(split_part(key, '(', 1)), 'different windows' FROM s GROUP BY 1 HAVING count(DISTINCT ("begin", coalesce("end", TIMESTAMP '9999-01-01'))) > 1"""))
+LINKS = """, l AS (
+    SELECT 'IPC ' || p_partkey AS f, 'BNS ' || p_partkey || CASE WHEN p_partkey % 50 = 7 THEN '9999' WHEN p_partkey % 2 = 0 THEN '(1)' ELSE '' END AS t FROM part
+    UNION ALL SELECT 'BNS ' || p_partkey, 'IPC ' || p_partkey FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 2 = 1
+),
+s AS (SELECT statute AS key, "begin", "end" FROM part_statutes UNION ALL SELECT 'IPC ' || p_partkey, TIMESTAMP '1862-01-01', NULL FROM part WHERE p_partkey % 20 = 2)"""
+
+
+@query(
+    sql(
+        "part_statutes",
+        LINKS
+        + """
+SELECT key, 'duplicate' AS rule FROM s GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT f, 'unknown link' FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.key = t)
+UNION ALL SELECT f, 'one-sided link' FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.f = l.t AND m.t = l.f)
+UNION ALL SELECT split_part(key, '(', 1), 'different windows' FROM s GROUP BY 1 HAVING count(DISTINCT ("begin", coalesce("end", TIMESTAMP '9999-01-01'))) > 1""",
+    )
+)
 def link_violations(spark, d):
-    more = spark.sql("SELECT 'ipc  2' AS statute, timestamp'1862-01-01' AS begin, cast(null AS timestamp) AS end")
-    links = spark.createDataFrame([("IPC 1", "BNS 1"), ("BNS 1", "IPC 1"), ("IPC 3", "BNS 3"), ("IPC 4", "BNS 44")], "`from` string, `to` string")
-    return W.link_violations(I.statutes(spark, d).unionByName(more), links)
+    """A statute a part: a part of them twice, links to unknown ones, and links that few answer."""
+    k = F.col("p_partkey")
+    parts = I.table(spark, d, "part")
+    name = lambda act, more="": F.concat(F.lit(act), k, F.lit(more) if isinstance(more, str) else more)
+    end = F.when(k % 50 == 7, "9999").when(k % 2 == 0, "(1)").otherwise("")
+    links = parts.select(name("IPC ").alias("from"), name("BNS ", end).alias("to")).unionByName(parts.where((k % 3 == 1) & (k % 2 == 1)).select(name("BNS ").alias("from"), name("IPC ").alias("to")))
+    twice = parts.where(k % 20 == 2).select(name("ipc  ").alias("statute"), F.lit("1862-01-01").cast("timestamp").alias("begin"), F.lit(None).cast("timestamp").alias("end"))
+    return W.link_violations(I.part_statutes(spark, d).drop("k").unionByName(twice), links)
 
 
 @query("""WITH p AS (SELECT DISTINCT 'IPC ' || p_size AS o, 'BNS ' || p_size // 2 AS n FROM part) SELECT DISTINCT * FROM (SELECT o AS statute, TIMESTAMP '1862-01-01' AS "begin", TIMESTAMP '2024-07-01' AS "end" FROM p UNION ALL SELECT n, TIMESTAMP '2024-07-01', NULL FROM p)""")
@@ -521,11 +542,13 @@ def slice_outcomes(spark, d):
     return W.slice_outcomes(items)
 
 
-@query(sql("statutes", """, s AS (SELECT *, row_number() OVER (ORDER BY statute) AS k FROM statutes) SELECT statute, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE k % 3 = 0 END AS verified FROM s"""))
+@query(sql("part_statutes", " SELECT statute, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE k % 3 = 0 END AS verified FROM part_statutes"))
 def applied_checklist(spark, d):
-    rows = I.statutes(spark, d).withColumn("k", F.row_number().over(Window.orderBy("statute")))
-    answers = rows.select(F.lower("statute").alias("key"), F.when(F.col("k") % 4 == 0, " Yes").when(F.col("k") % 4 == 1, "NO").when(F.col("k") % 4 == 2, "perhaps").alias("verified")).unionByName(spark.createDataFrame([("XYZ 1", "yes")], "key string, verified string"))
-    return W.apply_checklist(rows.withColumn("verified", F.col("k") % 3 == 0), answers).select("statute", "verified")
+    """Answers to a checklist of all statutes: yes, no, one that is neither, and none; one is of an unknown statute."""
+    rows, k = I.part_statutes(spark, d), F.col("k")
+    said = F.when(k % 4 == 0, " Yes").when(k % 4 == 1, "NO").when(k % 4 == 2, "perhaps")
+    answers = rows.select(F.lower("statute").alias("key"), said.alias("verified")).unionByName(spark.createDataFrame([("XYZ 1", "yes")], "key string, verified string"))
+    return W.apply_checklist(rows.withColumn("verified", k % 3 == 0), answers).select("statute", "verified")
 
 
 @query("SELECT md5(text) AS h FROM (SELECT DISTINCT t AS text FROM (SELECT trim(text, ' ') AS t FROM benchmark UNION ALL SELECT trim(text, ' ') FROM documents) WHERE t <> '')")

@@ -8,7 +8,7 @@ import pytest
 
 from accordia.operators import fits
 from accordia.plans import inputs
-from accordia.plans.queries import QUERIES, _alike
+from accordia.plans.queries import QUERIES, _alike, _words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,7 +61,7 @@ def test_clusters_of_all_samples(spark, items):
     for item, s in items.items():
         leaders = []
         for pos, (_, text) in enumerate(s):
-            found = next((i for i, lead in enumerate(leaders) if _alike(lead, text) >= 0.8), len(leaders))
+            found = next((i for i, lead in enumerate(leaders) if _alike(_words(lead), _words(text)) >= 0.8), len(leaders))
             leaders += [text] * (found == len(leaders))
             greedy[item, pos] = found
         pairs = list(combinations(range(len(s)), 2))
