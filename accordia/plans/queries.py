@@ -15,6 +15,7 @@ from accordia.operators import bootstrap as B
 from accordia.operators import calibration as C
 from accordia.operators import evaluation as E
 from accordia.operators import fits, ranking, relations, risk, validity, warrant
+from accordia.plans import fit_sql
 from accordia.plans import inputs as I
 from accordia.plans.inputs import sql
 from accordia.sources import runs
@@ -39,6 +40,10 @@ def query(oracle: str | None = None):
     return add
 
 
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def R(x: str) -> str:
     return f"round(({x})::DOUBLE, {PLACES}) + 0.0"
 
@@ -558,23 +563,36 @@ def typed_clusters(spark, d):
     return fits.typed_clusters(I.samples(spark, d), p, 0.5)
 
 
-@query()
+@query(sql("scored", f""", rows_ AS (SELECT slice, p AS x, correct FROM scored), {fit_sql.isotonic("rows_", "slice")}
+SELECT slice, {R("x")} AS x, {R("y")} AS y FROM knots"""))
 def isotonic_fit(spark, d):
     return fits.isotonic_maps(I.scored(spark, d).withColumn("x", F.col("p")), ["slice"])
 
 
-@query()
+@query(recursive(sql("scored", f""", rows_ AS (SELECT slice, p AS x, correct FROM scored), {fit_sql.platt("rows_", "slice")}
+SELECT slice, {R("slope")} AS slope, {R("intercept")} AS intercept, n FROM lines""")))
 def platt_fit(spark, d):
     return fits.platt_maps(I.scored(spark, d).withColumn("x", F.col("p")), ["slice"])
 
 
-@query()
+@query(
+    sql(
+        "scored",
+        f""", groups_ AS (SELECT g, (row_number() OVER (ORDER BY sha256('5|' || g), g) - 1) % least(4, count(*) OVER ()) AS fold FROM (SELECT DISTINCT slice || '|' || topic AS g FROM scored)),
+folded AS (SELECT item_id, slice, fold, p AS x, correct FROM scored JOIN groups_ ON g = slice || '|' || topic),
+others AS (SELECT slice || '|' || o AS g, x, correct FROM folded, range(4) r(o) WHERE fold <> o),
+enough AS (SELECT g FROM others GROUP BY g HAVING count(*) >= 10),
+rows_ AS (SELECT * FROM others SEMI JOIN enough USING (g)), {fit_sql.isotonic("rows_", "g")}, {fit_sql.STRETCHES.format(by="g")}
+SELECT item_id, slice, fold, {R(fit_sql.BETWEEN.format(x="f.x"))} AS p FROM folded f JOIN stretches t ON g = slice || '|' || fold AND f.x >= low AND f.x < high""",
+    )
+)
 def cross_fit(spark, d):
     rows = risk.folds(I.scored(spark, d), F.concat_ws("|", "slice", "topic"), 4, 5).withColumn("x", F.col("p")).drop("p")
     return fits.cross_fit(rows, "slice", "fold", 4).select("item_id", "slice", "fold", "p")
 
 
-@query()
+@query(recursive(sql("scored", f""", rows_ AS (SELECT u, (n_chars % 17) / 17 AS v, u * ((n_chars % 17) / 17) AS uv, 1 - correct AS y FROM scored), {fit_sql.monotone("rows_", ["u", "v", "uv"])}
+SELECT term, {R("weight")} AS weight FROM weights_""")))
 def monotone_fit(spark, d):
     rows = I.scored(spark, d).select(F.col("u"), ((F.col("n_chars") % 17) / 17).alias("v"), (1 - F.col("correct")).alias("wrong"))
     bias, w = fits.fit_risk(rows, [F.col("u"), F.col("v"), F.col("u") * F.col("v")], "wrong")
@@ -600,7 +618,8 @@ def bootstrap_ci(spark, d):
     return C.replicate_summary(every, ["what"]).join(B.intervals(every, ["what"]).select("what", "p_le_zero", "excludes_zero"), "what")
 
 
-@query()
+@query(recursive(sql("scored", f""", hit AS (SELECT slice, sum(correct)::BIGINT AS hits, count(*) AS n FROM scored GROUP BY slice), {fit_sql.exact_low("hit", "slice")}
+SELECT slice, hits, n, {R("exact_low")} AS exact_low FROM bounds""")))
 def exact_bounds(spark, d):
     rows = I.scored(spark, d).groupBy("slice").agg(F.sum("correct").alias("hits"), F.count("*").alias("n"))
     return fits.exact_lower_bounds(rows, "hits", "n")

@@ -13,9 +13,10 @@ from accordia.operators import calibration as C
 from accordia.operators import cells, fits, lineage, ranking, relations, risk, strata, validity, warrant
 from accordia.operators import evaluation as E
 from accordia.operators import records as W
+from accordia.plans import fit_sql
 from accordia.plans import inputs as I
 from accordia.plans.inputs import sql
-from accordia.plans.queries import FLAGS, HIGH, LOW, ORACLE, PAIRS, QUERIES, R, _ruled, _warrant, query
+from accordia.plans.queries import FLAGS, HIGH, LOW, ORACLE, PAIRS, QUERIES, R, _ruled, _warrant, query, recursive
 from accordia.sources import runs
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -127,7 +128,21 @@ def fit_strata(spark, d):
     return strata.fit_strata(_parted(spark, d).where("dev").select("stratum", "fold", "item_id", "x", "correct"))[0]
 
 
-@query()
+@query(
+    recursive(
+        sql(
+            "scored",
+            DEV
+            + f""", rows_ AS (SELECT stratum, x, correct FROM parted WHERE dev AND x IS NOT NULL),
+state AS (SELECT stratum, count(*) AS n, sum(correct) AS r FROM rows_ GROUP BY stratum),
+fitted_ AS (SELECT stratum, CASE WHEN n >= 40 THEN 'isotonic' ELSE 'platt' END AS method FROM state WHERE r > 0 AND r < n AND n >= 10),
+{fit_sql.isotonic("rows_", "stratum")}, {fit_sql.tagged(fit_sql.platt("rows_", "stratum"), "p")}, {fit_sql.STRETCHES.format(by="stratum")}
+SELECT item_id, p.stratum, {R("p.x")} AS x, CASE WHEN method IS NULL THEN 'undefined_stratum_not_calibrated' WHEN p.x IS NULL THEN 'no_score' ELSE 'calibrated' END AS calibration_status,
+       CASE WHEN p.x IS NOT NULL THEN CASE method WHEN 'isotonic' THEN {R(fit_sql.BETWEEN.format(x="p.x"))} WHEN 'platt' THEN {R("1 / (1 + exp(-(slope * least(1.0, greatest(0.0, p.x)) + intercept)))")} END END AS p
+FROM parted p LEFT JOIN fitted_ USING (stratum) LEFT JOIN lines USING (stratum) LEFT JOIN stretches t ON t.stratum = p.stratum AND p.x >= low AND p.x < high""",
+        )
+    )
+)
 def attach_probabilities(spark, d):
     rows = _parted(spark, d)
     return strata.attach_probabilities(rows.select("item_id", "stratum", "x"), rows.where("dev").select("stratum", "x", "correct"))
@@ -400,7 +415,17 @@ def mode_census(spark, d):
     return C.census(rows, ["mode"], "reason")
 
 
-@query()
+@query(
+    recursive(
+        sql(
+            "samples",
+            f""", i AS (SELECT item_id % 6 AS topic, item_id, sum(correct) AS r, count(*) AS c FROM samples GROUP BY 1, 2),
+a AS (SELECT topic, count(*) AS n, sum((r * 2 >= c)::INT) AS hits, sum(r) / sum(c) AS sr FROM i GROUP BY 1), q AS (SELECT *, hits / n AS p FROM a),
+y AS (SELECT topic, n AS items, hits::BIGINT AS hits, sr, {LOW} AS low, {HIGH} AS high FROM q), {fit_sql.needed("y", "topic", "low", 20)}
+SELECT topic, items, hits, {R("sr")} AS sample_rate, {R("low")} AS low, {R("high")} AS high, needed FROM y LEFT JOIN needed_ USING (topic)""",
+        )
+    )
+)
 def items_needed(spark, d):
     """Items that each yield's lower bound asks for, so that 20 are right with 95 % confidence."""
     found = E.yields(I.samples(spark, d).withColumn("topic", F.col("item_id") % 6), ["topic"])
