@@ -23,6 +23,12 @@ def profile(samples: DataFrame, key: str = "key") -> DataFrame:
     )
 
 
+def key_counts(samples: DataFrame, key: str = "key") -> DataFrame:
+    """Per item: counts, a map from each of its keys to how often it comes; a null key is NONE."""
+    counts = samples.groupBy("item_id", F.coalesce(key, F.lit("NONE")).alias("k")).agg(F.count("*").alias("c"))
+    return counts.groupBy("item_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "c")))).alias("counts"))
+
+
 def first_seen(samples: DataFrame, text: str = "text") -> DataFrame:
     """item_id, pos, label: the rank, from 0, in which the normalized text first came up in its item."""
     own = samples.select("item_id", "pos", normalize(F.col(text)).alias("t"))

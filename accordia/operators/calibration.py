@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,12 +131,21 @@ def census(rows: DataFrame, group: list[str], action: str = "action") -> DataFra
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*group)))
 
 
-def harm_class(statutes: DataFrame, topic: str = "topic", harm: str = "harm") -> DataFrame:
-    """Per topic: its class of the largest weight, ties to the first by name."""
-    found = statutes.where(F.col(harm).isNotNull()).groupBy(topic, harm).agg(F.count("*").alias("_n")).withColumn("_w", harm_weight(F.col(harm)))
+def harm_class(statutes: DataFrame, topic: str = "topic", harm: str = "harm", rule: str = "max") -> DataFrame:
+    """Per topic: its class of the largest weight, or, by the rule modal, its most frequent one; ties to the first by name."""
+    if rule not in ("max", "modal"):
+        raise ValueError("the rule is max or modal")
+    found = statutes.where(F.col(harm).isNotNull()).groupBy(topic, harm).agg(F.count("*").alias("_n")).withColumn("_w", harm_weight(F.col(harm)) if rule == "max" else F.col("_n"))
     return found.groupBy(topic).agg(F.min_by(harm, F.struct(-F.col("_w"), F.col(harm))).alias("harm_class"))
 
 
+def z_of(confidence: float) -> float:
+    """The normal quantile that a two-sided interval of this confidence reaches to."""
+    if not 0 < confidence < 1:
+        raise ValueError("a confidence is between 0 and 1")
+    return NormalDist().inv_cdf((1 + confidence) / 2)
+
+
 def normal_interval(p: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     spread = F.lit(z) * F.sqrt(p * (1 - p) / n)
     return clip01(p - spread), clip01(p + spread)

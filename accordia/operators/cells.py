@@ -237,3 +237,18 @@ def pilot_report(items: DataFrame, samples: DataFrame, unresolved: tuple[str, ..
     said = samples.join(fine.select("item_id", "slice"), "item_id").groupBy("slice").agg(F.count("*").alias("n_samples"), F.sum((~F.col("verdict").isin(*unresolved)).cast("long")).alias("n_samples_resolved"))
     out = out.join(said, "slice", "left")
     return out.withColumns({"item_coverage": F.try_divide("resolved", "n"), "sample_coverage": F.try_divide("n_samples_resolved", "n_samples")})
+
+
+def typed_separation(items: DataFrame) -> DataFrame:
+    """Per slice, and pooled, of items (slice, correct, exact_all_same, typed_all_same, typed_entropy): how right unanimous items are by either clustering.
+
+    n_unanimous, and auroc of the typed entropy, among those that exact keys call unanimous (null with one class); the gap in
+    accuracy between unanimous items and others by each clustering, and by how much the typed one's is smaller.
+    """
+    every = items.unionByName(items.withColumn("slice", F.lit("pooled")))
+    alike = every.where("exact_all_same = 1").withColumn("u", F.col("typed_entropy"))
+    area = ranking.auroc(alike, ["slice"]).select("slice", F.col("n").alias("n_unanimous"), "auroc")
+    rate = lambda c: F.avg(F.when(c, F.col("correct").cast("double")))
+    gap = lambda c: rate(F.col(c) == 1) - rate(F.col(c) == 0)
+    gaps = every.groupBy("slice").agg(gap("exact_all_same").alias("exact_gap"), gap("typed_all_same").alias("typed_gap"))
+    return gaps.withColumn("narrowed", F.abs("exact_gap") - F.abs("typed_gap")).join(area, "slice", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
@@ -202,3 +203,25 @@ def markdown(rows: list[dict], columns: list[str], places: int = 3) -> str:
 
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join([*lines, *("| " + " | ".join(shown(r.get(c)) for c in columns) + " |" for r in rows)]) + "\n"
+
+
+def plan_digest(selected: DataFrame, settings: dict[str, object]) -> str:
+    """The SHA-256 of a plan: its settings, and the items (column item_id) that it takes, in any order, each as often as it comes.
+
+    Items are hashed and summed on the executors; a number and a sum come to the driver.
+    """
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col("item_id").cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("decimal(38,0)")
+    n, total = selected.agg(F.count("*"), F.sum(number)).first()
+    return hashlib.sha256(f"{json.dumps(settings, sort_keys=True)}|{n}|{total or 0}".encode()).hexdigest()
+
+
+def approved(selected: DataFrame, settings: dict[str, object], approval: str | None, cost: float, cap: float) -> str:
+    """The digest of a plan that may run: an error if it costs over the cap, was not approved, or is not what was approved."""
+    digest = plan_digest(selected, settings)
+    if cost > cap:
+        raise PermissionError(f"the plan costs {cost} of {cap}")
+    if approval is None:
+        raise PermissionError(f"the plan {digest} was not approved")
+    if approval != digest:
+        raise PermissionError(f"the plan is {digest}, approved was {approval}")
+    return digest

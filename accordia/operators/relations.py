@@ -28,6 +28,16 @@ def pairs(samples: DataFrame, most: int | None = None) -> DataFrame:
     return met.withColumn("_place", F.row_number().over(Window.partitionBy("item_id").orderBy("i", "j"))).where(F.col("_place") <= most).drop("_place")
 
 
+def identity_pairs(samples: DataFrame) -> DataFrame:
+    """item_id, i, j, label, score: each sample with a known key, and the next of its item with the same key, as the same provision.
+
+    These chains make the same components as all pairs of equal keys do, and as many rows as there are samples.
+    """
+    order = Window.partitionBy("item_id", "key").orderBy("pos")
+    linked = samples.where("key <> 'NONE'").select("item_id", F.col("pos").alias("i"), F.lead("pos").over(order).alias("j"))
+    return linked.where("j is not null").select("item_id", "i", "j", F.lit("SAME_PROVISION").alias("label"), F.lit(1.0).alias("score"))
+
+
 def deduplicated(p: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each combination."""
     rest = [c for c in p.columns if c not in by]

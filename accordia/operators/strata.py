@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordia.operators import calibration, fits, maps
+from accordia.operators import calibration, fits, maps, ranking
 from accordia.operators.lineage import Blindness
 from accordia.operators.tables import written
 
@@ -157,3 +157,28 @@ def candidates(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
     long = wide.where("constant is not null").withColumn("raw", F.col("x")).unpivot(["stratum", *by, "correct"], ["raw", "constant", "platt", "isotonic"], "candidate", "p")
     group = [*by, "candidate"]
     return calibration.all_scores(long, group).drop("ece_10bin")
+
+
+def within_slice_arms(items: DataFrame, slice_: str, design: list[Column]) -> DataFrame:
+    """arm (pooled, within), training_n, n, n_correct, auroc, brier: a risk score fitted on all development items, or on the slice's alone.
+
+    items: slice, dev (boolean), correct, and what the design reads. Both arms score the same held-out items of the slice:
+    those with a complete design and a label. Each is fitted anew, on errors; brier takes 1 - risk as the probability of being right.
+    """
+    ready = F.col("correct").isNotNull()
+    for d in design:
+        ready = ready & d.isNotNull()
+    items = written(items.where(ready).withColumn("_wrong", 1 - F.col("correct")), "items")
+    mine = F.col("slice") == slice_
+    held, out = items.where(mine & ~F.col("dev")), None
+    for arm, training in (("pooled", items.where("dev")), ("within", items.where(F.col("dev") & mine))):
+        bias, weights = fits.fit_risk(training, design, "_wrong")
+        z = F.lit(float(bias))
+        for d, w in zip(design, weights.tolist(), strict=True):
+            z = z + d * w
+        u = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))
+        one = held.select(F.lit(arm).alias("arm"), F.lit(training.count()).alias("training_n"), u.alias("u"), "correct")
+        out = one if out is None else out.unionByName(one)
+    area = ranking.auroc(out, ["arm", "training_n"])
+    miss = (1 - F.col("u") - F.col("correct")) * (1 - F.col("u") - F.col("correct"))
+    return area.join(out.groupBy(F.col("arm").alias("_arm")).agg(F.avg(miss).alias("brier")), F.col("arm") == F.col("_arm")).drop("_arm")

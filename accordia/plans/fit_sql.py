@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def isotonic(source: str, by: str) -> str:
     """knots (by, x, y) of the non-decreasing fit of `source` (by, x, correct), by its min-max formula.
@@ -30,10 +32,8 @@ BETWEEN = "least(1.0, greatest(0.0, CASE WHEN x1 IS NULL OR {x} <= x0 THEN y0 EL
 
 
 def tagged(text: str, tag: str) -> str:
-    """text with its inner names told apart from another fit's in the same query."""
-    for name in ("classes", "cells", "walk"):
-        text = text.replace(name, f"{name}_{tag}")
-    return text
+    """text with its inner names told apart from another fit's in the same query: tag_cells for cells, and so on."""
+    return re.sub(r"\b(classes|cells|walk|totals|last_|weights_)\b", rf"{tag}_\1", text)
 
 
 def platt(source: str, by: str, steps: int = 200) -> str:
