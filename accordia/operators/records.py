@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from accordia.functions.text import base_key, normal_key, pair_id, text_hash
 from accordia.operators import agreement
 from accordia.operators.relations import LABELS, deduplicated, pairs
+from accordia.operators.tables import written
 
 # Labels that are kept for later, splits, verifiers, and links that make two provisions one.
 RESERVED = ("OUTDATED_PROVISION", "TEMPORAL_MISMATCH", "JURISDICTION_MISMATCH")
@@ -26,7 +27,9 @@ def records(samples: DataFrame) -> DataFrame:
     Text clusters are those of equal texts; the returned answer is the largest of them, the first among equals, and its
     members' majority decides whether it is right and resolved. Keys give the view by provision.
     """
-    labelled = samples.join(agreement.first_seen(samples).select("item_id", "pos", F.col("label").alias("cluster")), ["item_id", "pos"])
+    # Samples are read for each part of the record: what they are made of is worked out once.
+    samples = written(samples.select("item_id", "pos", "text", "key", "act", "correct", "resolved", "repealed", "verdict", "logprob"), "samples")
+    labelled = written(samples.join(agreement.first_seen(samples).select("item_id", "pos", F.col("label").alias("cluster")), ["item_id", "pos"]), "labelled")
     text = agreement.profile(labelled, "cluster").select("item_id", F.col("n").alias("n_samples"), F.col("entropy").alias("disc_se"), (1 - F.col("top_share")).alias("agreement"), F.col("n_keys").alias("n_unique"), (F.col("n_keys") == 1).cast("int").alias("all_same"))
     prov = agreement.profile(samples).select("item_id", F.col("entropy").alias("prov_se"), (1 - F.col("top_share")).alias("prov_agreement"), F.col("n_keys").alias("prov_n_unique"), F.col("majority").alias("prov_majority"), (F.col("n_keys") == 1).cast("int").alias("prov_all_same"))
     modal = agreement.modal_outcome(labelled, "cluster").select("item_id", F.col("size").alias("majority_cluster_size"), F.col("frac_correct").alias("majority_frac_correct"), "majority_correct", "majority_resolved", F.col("verdict").alias("majority_verdict"))

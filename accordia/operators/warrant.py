@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accordia.functions.text import is_reference, normal_key
 from accordia.functions.vocabulary import CURRENT_ACTS, REPEALED_ACTS
+from accordia.operators.tables import written
 from accordia.operators.validity import in_force, resolve
 
 HOME_ACTS = REPEALED_ACTS + CURRENT_ACTS
@@ -76,7 +77,7 @@ def detect(samples: DataFrame, statutes: DataFrame, links: DataFrame, day: Colum
     model_mass: item_id, mass), none, or auto, which takes the rule if there are links, else the model, else 0 for a lone
     cluster. What nothing is known about is null.
     """
-    keys = samples.groupBy("item_id", "label", "key").agg(F.count("*").alias("c"), F.min("pos").alias("first"))
+    keys = written(samples.groupBy("item_id", "label", "key").agg(F.count("*").alias("c"), F.min("pos").alias("first")), "keys")
     clusters = keys.groupBy("item_id", "label").agg(F.sum("c").alias("size"), F.min_by("key", F.struct(-F.col("c"), F.col("key"))).alias("by_name"), F.min_by("key", F.struct(-F.col("c"), F.col("first"))).alias("by_place"))
     modal = clusters.groupBy("item_id").agg(F.sum("size").alias("m"), F.count("*").alias("n_clusters"), F.min_by(F.struct("label", "size", "by_name"), F.struct(-F.col("size"), F.col("label"))).alias("b"))
     modal = modal.select("item_id", "m", "n_clusters", F.col("b.label").alias("label"), F.col("b.size").alias("modal_size"), F.col("b.by_name").alias("modal_key"))

@@ -14,7 +14,8 @@ from accordia.operators import agreement as A
 from accordia.operators import bootstrap as B
 from accordia.operators import calibration as C
 from accordia.operators import evaluation as E
-from accordia.operators import fits, ranking, relations, risk, validity, warrant
+from accordia.operators import fits, maps, ranking, relations, risk, validity, warrant
+from accordia.operators.tables import written
 from accordia.plans import fit_sql
 from accordia.plans import inputs as I
 from accordia.plans.inputs import sql
@@ -342,8 +343,8 @@ def topic_split(spark, d):
     return risk.topic_split(I.scored(spark, d), "topic", 3)
 
 
-def _records(spark, d) -> DataFrame:
-    s = I.samples(spark, d)
+def _records(spark, d, s: DataFrame | None = None) -> DataFrame:
+    s = I.samples(spark, d) if s is None else s
     pro = A.profile(s).select("item_id", F.col("n").alias("n_samples"), F.col("entropy").alias("prov_se"))
     f = warrant.factors(s, I.statutes(spark, d), I.statute_links(spark), day())
     w, cm = warrant.compose(F.col("a"), F.col("t"), F.col("j"), F.col("k"))
@@ -626,15 +627,30 @@ def exact_bounds(spark, d):
 
 
 # Composition
-@query()
+@query(
+    sql(
+        "samples statutes counts pro modal warrant",
+        FEATURES
+        + f""", right_ AS (SELECT item_id, (avg(correct) >= 0.5)::INT AS correct FROM samples GROUP BY item_id),
+s AS (SELECT item_id, CASE WHEN legal_complete THEN 1 / (1 + exp(-(-1 + 1.5 * u_prov + 0.5 * u_text + 0.8 * u_warrant + 0.3 * u_cm + 0.2 * u_contra + 0.7 * u_prov * u_warrant))) WHEN u_prov IS NOT NULL THEN 1 / (1 + exp(-(-1 + 1.5 * u_prov + 0.5 * u_text))) END AS score FROM g),
+rows_ AS (SELECT item_id, (item_id % 3)::VARCHAR AS stratum, round(1 - score, 6) AS x, correct FROM s JOIN right_ USING (item_id)), {fit_sql.isotonic("rows_", "stratum")}, {fit_sql.STRETCHES.format(by="stratum")},
+p AS (SELECT item_id, r.stratum, {fit_sql.BETWEEN.format(x="r.x")} AS p FROM rows_ r LEFT JOIN stretches t ON t.stratum = r.stratum AND r.x >= low AND r.x < high),
+q AS (SELECT item_id, stratum, CASE WHEN x IS NULL OR NOT EXISTS (SELECT 1 FROM knots WHERE knots.stratum = rows_.stratum) THEN NULL ELSE p END AS p FROM rows_ JOIN p USING (item_id, stratum)),
+l AS (SELECT *, (1 - p) * 3 AS loss, item_id % 7 = 0 AS flagged FROM q)
+SELECT item_id, stratum, {R("p")} AS p, CASE WHEN p IS NULL THEN 'verify' WHEN loss <= 0.15 AND NOT flagged THEN 'answer' WHEN loss <= 0.35 THEN 'verify' ELSE 'abstain' END AS action,
+       CASE WHEN p IS NULL THEN '{C.TRIGGERS[0]}' WHEN loss <= 0.15 AND flagged THEN '{C.TRIGGERS[1]}' WHEN loss <= 0.15 THEN '{C.TRIGGERS[2]}' WHEN loss <= 0.35 THEN '{C.TRIGGERS[3]}' ELSE '{C.TRIGGERS[4]}' END AS trigger FROM l""",
+    )
+)
 def cascade_end_to_end(spark, d):
-    """Samples -> context -> warrant -> risk score -> calibrated reliability -> action, an item a row."""
-    scored = risk.estimate(risk.features(_records(spark, d)), -1.0, WEIGHTS, degraded=True)
-    right = I.samples(spark, d).groupBy("item_id").agg((F.avg("correct") >= 0.5).cast("int").alias("correct"))
-    rows = scored.join(right, "item_id").select("item_id", (F.col("item_id") % 3).cast("string").alias("stratum"), (1 - F.col("score")).alias("x"), "correct")
-    fitted = C.map_predict(rows.where("x is not null"), fits.isotonic_maps(rows, ["stratum"]))
-    action, trigger = C.decide(F.col("p"), F.lit("both"), F.lit(False))
-    return rows.join(fitted.select("item_id", "p"), "item_id", "left").select("item_id", "stratum", "p", action.alias("action"), trigger.alias("trigger"))
+    """Samples -> context -> warrant -> risk score -> calibrated reliability -> action, an item a row; a seventh of all items is flagged."""
+    s = written(I.samples(spark, d), "samples")
+    scored = risk.estimate(risk.features(_records(spark, d, s)), -1.0, WEIGHTS, degraded=True)
+    right = s.groupBy("item_id").agg((F.avg("correct") >= 0.5).cast("int").alias("correct"))
+    rows = scored.join(right, "item_id").select("item_id", (F.col("item_id") % 3).cast("string").alias("stratum"), F.round(1 - F.col("score"), 6).alias("x"), "correct")
+    rows = written(rows, "rows")
+    fitted = maps.apply_maps(rows, maps.isotonic_registry(fits.isotonic_maps(rows, ["stratum"])), how="left")
+    action, trigger = C.decide(F.col("p"), F.lit("both"), F.col("item_id") % 7 == 0)
+    return fitted.select("item_id", "stratum", "p", action.alias("action"), trigger.alias("trigger"))
 
 
 @query(sql("scored", f""", g AS (SELECT slice, count(*) AS n, avg(correct) AS a FROM scored GROUP BY 1) SELECT CASE WHEN min((n >= 30)::INT) = 0 OR min((a >= 0.5)::INT) = 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, (sum((n >= 30)::INT) + sum((a >= 0.5)::INT))::BIGINT AS held FROM g"""))
