@@ -58,10 +58,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/accordia/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+
+    few: of a table that is small beside the data, such as links, at most eight files for each of the cluster's cores, or 64.
+    """
     path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(max(64, 8 * df.sparkSession.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -77,7 +80,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def join_spread(rows: DataFrame, key: str, table: DataFrame, its: str, count: str, spread: list[str], how: str = "left", least_hot: int | None = None) -> DataFrame:
-    """rows joined with a written table (a row a key, column `its`), so that no key's rows all come to one task.
+    """rows joined with a table that is cheap to read twice (a row a key, column `its`), so that no key's rows all come to one task.
 
     The HOT most frequent keys by `count`, of over LEAST_HOT rows each, are dealt out over SALTS parts by a hash of the
     columns `spread`, and so are rows without a key; each other key has at most a share of 1 / HOT of all rows. Only the
@@ -207,17 +210,17 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     Self-loops and repeated edges are harmless; nulls are dropped.
     """
     edges = materialize(
-        edges.where("u is not null and v is not null").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "edges"
+        edges.where("u is not null and v is not null").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "edges", few=True
     )
     before = None
     while edges.count() > local_edges:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("m < u").select("u", F.col("m").alias("v")))
-        large = materialize(large.where("u <> v").distinct(), "large")
+        large = materialize(large.where("u <> v").distinct(), "large", few=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        edges = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small", few=True)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(now) == before:
             stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -250,7 +250,7 @@ def _active(members: DataFrame, labels: DataFrame | None, sigs: DataFrame, acros
         members = members.withColumn("label", F.col("cls"))
     sizes = members.groupBy("key").agg(F.count("*").alias("_m"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select(F.col("key").alias("_key"), "_m", F.ceil(F.col("_m") / cut).cast("int").alias("_c"))
     # A bucket of many members is dealt out before it is cut.
-    rows = join_spread(members, "key", materialize(sizes, "sizes"), "_key", "_m", ["cls"], "inner")
+    rows = join_spread(members, "key", sizes, "_key", "_m", ["cls"], "inner")
     own = F.pmod(F.xxhash64("cls", F.lit(1 if labels is None else 2)), F.col("_c")).cast("int")
     if across:  # a part for each cut, and for each pair of cuts
         others = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda o: F.struct((F.least(own, o) * F.col("_c") + F.greatest(own, o)).alias("part"), F.when(o == own, -1).otherwise(own).alias("side")))
@@ -299,20 +299,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = spread.mapInArrow(_propose(percent, miss, most), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs, "pairs", few=True)
         if pairs.isEmpty():  # nor can a later round verify what was never proposed
             continue
         new = _verified(pairs, sets, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
-        links = materialize(links, "links")
+        links = materialize(links, "links", few=True)
         labels = components(links)
     numbered = reps.select("digest", "id", "cls", "copies")
     if labels is not None:
         numbered = numbered.join(labels, F.col("cls") == F.col("node"), "left").withColumn("cls", F.coalesce("root", "cls"))
         smallest = numbered.where("node is not null").groupBy(F.col("cls").alias("_c")).agg(F.min("id").alias("_least"))
         numbered = numbered.join(smallest, F.col("cls") == F.col("_c"), "left").withColumn("id", F.coalesce("_least", "id"))
-    found = materialize(numbered.select(F.col("digest").alias("_d"), F.col("id").alias("component"), "copies"), "components")
+    found = numbered.select(F.col("digest").alias("_d"), F.col("id").alias("component"), "copies")
     # Copies of one text, and texts without words, are dealt out.
     out = join_spread(feats.select("id", "place", "n", "digest"), "digest", found, "_d", "copies", ["id", "place"])
     component = F.coalesce("component", "id")
