@@ -78,20 +78,30 @@ def leaderboard(items: DataFrame, group: str, answer: str, most: int = 6) -> Dat
     return ranked.where(F.col("place") <= most).select(group, "answer", "n", "place")
 
 
+def text_scores(samples: DataFrame, text: str = "text") -> DataFrame:
+    """low, high, score: token overlap of each two texts, and of each with itself, that meet in some item, once."""
+    once = samples.select("item_id", F.coalesce(text, F.lit("")).alias("t")).distinct()
+    a, b = once.alias("a"), once.alias("b")
+    meeting = a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.t") <= F.col("b.t"))).select(F.col("a.t").alias("low"), F.col("b.t").alias("high")).distinct()
+    return meeting.select("low", "high", overlap(tokens(F.col("low")), tokens(F.col("high"))).alias("score"))
+
+
+def with_scores(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """pairs (text_i, text_j, ...) with the score of their texts."""
+    one, two = F.coalesce("text_i", F.lit("")), F.coalesce("text_j", F.lit(""))
+    return pairs.withColumns({"low": F.least(one, two), "high": F.greatest(one, two)}).join(scores, ["low", "high"]).drop("low", "high")
+
+
 def pair_scores(samples: DataFrame, text: str = "text") -> DataFrame:
     """item_id, i, j, score: token overlap of all pairs i < j of an item's samples.
 
     Texts repeat: each pair of different texts that meets in some item is scored once, and samples join the scores.
     """
-    own = samples.select("item_id", "pos", F.coalesce(text, F.lit("")).alias("t"))
-    once = own.select("item_id", "t").distinct()
-    a, b = once.alias("a"), once.alias("b")
-    meeting = a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.t") <= F.col("b.t"))).select(F.col("a.t").alias("low"), F.col("b.t").alias("high")).distinct()
-    scored = meeting.select("low", "high", overlap(tokens(F.col("low")), tokens(F.col("high"))).alias("score"))
+    own = samples.select("item_id", "pos", F.col(text).alias("t"))
     a, b = own.alias("a"), own.alias("b")
     met = a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.pos") < F.col("b.pos")))
-    met = met.select(F.col("a.item_id").alias("item_id"), F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.least("a.t", "b.t").alias("low"), F.greatest("a.t", "b.t").alias("high"))
-    return met.join(scored, ["low", "high"]).select("item_id", "i", "j", "score")
+    met = met.select(F.col("a.item_id").alias("item_id"), F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.col("a.t").alias("text_i"), F.col("b.t").alias("text_j"))
+    return with_scores(met, text_scores(samples, text)).select("item_id", "i", "j", "score")
 
 
 def selfcheck(samples: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -493,8 +493,8 @@ def selfcheck(spark, d):
 RULE = "CASE WHEN ki = 'NONE' OR kj = 'NONE' THEN 'AMBIGUOUS' WHEN ki = kj THEN 'SAME_PROVISION' WHEN split_part(ki, ' ', 2) = split_part(kj, ' ', 2) THEN 'LEGALLY_EQUIVALENT' WHEN split_part(ki, ' ', 1) <> split_part(kj, ' ', 1) THEN 'CONTRADICTORY' ELSE 'DIFFERENT_PROVISION' END"
 
 
-def _ruled(spark, d) -> DataFrame:
-    p = relations.pairs(I.samples(spark, d))
+def _ruled(spark, d, s: DataFrame | None = None) -> DataFrame:
+    p = relations.pairs(I.samples(spark, d) if s is None else s)
     part = lambda c, i: F.split(c, " ")[i]
     known = (F.col("key_i") != "NONE") & (F.col("key_j") != "NONE") & (F.col("key_i") != F.col("key_j"))
     link = F.when(known, F.when(part("key_i", 1) == part("key_j", 1), "successor_of").when(part("key_i", 0) != part("key_j", 0), "different_offence"))
@@ -560,8 +560,8 @@ def greedy_clusters(spark, d):
 
 @query()
 def typed_clusters(spark, d):
-    p = _ruled(spark, d).join(A.pair_scores(I.samples(spark, d)), ["item_id", "i", "j"])
-    return fits.typed_clusters(I.samples(spark, d), p, 0.5)
+    s = written(I.samples(spark, d), "samples")
+    return fits.typed_clusters(s, A.with_scores(_ruled(spark, d, s), A.text_scores(s)), 0.5)
 
 
 @query(sql("scored", f""", rows_ AS (SELECT slice, p AS x, correct FROM scored), {fit_sql.isotonic("rows_", "slice")}
