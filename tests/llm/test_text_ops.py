@@ -133,6 +133,13 @@ def test_urls_by_one_cascade_and_by_several(spark, fpp, most_bits):
     assert len(got) == len(urls)
 
 
+def test_verdicts_of_the_rules_of_the_contract(spark, tmp_path):
+    urls = {"http://x.net/de/1": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://a.example.net/de/8": ("example.net/de/8", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://b.com/en/7": ("com/en/", "block"), "http://b.org/es/": ("org/es/", "block"), "http://b.org/de/": (None, "allow")}
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in QUERIES["op1_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(urls.values()))
+
+
 def best_rule(rules, host, path):
     fit = [r for r in rules if (host == r.host.lower() or host.endswith("." + r.host.lower())) and path.startswith(r.path)]
     return max(fit, key=lambda r: (len(r.host) + len(r.path), len(r.host)), default=None)
