@@ -218,6 +218,12 @@ def test_items_are_numbered_by_topic(spark):
     assert rows(revision.numbered_items(plan), "item_id", "gold_act", "trap_provision", "era") == [("L1-t-c002", "IPC", "2", "pre-transition"), ("L7-t-c001", "BNS", "1", "current"), ("L7-u-c001", "BNS", "1", "current")]
 
 
+def test_numbers_of_over_three_digits_stay_whole(spark):
+    plan = spark.range(1, 1102).selectExpr("id ord", "'t' topic", "'L1' slice", "'q' question", "'IPC' old_act", "'1' old_number", "'BNS' new_act", "'2' new_number")
+    got = {r["item_id"] for r in revision.numbered_items(plan).collect()}
+    assert len(got) == 1101 and {"L1-t-c001", "L1-t-c100", "L1-t-c1000", "L1-t-c1101"} <= got
+
+
 def test_manifests_bind_contents_and_threshold(spark):
     pairs = spark.createDataFrame([("train", "p1", "S"), ("train", "p2", "D"), ("dev", "p3", None)], "split string, pair string, label string")
     scored = spark.createDataFrame([("dev", 0.9, 1), ("dev", 0.3, 0), ("train", 0.1, 1)], "split string, score double, gold int")
