@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from accordia.functions import mentions
 from accordia.functions.vocabulary import ACT_ALIASES
 from accordia.operators import attach, fits, mock, revision
+from accordia.plans.supervision import revision_audit
 from accordia.sources.stages import Catalogue, ChangedInput, fingerprint, run_stage
 from accordia.streaming.ingest import ingest
 
@@ -218,6 +219,12 @@ def test_items_are_numbered_by_topic(spark):
     assert rows(revision.numbered_items(plan), "item_id", "gold_act", "trap_provision", "era") == [("L1-t-c002", "IPC", "2", "pre-transition"), ("L7-t-c001", "BNS", "1", "current"), ("L7-u-c001", "BNS", "1", "current")]
 
 
+def test_revision_of_a_topic_of_over_999_items(spark, tmp_path):
+    spark.range(1, 1102).selectExpr("id p_partkey", "'b' p_brand", "'n' p_name").write.parquet(f"{tmp_path}/part.parquet")
+    audit = revision_audit(spark, str(tmp_path))
+    assert {r["action"]: r["count"] for r in audit.groupBy("action").count().collect()} == {"change": 111, "retire": 110, "insert": 5 * 110}
+
+
 def test_numbers_of_over_three_digits_stay_whole(spark):
     plan = spark.range(1, 1102).selectExpr("id ord", "'t' topic", "'L1' slice", "'q' question", "'IPC' old_act", "'1' old_number", "'BNS' new_act", "'2' new_number")
     got = {r["item_id"] for r in revision.numbered_items(plan).collect()}
