@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,19 +270,6 @@ def _risk_in_epochs(cells: DataFrame, names: list[str], right: float, total: flo
     return bias, w
 
 
-def _by_item(rows: DataFrame, label: Callable[[dict], list[int]]) -> DataFrame:
-    """item_id, pos, label from a row an item, whose samples (pos, ...) are sorted: many items make one call."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
-            items = batch.to_dict("records")
-            labels = [label(item) for item in items]
-            ids = np.repeat(batch["item_id"].to_numpy(), [len(x) for x in labels])
-            yield pd.DataFrame({"item_id": ids, "pos": [x["pos"] for s in batch["samples"] for x in s], "label": [y for x in labels for y in x]})
-
-    return rows.mapInPandas(run, "item_id long, pos int, label int")
-
-
 def _sorted_samples(samples: DataFrame, *columns: str) -> DataFrame:
     return samples.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("samples"))
 
@@ -347,17 +335,36 @@ def merge_typed(keys: list[str], label: dict[tuple[int, int], str], score: dict[
     return [order[h] for h in home]
 
 
-def typed_clusters(samples: DataFrame, pairs: DataFrame, tau: float) -> DataFrame:
-    """item_id, pos, label of merge_typed over samples (item_id, pos, key) and pairs (item_id, i < j, label, score)."""
+def merge_items(batches: Iterable[pa.RecordBatch], tau: float) -> Iterable[pa.RecordBatch]:
+    """item_id, pos, label of merge_typed over rows of an item: its samples (pos, key) and pairs (i, j, merges, score), which may be null.
+
+    Pairs stay columns of numbers, and become objects for one item at a time, not for a whole batch of items.
+    """
+    for batch in batches:
+        taken, met = batch.column("samples"), batch.column("pairs")
+        pos, key = (taken.values.field(c) for c in ("pos", "key"))
+        i, j, merges, score = (met.values.field(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "merges", "score"))
+        first, start = taken.offsets.to_pylist(), met.offsets.to_pylist()
+        labels: list[int] = []
+        for item in range(batch.num_rows):
+            at = {p: n for n, p in enumerate(pos[first[item] : first[item + 1]].to_pylist())}
+            own = slice(start[item], start[item + 1])
+            where = [(at[a], at[b]) for a, b in zip(i[own].tolist(), j[own].tolist(), strict=True)]
+            said = [MERGE[0] if m else BLOCK[0] for m in merges[own].tolist()]
+            labels += merge_typed(key[first[item] : first[item + 1]].to_pylist(), dict(zip(where, said, strict=True)), dict(zip(where, score[own].tolist(), strict=True)), tau)
+        ids = batch.column("item_id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(first))))
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pos[first[0] : first[-1]].cast(pa.int32()), pa.array(labels, pa.int32())], names=["item_id", "pos", "label"])
 
-    def label(item: dict) -> list[int]:
-        at = {x["pos"]: i for i, x in enumerate(item["samples"])}
-        links = [] if item["pairs"] is None else item["pairs"]
-        where = [(at[p["i"]], at[p["j"]]) for p in links]
-        return merge_typed([x["key"] for x in item["samples"]], dict(zip(where, (p["label"] for p in links), strict=True)), dict(zip(where, (p["score"] for p in links), strict=True)), tau)
 
-    linked = pairs.groupBy("item_id").agg(F.collect_list(F.struct("i", "j", "label", "score")).alias("pairs"))
-    return _by_item(_sorted_samples(samples, "key").join(linked, "item_id", "left"), label)
+def typed_clusters(samples: DataFrame, pairs: DataFrame, tau: float) -> DataFrame:
+    """item_id, pos, label of merge_typed over samples (item_id, pos, key) and pairs (item_id, i < j, label, score).
+
+    Labels that neither merge nor block say as much as none, and are left out.
+    """
+    told = pairs.where(F.col("label").isin(*MERGE, *BLOCK)).withColumn("merges", F.col("label").isin(*MERGE))
+    linked = told.groupBy("item_id").agg(F.collect_list(F.struct("i", "j", "merges", "score")).alias("pairs"))
+    rows = _sorted_samples(samples, "key").join(linked, "item_id", "left").select("item_id", "samples", "pairs")
+    return rows.mapInArrow(lambda batches: merge_items(batches, tau), "item_id long, pos int, label int")
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

@@ -1,9 +1,11 @@
 """The pairwise and clustering queries against plain loops over all samples of an item."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from accordia.operators import fits
@@ -69,3 +71,19 @@ def test_clusters_of_all_samples(spark, items):
         typed |= {(item, pos): x for pos, x in enumerate(merged)}
     for name, want in (("greedy_clusters", greedy), ("typed_clusters", typed)):
         assert {(r["item_id"], r["pos"]): r["label"] for r in QUERIES[name](spark, SMALL).collect()} == want
+
+
+def test_a_batch_of_items_takes_little_memory():
+    """Of many items in a batch, only one at a time has its pairs as objects."""
+    items, n = 600, 30
+    samples = [{"pos": p, "key": f"A {p % 5}"} for p in range(n)]
+    links = [{"i": i, "j": j, "merges": i % 5 == j % 5, "score": 0.75} for i, j in combinations(range(n), 2)]
+    typed = pa.schema([("item_id", pa.int64()), ("samples", pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.string())]))), ("pairs", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("merges", pa.bool_()), ("score", pa.float64())])))])
+    batch = pa.RecordBatch.from_pylist([{"item_id": k, "samples": samples, "pairs": links if k else None} for k in range(items)], typed)
+    tracemalloc.start()
+    out = next(fits.merge_items(iter([batch]), 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("label").to_pylist() == [p % 5 for p in range(n)] * items
+    assert out.column("item_id").to_pylist() == [k for k in range(items) for _ in range(n)]
+    assert peak < 30e6
