@@ -93,9 +93,14 @@ def is_reference(key: Column) -> Column:
     return ~((k == "") | (k == "NONE") | k.startswith("FOREIGN") | k.startswith("UNKNOWN") | k.endswith("(NO SECTION)"))
 
 
+def plain_text(text: Column) -> Column:
+    """The text with single spaces; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
 def text_hash(text: Column) -> Column:
     """First 16 hex digits of the sha256 of the text with single spaces."""
-    return F.substring(F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 256), 1, 16)
+    return F.substring(F.sha2(plain_text(text), 256), 1, 16)
 
 
 def pair_id(a: Column, b: Column) -> Column:

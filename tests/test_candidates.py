@@ -77,6 +77,37 @@ def test_quotas_take_the_first_by_hash(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, candidates.quota(pairs.repartition(7), {"S2": 5, "S4": 100, "S5": 0}).collect()))
 
 
+def shuffled(spark, df):
+    """Bytes that df's work writes to shuffles."""
+    written = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+def many_topics(spark, n):
+    return spark.range(n).selectExpr(
+        "id topic", "concat('theft ', id % 7) label", "concat('fine ', id % 9) punishment", "'IPC' act", "string(id) number", "'BNS' new_act", "string(id + 1000) new_number", "'IPC' near_act", "string(id + 1) near_number"
+    )
+
+
+def test_pairs_that_come_once_are_not_shuffled_whole(spark):
+    topics = many_topics(spark, 2000)
+    assert shuffled(spark, candidates.candidate_pairs(topics)) < 60 * 33 * 2000
+
+
+@pytest.mark.parametrize("marks", [1, 1 << 20])
+def test_marks_change_no_pair(spark, monkeypatch, marks):
+    """With one mark, every pair is looked at again."""
+    topics = many_topics(spark, 40).union(many_topics(spark, 3))
+    plain = lambda df: sorted(str([r[c] for c in ["pair", *candidates.PAIR_COLUMNS]]) for r in df.collect())
+    want = plain(candidates.candidate_pairs(topics))
+    monkeypatch.setattr(candidates, "MARKS", marks)
+    assert plain(candidates.candidate_pairs(topics)) == want and len(set(want)) == len(want) == 40 * 32 + 7
+    most = {f"S{i}": 5 * i for i in range(1, 8)}
+    assert plain(candidates.quota_pairs(topics, most)) == plain(candidates.quota(candidates.candidate_pairs(topics), most))
+
+
 # Lineage
 @pytest.fixture(scope="module")
 def two(spark):
