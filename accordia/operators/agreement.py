@@ -111,6 +111,17 @@ def selfcheck(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     return samples.select("item_id", "pos").join(best, ["item_id", "pos"], "left").groupBy("item_id").agg(F.avg(1 - F.coalesce("best", F.lit(0.0))).alias("selfcheck"))
 
 
+def selfcheck_of_texts(samples: DataFrame, text: str = "text") -> DataFrame:
+    """selfcheck by pair_scores, from an item's different texts and how often they come: samples are shuffled, never their pairs."""
+    own = samples.select("item_id", F.coalesce(text, F.lit("")).alias("t")).repartition("item_id")
+    counted = own.groupBy("item_id", "t").agg(F.count("*").alias("c")).withColumn("words", tokens(F.col("t")))
+    a, b = counted.alias("a"), counted.select("item_id", "t", "words").alias("b")
+    same = F.col("a.t") == F.col("b.t")
+    score = F.when(~same | (F.col("a.c") > 1), overlap(F.col("a.words"), F.col("b.words")))
+    best = a.join(b, F.col("a.item_id") == F.col("b.item_id"), "left").groupBy(F.col("a.item_id").alias("item_id"), F.col("a.t").alias("t"), F.col("a.c").alias("c")).agg(F.max(score).alias("best"))
+    return best.groupBy("item_id").agg((F.sum(F.col("c") * (1 - F.coalesce("best", F.lit(0.0)))) / F.sum("c")).alias("selfcheck"))
+
+
 def means(samples: DataFrame) -> DataFrame:
     """Per item: share correct, share unresolved, share citing repealed acts, mean words, 1 - exp(mean log probability)."""
     return samples.groupBy("item_id").agg(

@@ -486,8 +486,7 @@ def lexical_pairs(spark, d):
 
 @query(sql("samples", PAIRS + f""", e AS (SELECT item_id, i AS pos, score FROM lex UNION ALL SELECT item_id, j, score FROM lex), b AS (SELECT item_id, pos, max(score) AS m FROM e GROUP BY 1, 2) SELECT samples.item_id, {R('avg(1 - coalesce(m, 0))')} AS selfcheck FROM samples LEFT JOIN b ON b.item_id = samples.item_id AND b.pos = samples.pos GROUP BY 1"""))
 def selfcheck(spark, d):
-    s = I.samples(spark, d)
-    return A.selfcheck(s, A.pair_scores(s))
+    return A.selfcheck_of_texts(I.samples(spark, d))
 
 
 RULE = "CASE WHEN ki = 'NONE' OR kj = 'NONE' THEN 'AMBIGUOUS' WHEN ki = kj THEN 'SAME_PROVISION' WHEN split_part(ki, ' ', 2) = split_part(kj, ' ', 2) THEN 'LEGALLY_EQUIVALENT' WHEN split_part(ki, ' ', 1) <> split_part(kj, ' ', 1) THEN 'CONTRADICTORY' ELSE 'DIFFERENT_PROVISION' END"

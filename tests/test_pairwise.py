@@ -1,5 +1,6 @@
 """The pairwise and clustering queries against plain loops over all samples of an item."""
 
+import random
 import re
 import tracemalloc
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
+from accordia.operators import agreement as A
 from accordia.operators import fits
 from accordia.plans import inputs
 from accordia.plans.queries import QUERIES, _alike, _words
@@ -87,3 +89,17 @@ def test_a_batch_of_items_takes_little_memory():
     assert out.column("label").to_pylist() == [p % 5 for p in range(n)] * items
     assert out.column("item_id").to_pylist() == [k for k in range(items) for _ in range(n)]
     assert peak < 30e6
+
+
+def test_selfcheck_by_texts_gives_that_by_pairs_and_shuffles_less(spark):
+    draw = random.Random(4)
+    texts = ["Section 1 of the Code", "section 1, of the code", "Section 2 of the Act", "another", "", "--", None]
+    rows = [(draw.randrange(40), p, draw.choice(texts)) for p in range(900)] + [(50, 0, "lone"), (51, 0, None), (51, 1, None), (52, 0, "twice"), (52, 1, "twice"), (None, 0, "lost"), (None, 1, "lost")]
+    s = spark.createDataFrame(rows, "item_id long, pos int, text string")
+    want = {r["item_id"]: r["selfcheck"] for r in A.selfcheck(s, A.pair_scores(s)).collect()}
+    assert {r["item_id"]: r["selfcheck"] for r in A.selfcheck_of_texts(s).collect()} == pytest.approx(want, abs=1e-12)
+    assert len(want) == 44 and want[50] == want[51] == want[None] == 1 and want[52] == 0
+    total = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = total()
+    assert QUERIES["selfcheck"](spark, SMALL).count() == 200
+    assert total() - before < 30 * 6000  # a few bytes a sample, none a pair
