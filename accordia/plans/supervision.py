@@ -86,7 +86,7 @@ def candidate_pairs(spark, d):
 )
 def candidate_quotas(spark, d):
     """The quota of each stratum, by ranked hash."""
-    return K.quota(K.candidate_pairs(provisions(spark, d)), QUOTAS)
+    return K.quota_pairs(provisions(spark, d), QUOTAS)
 
 
 # Generated answers

@@ -78,9 +78,10 @@ def test_quotas_take_the_first_by_hash(spark):
 
 
 def shuffled(spark, df):
-    """Bytes that df's work writes to shuffles."""
+    """Bytes that the work of df, or of what makes it, writes to shuffles."""
     written = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
     before = written()
+    df = df() if callable(df) else df
     df.write.format("noop").mode("overwrite").save()
     return written() - before
 
@@ -96,6 +97,12 @@ def test_pairs_that_come_once_are_not_shuffled_whole(spark):
     assert shuffled(spark, candidates.candidate_pairs(topics)) < 60 * 33 * 2000
 
 
+def test_quotas_make_few_pairs_whole(spark):
+    topics = many_topics(spark, 2000)
+    most = {f"S{i}": 3 for i in range(1, 8)}
+    assert shuffled(spark, lambda: candidates.quota_pairs(topics, most)) < 30 * 33 * 2000
+
+
 @pytest.mark.parametrize("marks", [1, 1 << 20])
 def test_marks_change_no_pair(spark, monkeypatch, marks):
     """With one mark, every pair is looked at again."""
