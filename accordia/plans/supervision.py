@@ -231,7 +231,7 @@ SELECT split, n, n_labels, content::VARCHAR AS content, 'v1' AS version, {R("tau
 def training_manifest(spark, d):
     """The candidate pairs' splits by topic, their contents, and the threshold chosen on dev."""
     part = lambda c: F.when(c % 5 == 0, "dev").when(c % 5 == 1, "test").otherwise("train").alias("split")
-    pairs = K.candidate_pairs(provisions(spark, d)).select("pair", "label", "as_of", "link", part(F.col("topic")))
+    pairs = K.distinct_pairs(provisions(spark, d)).select("pair", "label", "as_of", "link", part(F.col("topic")))
     scored = I.scored(spark, d).select(part(F.col("item_id")), F.col("p").alias("score"), F.col("correct").alias("gold"))
     grid = [round(0.05 * k, 2) for k in range(1, 20)]
     return revision.manifest(pairs, ["pair", "label", "as_of", "link"], scored, grid, "v1").withColumn("content", F.col("content").cast("string"))

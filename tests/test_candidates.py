@@ -103,6 +103,13 @@ def test_quotas_make_few_pairs_whole(spark):
     assert shuffled(spark, lambda: candidates.quota_pairs(topics, most)) < 30 * 33 * 2000
 
 
+def test_pairs_without_the_index_are_the_same(spark):
+    topics = many_topics(spark, 30)
+    names = [c for c in ["pair", *candidates.PAIR_COLUMNS] if c != "stands_for"]
+    plain = lambda df: sorted(str([r[c] for c in names]) for r in df.collect())
+    assert plain(candidates.distinct_pairs(topics)) == plain(candidates.candidate_pairs(topics))
+
+
 @pytest.mark.parametrize("marks", [1, 1 << 20])
 def test_marks_change_no_pair(spark, monkeypatch, marks):
     """With one mark, every pair is looked at again."""
