@@ -1,11 +1,13 @@
 """Stages over immutable runs, streaming de-duplication by state, generated answers, revisions and manifests."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from accordia.functions import mentions
 from accordia.functions.vocabulary import ACT_ALIASES
 from accordia.operators import attach, fits, mock, revision
+from accordia.plans.reports import ORACLE
 from accordia.plans.supervision import revision_audit
 from accordia.sources.stages import Catalogue, ChangedInput, fingerprint, run_stage
 from accordia.streaming.ingest import ingest
@@ -225,6 +227,15 @@ def test_revision_of_a_topic_of_over_999_items(spark, tmp_path):
     assert {r["action"]: r["count"] for r in audit.groupBy("action").count().collect()} == {"change": 111, "retire": 110, "insert": 5 * 110}
 
 
+def test_revision_leaves_parts_without_a_brand_alone(spark, tmp_path):
+    spark.range(1, 61).selectExpr("id p_partkey", "if(id % 4 = 0, null, concat('b', id % 2)) p_brand", "'n' p_name").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    audit = revision_audit(spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(audit.columns)} from ({ORACLE['revision_audit']})").fetchall()
+    assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in audit.collect())
+
+
 def test_numbers_of_over_three_digits_stay_whole(spark):
     plan = spark.range(1, 1102).selectExpr("id ord", "'t' topic", "'L1' slice", "'q' question", "'IPC' old_act", "'1' old_number", "'BNS' new_act", "'2' new_number")
     got = {r["item_id"] for r in revision.numbered_items(plan).collect()}
