@@ -15,10 +15,10 @@ NOTES = ["action", "reason", "decided_by"]
 def numbered_items(plan: DataFrame) -> DataFrame:
     """plan (ord, topic, slice, old_act, old_number, new_act, new_number, question) with item_id, pair_id, and the wanted, trap and era of its slice.
 
-    Items of a topic are numbered in the plan's order, with three digits or as many as the number has; those without a topic have no id. Slice L7 asks for the law of today: the new provision is wanted and the
+    Items of a topic are numbered in the plan's order, with three digits or as many as the number has, those without a place (ord) last; those without a topic have no id. Slice L7 asks for the law of today: the new provision is wanted and the
     old one the trap; any other slice asks for the law before, the other way round.
     """
-    n = F.format_string("%03d", F.row_number().over(Window.partitionBy("topic").orderBy("ord")))
+    n = F.format_string("%03d", F.row_number().over(Window.partitionBy("topic").orderBy(F.asc_nulls_last("ord"))))
     today = F.col("slice") == "L7"
     either = lambda a, b: F.when(today, F.col(a)).otherwise(F.col(b))
     pair = F.concat(F.col("topic").cast("string"), F.lit("-c"), n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from accordia.functions import mentions
 from accordia.functions.vocabulary import ACT_ALIASES
 from accordia.operators import attach, fits, mock, revision
-from accordia.plans.reports import ORACLE
+from accordia.plans.reports import ORACLE, QUERIES
 from accordia.plans.supervision import revision_audit
 from accordia.sources.stages import Catalogue, ChangedInput, fingerprint, run_stage
 from accordia.streaming.ingest import ingest
@@ -236,6 +236,16 @@ def test_revision_leaves_parts_without_a_brand_alone(spark, tmp_path):
     assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in audit.collect())
 
 
+@pytest.mark.parametrize("name", ["candidate_items", "revised_items", "revision_audit"])
+def test_a_part_without_a_key_is_numbered_last_as_in_the_sql(spark, tmp_path, name):
+    spark.range(60).selectExpr("if(id in (20, 21), null, id) p_partkey", "concat('b', id % 2) p_brand", "concat('n', id) p_name").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE[name]})").fetchall()
+    assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def test_numbers_of_over_three_digits_stay_whole(spark):
     plan = spark.range(1, 1102).selectExpr("id ord", "'t' topic", "'L1' slice", "'q' question", "'IPC' old_act", "'1' old_number", "'BNS' new_act", "'2' new_number")
     got = {r["item_id"] for r in revision.numbered_items(plan).collect()}
