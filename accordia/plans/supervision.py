@@ -199,7 +199,8 @@ _tenth = "split_part(item_id, '-c', 2)::INT % 10"
     f"UNION ALL SELECT item_id || '-b', topic, 'BNS', gold_provision, false, false FROM planned WHERE {_tenth} = 3"
 )
 def revised_items(spark, d):
-    return _revised(spark, d)[0]
+    """Of an item without an id it is not known whether it is retired."""
+    return _revised(spark, d)[0].withColumn("retired", F.when(F.col("item_id").isNotNull(), F.col("retired")))
 
 
 @query(

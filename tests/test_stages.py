@@ -236,6 +236,15 @@ def test_revision_leaves_parts_without_a_brand_alone(spark, tmp_path):
     assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in audit.collect())
 
 
+def test_revised_items_of_parts_without_a_brand_are_as_in_the_sql(spark, tmp_path):
+    spark.range(1, 61).selectExpr("id p_partkey", "if(id % 4 = 0, null, concat('b', id % 2)) p_brand", "'n' p_name").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = QUERIES["revised_items"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE['revised_items']})").fetchall()
+    assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
 @pytest.mark.parametrize("name", ["candidate_items", "revised_items", "revision_audit"])
 def test_a_part_without_a_key_is_numbered_last_as_in_the_sql(spark, tmp_path, name):
     spark.range(60).selectExpr("if(id in (20, 21), null, id) p_partkey", "concat('b', id % 2) p_brand", "concat('n', id) p_name").write.parquet(f"{tmp_path}/part.parquet")
