@@ -255,6 +255,16 @@ def test_a_part_without_a_key_is_numbered_last_as_in_the_sql(spark, tmp_path, na
     assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
 
 
+@pytest.mark.parametrize("name", ["candidate_items", "revised_items", "revision_audit"])
+def test_over_999_items_differ_from_the_sql_by_its_cut_numbers_alone(spark, tmp_path, name):
+    spark.range(1, 1402).selectExpr("id p_partkey", "if(id % 5 = 0, 'a', 'b') p_brand", "concat('n', id) p_name").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got, cut, number = QUERIES[name](spark, str(tmp_path)), ORACLE[name], "row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)"
+    whole = cut.replace(f"lpad({number}::VARCHAR, 3, '0')", f"printf('%03d', {number})")
+    assert whole != cut and sorted(map(str, con.execute(f"select {', '.join(got.columns)} from ({whole})").fetchall())) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def test_numbers_of_over_three_digits_stay_whole(spark):
     plan = spark.range(1, 1102).selectExpr("id ord", "'t' topic", "'L1' slice", "'q' question", "'IPC' old_act", "'1' old_number", "'BNS' new_act", "'2' new_number")
     got = {r["item_id"] for r in revision.numbered_items(plan).collect()}
